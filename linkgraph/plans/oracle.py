@@ -120,3 +120,210 @@ oracle("score_population", "SELECT p1, p2, score FROM score_pop", "score_pop")
 # ---- ranking -------------------------------------------------------------------
 oracle("flip_scores", "SELECT user_id, candidate_id, score FROM flipped", "flipped")
 oracle("topk_recommend", "SELECT user_id, rank, candidate_id, score FROM topk", "topk")
+
+# ---- more fixture views --------------------------------------------------------------
+cte("ratios", """
+SELECT p1, p2, common_cnt, label, deg1, deg2,
+  round(common_cnt / CAST(greatest(deg1, deg2) AS DOUBLE), 6) AS ratio_max,
+  round(common_cnt / CAST(least(deg1, deg2) AS DOUBLE), 6) AS ratio_min
+FROM labelled""", "labelled")
+cte("pf", """
+SELECT p.p1, p.p2, p.friend_id FROM pairs p JOIN candidates c ON p.p1 = c.p1 AND p.p2 = c.p2""",
+    "pairs", "candidates")
+cte("twohop", """
+SELECT a.p1, a.p2, max(r.common_cnt) AS max_common, CAST(sum(r.label) AS BIGINT) AS linked_pairs,
+  max(r.ratio_max) AS max_ratio_maxdeg, max(r.ratio_min) AS max_ratio_mindeg
+FROM pf a JOIN pf b ON a.p1 = b.p1 AND a.p2 = b.p2 AND a.friend_id < b.friend_id
+JOIN ratios r ON r.p1 = a.friend_id AND r.p2 = b.friend_id
+GROUP BY a.p1, a.p2""", "pf", "ratios")
+cte("attrs", """
+SELECT coalesce(d.user_id, p.user_id) AS user_id, d.deg, p.age, p.sex, p.city, p.region, p.known
+FROM degree d FULL JOIN (
+  SELECT user_id, CAST(coalesce(birth_date, 0) AS BIGINT) AS age, coalesce(gender, 0) AS sex,
+    location_id AS city, coalesce(login_region, 0) AS region, TRUE AS known FROM profile) p
+ON d.user_id = p.user_id""", "degree", "profile")
+cte("pos", """
+SELECT m.mask, coalesce(r.i, 0) AS i
+FROM (SELECT DISTINCT mask FROM edges) m
+LEFT JOIN (SELECT range AS i FROM range(1, 22)) r ON ((m.mask >> (r.i - 1)) & 1) = 1""", "edges")
+CELL = "greatest(a.i, b.i) + 22 * least(a.i, b.i) - (least(a.i, b.i) * (least(a.i, b.i) + 1)) // 2"
+cte("hist", f"""
+SELECT h.p1, h.p2, h.cell, h.cnt FROM (
+  SELECT p1, p2, cell, count(*) AS cnt FROM (
+    SELECT DISTINCT pr.p1, pr.p2, pr.friend_id, {CELL} AS cell
+    FROM pairs pr JOIN pos a ON a.mask = pr.mask1 JOIN pos b ON b.mask = pr.mask2) x
+  WHERE cell >= 1 GROUP BY p1, p2, cell) h
+JOIN (SELECT p1, p2 FROM pairs GROUP BY p1, p2 HAVING count(*) > {P.hist_min_support}) s
+  ON h.p1 = s.p1 AND h.p2 = s.p2""", "pairs", "pos")
+cte("pm", """
+SELECT user_id AS p1, friend_id AS p2, mask FROM edges
+WHERE friend_id > user_id AND friend_id IN (SELECT user_id FROM edges)""", "edges")
+
+H1 = hsql("p1", "p2", "stratified")
+H2 = hsql("p1", "p2", "bernoulli")
+H3 = hsql("p1", "p2", "split")
+H4 = hsql("p1", "p2", "thinning")
+TRAIN_G = f"p1 % {M} <> {T7} AND p2 % {M} <> {T7}"
+TEST_G = f"(p1 % {M} = {T7} OR p2 % {M} = {T7})"
+HOLD_G = f"(p1 % {M} <> {T7} OR p2 % {M} <> {T7}) AND (p1 % {M} = {H6} OR p2 % {M} = {H6})"
+cte("tdata", f"""
+SELECT p1, p2, label, score FROM labelled
+WHERE {TRAIN_G} AND (label = 1 OR {H1} < {P.negative_fraction!r}) AND {H2} <= {P.row_sample_rate!r}""",
+    "labelled")
+cte("train", f"SELECT * FROM tdata WHERE {H3} < {P.train_fraction!r}", "tdata")
+cte("valid", f"SELECT * FROM tdata WHERE {H3} >= {P.train_fraction!r}", "tdata")
+cte("hanti", f"""
+SELECT l.p1, l.p2, l.label, l.score FROM labelled l
+WHERE {HOLD_G.replace('p1', 'l.p1').replace('p2', 'l.p2')}
+  AND NOT EXISTS (SELECT 1 FROM train t WHERE t.p1 = l.p1 AND t.p2 = l.p2)""", "labelled", "train")
+cte("hold", f"SELECT * FROM hanti WHERE label = 0 OR {H4} < {P.holdout_positive_fraction!r}", "hanti")
+cte("sc", """
+SELECT CAST(score AS DOUBLE) AS threshold,
+  CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+  CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+FROM valid GROUP BY score""", "valid")
+cte("curve", """
+SELECT threshold, pos, neg,
+  CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tp,
+  CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp,
+  CAST(sum(pos) OVER () AS BIGINT) AS P_all, CAST(sum(neg) OVER () AS BIGINT) AS N_all
+FROM sc""", "sc")
+B2 = P.beta * P.beta
+cte("fb", f"""
+SELECT threshold,
+  CASE WHEN tp + fp = 0 THEN CAST(1.0 AS DOUBLE) ELSE tp / CAST(tp + fp AS DOUBLE) END AS prec,
+  CASE WHEN P_all = 0 THEN CAST(0.0 AS DOUBLE) ELSE tp / CAST(P_all AS DOUBLE) END AS rec
+FROM curve""", "curve")
+cte("fbeta", f"""
+SELECT threshold, prec, rec,
+  CASE WHEN prec + rec = 0 THEN CAST(0.0 AS DOUBLE)
+       ELSE {1 + B2!r} * prec * rec / ({B2!r} * prec + rec) END AS f
+FROM fb""", "fb")
+cte("truth", """
+SELECT p1 AS user_id, p2 AS neighbour_id FROM hold WHERE label = 1
+UNION ALL SELECT p2 AS user_id, p1 AS neighbour_id FROM hold WHERE label = 1""", "hold")
+cte("hrank", f"""
+SELECT user_id, candidate_id, rank FROM (
+  SELECT user_id, candidate_id,
+    row_number() OVER (PARTITION BY user_id ORDER BY score DESC, candidate_id) AS rank
+  FROM (SELECT p1 AS user_id, p2 AS candidate_id, score FROM hold
+        UNION ALL SELECT p2 AS user_id, p1 AS candidate_id, score FROM hold) f
+  WHERE score >= {P.threshold}) t
+WHERE rank <= {P.top_k}""", "hold")
+
+DEG_FEATS = """
+  CASE WHEN coalesce(deg1, 0) <> 0 AND coalesce(deg2, 0) <> 0
+       THEN round(common_cnt / CAST(greatest(coalesce(deg1, 0), coalesce(deg2, 0)) AS DOUBLE), 6)
+       ELSE CAST(0.0 AS DOUBLE) END AS share_max,
+  CASE WHEN coalesce(deg1, 0) <> 0 AND coalesce(deg2, 0) <> 0
+       THEN round(common_cnt / CAST(least(coalesce(deg1, 0), coalesce(deg2, 0)) AS DOUBLE), 6)
+       ELSE CAST(0.0 AS DOUBLE) END AS share_min,
+  round(common_cnt / CAST(coalesce(deg2, 999999) AS DOUBLE), 6) AS share2_default"""
+PROF_FEATS = """
+  CAST(abs(coalesce(age1, 0) - coalesce(age2, 0)) AS BIGINT) AS age_gap,
+  CAST(coalesce(sex1, 0) = coalesce(sex2, 0) AND coalesce(sex1, 0) <> 0 AS INTEGER) AS same_sex,
+  CAST(coalesce(city1, -1) = coalesce(city2, -1) AND coalesce(city1, -1) <> -1 AS INTEGER) AS same_city,
+  CAST((CASE WHEN known1 IS NULL THEN -1 ELSE region1 END) = (CASE WHEN known2 IS NULL THEN -1 ELSE region2 END)
+       AND (CASE WHEN known1 IS NULL THEN -1 ELSE region1 END) <> -1 AS INTEGER) AS same_region"""
+ATTR_JOIN = """
+  LEFT JOIN (SELECT user_id AS u1, deg AS deg1, age AS age1, sex AS sex1, city AS city1, region AS region1,
+                    known AS known1 FROM attrs) a1 ON x.p1 = a1.u1
+  LEFT JOIN (SELECT user_id AS u2, deg AS deg2, age AS age2, sex AS sex2, city AS city2, region AS region2,
+                    known AS known2 FROM attrs) a2 ON x.p2 = a2.u2"""
+
+# ---- candidates (cont.) ----------------------------------------------------------------
+oracle("common_friend_ids", """
+SELECT p1, p2, CAST(count(*) AS BIGINT) AS n_common,
+  string_agg(CAST(friend_id AS VARCHAR), ',' ORDER BY friend_id) AS friend_ids
+FROM pf GROUP BY p1, p2""", "pf")
+oracle("candidate_ratios", "SELECT * FROM ratios", "ratios")
+# ---- features ----------------------------------------------------------------------------
+oracle("degree_features", f"""
+SELECT p1, p2, common_cnt, deg1, deg2,
+  round(ln(CAST(common_cnt AS DOUBLE)), 6) AS log_common,
+  CASE WHEN coalesce(deg1, 0) <> 0 THEN round(common_cnt / CAST(deg1 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share1,
+  CASE WHEN coalesce(deg2, 0) <> 0 THEN round(common_cnt / CAST(deg2 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share2,
+  {DEG_FEATS},
+  CAST(greatest(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_max,
+  CAST(least(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_min
+FROM (SELECT c.p1, c.p2, c.common_cnt, d1.deg AS deg1, d2.deg AS deg2 FROM candidates c
+      LEFT JOIN degree d1 ON c.p1 = d1.user_id LEFT JOIN degree d2 ON c.p2 = d2.user_id) t""",
+       "candidates", "degree")
+oracle("profile_features", f"""
+SELECT x.p1, x.p2, {PROF_FEATS}
+FROM candidates x {ATTR_JOIN}""", "candidates", "attrs")
+oracle("feature_table", f"""
+SELECT p1, p2, label, common_cnt, {DEG_FEATS}, {PROF_FEATS},
+  CAST(coalesce(max_common, 0) AS BIGINT) AS max_common,
+  CAST(coalesce(linked_pairs, 0) AS BIGINT) AS linked_pairs,
+  coalesce(max_ratio_maxdeg, CAST(0.0 AS DOUBLE)) AS max_ratio_maxdeg,
+  coalesce(max_ratio_mindeg, CAST(0.0 AS DOUBLE)) AS max_ratio_mindeg
+FROM (SELECT l.p1, l.p2, l.label, l.common_cnt, t.max_common, t.linked_pairs, t.max_ratio_maxdeg,
+             t.max_ratio_mindeg FROM labelled l LEFT JOIN twohop t ON l.p1 = t.p1 AND l.p2 = t.p2) x
+{ATTR_JOIN}""", "labelled", "twohop", "attrs")
+# ---- masks --------------------------------------------------------------------------------
+oracle("mask_to_bits", "SELECT DISTINCT mask, lpad(bin(mask & 2097151), 21, '0') AS bits FROM edges", "edges")
+oracle("mask_positions", """
+SELECT mask, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM pos GROUP BY mask""", "pos")
+oracle("mask_pair_cells", f"""
+SELECT mask1, mask2, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) AS cells FROM (
+  SELECT DISTINCT c.mask1, c.mask2, {CELL} AS cell
+  FROM (SELECT DISTINCT mask1, mask2 FROM pairs) c JOIN pos a ON a.mask = c.mask1 JOIN pos b ON b.mask = c.mask2) t
+GROUP BY mask1, mask2""", "pairs", "pos")
+oracle("mask_pair_hist", "SELECT p1, p2, CAST(cell AS INTEGER) AS cell, cnt FROM hist", "hist")
+oracle("mask_diag_counts", """
+SELECT h.p1, h.p2, CAST(d.i AS INTEGER) AS type, h.cnt FROM hist h
+JOIN (SELECT range AS i, range + 1 + 22 * range - (range * (range + 1)) // 2 AS cell FROM range(0, 21)) d
+  ON h.cell = d.cell""", "hist")
+oracle("edge_mask_bits", """
+SELECT c.p1, c.p2, coalesce(lpad(bin(pm.mask & 2097151), 21, '0'), '000000000000000000000') AS bits
+FROM candidates c LEFT JOIN pm ON c.p1 = pm.p1 AND c.p2 = pm.p2""", "candidates", "pm")
+# ---- 2-hop ------------------------------------------------------------------------------------
+oracle("twohop_stats", "SELECT * FROM twohop", "twohop")
+# ---- groups, samples, splits ----------------------------------------------------------------
+oracle("train_group", f"SELECT p1, p2, label FROM labelled WHERE {TRAIN_G}", "labelled")
+oracle("test_group", f"SELECT p1, p2, label FROM labelled WHERE {TEST_G}", "labelled")
+oracle("holdout_group", f"SELECT p1, p2, label FROM labelled WHERE {HOLD_G}", "labelled")
+oracle("holdout_anti", "SELECT p1, p2, label FROM hanti", "hanti")
+oracle("holdout_thinning", "SELECT p1, p2, label FROM hold", "hold")
+oracle("stratified_sample", f"""
+SELECT p1, p2, label FROM labelled WHERE label = 1 OR {H1} < {P.negative_fraction!r}""", "labelled")
+oracle("bernoulli_sample", f"SELECT p1, p2, label FROM labelled WHERE {H2} <= {P.row_sample_rate!r}",
+       "labelled")
+oracle("train_valid_split", f"""
+SELECT p1, p2, label, CASE WHEN {H3} < {P.train_fraction!r} THEN 'train' ELSE 'valid' END AS part
+FROM tdata""", "tdata")
+oracle("class_balance", """
+SELECT label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share
+FROM train GROUP BY label""", "train")
+# ---- metrics -----------------------------------------------------------------------------------
+oracle("roc_curve", """
+SELECT threshold, pos, neg, tp, fp, round(tp / CAST(P_all AS DOUBLE), 6) AS tpr,
+  round(fp / CAST(N_all AS DOUBLE), 6) AS fpr FROM curve""", "curve")
+oracle("auc", """
+SELECT round(sum(neg * (tp - pos / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS auc
+FROM curve""", "curve")
+oracle("roc_binned", """
+SELECT bin, pos, neg,
+  CAST(sum(pos) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tp,
+  CAST(sum(neg) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp
+FROM (SELECT CAST(floor(score * 100) AS INTEGER) AS bin,
+        CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+        CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS neg
+      FROM valid GROUP BY 1) t""", "valid")
+oracle("fbeta_by_threshold", """
+SELECT threshold, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f, 6) AS fbeta FROM fbeta""",
+       "fbeta")
+oracle("best_threshold", """
+SELECT threshold, round(f, 6) AS fbeta FROM fbeta ORDER BY f DESC, threshold DESC LIMIT 1""", "fbeta")
+oracle("hidden_neighbours", "SELECT user_id, neighbour_id FROM truth", "truth")
+oracle("ndcg", """
+SELECT round(sum(coalesce(d.dcg, 0.0) / i.idcg) / count(*) * 1000.0, 6) AS ndcg_x1000,
+  count(*) AS truth_users
+FROM (SELECT user_id, count(*) AS n FROM truth GROUP BY user_id) nt
+LEFT JOIN (SELECT r.user_id, sum(1.0 / log2(r.rank + 1.0)) AS dcg FROM hrank r
+           JOIN truth t ON r.user_id = t.user_id AND r.candidate_id = t.neighbour_id GROUP BY r.user_id) d
+  ON nt.user_id = d.user_id
+JOIN (SELECT i AS n, sum(1.0 / log2(i + 1.0)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS idcg
+      FROM (SELECT DISTINCT row_number() OVER (PARTITION BY user_id ORDER BY neighbour_id) AS i FROM truth) s) i
+  ON i.n = nt.n""", "truth", "hrank")

@@ -101,3 +101,214 @@ def _topk(v: Views) -> DataFrame:
 @query
 def topk_recommend(spark, sf_dir):
     return _topk(Views(spark, sf_dir))
+
+
+# ---- candidates (cont.) ------------------------------------------------------
+@query
+def common_friend_ids(spark, sf_dir):
+    from linkgraph.operators.candidates import common_friend_ids as cfi
+    v = Views(spark, sf_dir)
+    out = cfi(v.pairs, v.candidates)
+    return out.select("p1", "p2", F.size("friend_ids").cast("bigint").alias("n_common"),
+                      F.array_join(F.col("friend_ids").cast("array<string>"), ",").alias("friend_ids"))
+
+
+@query
+def candidate_ratios(spark, sf_dir):
+    return Views(spark, sf_dir).ratios
+
+
+# ---- features -------------------------------------------------------------------
+@query
+def degree_features(spark, sf_dir):
+    from linkgraph.operators.candidates import with_degrees
+    from linkgraph.operators.features import degree_feature_cols
+    v = Views(spark, sf_dir)
+    j = with_degrees(v.candidates, v.degree, "left")
+    return j.select("p1", "p2", "common_cnt", "deg1", "deg2", *degree_feature_cols().values())
+
+
+@query
+def profile_features(spark, sf_dir):
+    from linkgraph.operators.features import attach_users, profile_feature_cols
+    v = Views(spark, sf_dir)
+    j = attach_users(v.candidates.select("p1", "p2"), v.attrs)
+    return j.select("p1", "p2", *profile_feature_cols(v.p.count_unknown_sex))
+
+
+@query
+def feature_table(spark, sf_dir):
+    return Views(spark, sf_dir).features
+
+
+# ---- masks ----------------------------------------------------------------------
+@query
+def mask_to_bits(spark, sf_dir):
+    from linkgraph.functions.masks import mask_bits_string
+    e = Views(spark, sf_dir).edges
+    return e.select("mask").distinct().select("mask", mask_bits_string("mask").alias("bits"))
+
+
+@query
+def mask_positions(spark, sf_dir):
+    from linkgraph.functions.masks import mask_positions as mp
+    e = Views(spark, sf_dir).edges
+    return e.select("mask").distinct().select(
+        "mask", F.array_join(mp("mask").cast("array<string>"), ",").alias("positions"))
+
+
+@query
+def mask_pair_cells(spark, sf_dir):
+    from linkgraph.functions.masks import pair_cells
+    pm = Views(spark, sf_dir).pairs_masked
+    combos = pm.select("mask1", "mask2").distinct()
+    return combos.select("mask1", "mask2", F.array_join(
+        F.array_sort(pair_cells("mask1", "mask2")).cast("array<string>"), ",").alias("cells"))
+
+
+@query
+def mask_pair_hist(spark, sf_dir):
+    return Views(spark, sf_dir).hist
+
+
+@query
+def mask_diag_counts(spark, sf_dir):
+    from linkgraph.operators.masks import mask_diag_counts as mdc
+    return mdc(Views(spark, sf_dir).hist)
+
+
+@query
+def edge_mask_bits(spark, sf_dir):
+    from linkgraph.operators.masks import edge_mask_bits as emb
+    v = Views(spark, sf_dir)
+    return emb(v.candidates, G.positives(v.edges, with_mask=True))
+
+
+# ---- 2-hop ------------------------------------------------------------------------
+@query
+def twohop_stats(spark, sf_dir):
+    return Views(spark, sf_dir).twohop
+
+
+# ---- groups, samples, splits -----------------------------------------------------
+def _lab(v: Views) -> DataFrame:
+    return v.labelled.select("p1", "p2", "label")
+
+
+@query
+def train_group(spark, sf_dir):
+    from linkgraph.operators.sampling import train_group as tg
+    v = Views(spark, sf_dir)
+    return _lab(v).where(tg(v.p))
+
+
+@query
+def test_group(spark, sf_dir):
+    from linkgraph.operators.sampling import test_group as tg
+    v = Views(spark, sf_dir)
+    return _lab(v).where(tg(v.p))
+
+
+@query
+def holdout_group(spark, sf_dir):
+    from linkgraph.operators.sampling import holdout_group as hg
+    v = Views(spark, sf_dir)
+    return _lab(v).where(hg(v.p))
+
+
+@query
+def holdout_anti(spark, sf_dir):
+    from linkgraph.operators.sampling import holdout
+    v = Views(spark, sf_dir)
+    return holdout(_lab(v), v.train, v.p)
+
+
+@query
+def holdout_thinning(spark, sf_dir):
+    return Views(spark, sf_dir).holdout.select("p1", "p2", "label")
+
+
+@query
+def stratified_sample(spark, sf_dir):
+    from linkgraph.operators.sampling import stratified_sample as ss
+    v = Views(spark, sf_dir)
+    return ss(_lab(v), v.p)
+
+
+@query
+def bernoulli_sample(spark, sf_dir):
+    from linkgraph.operators.sampling import bernoulli_sample as bs
+    v = Views(spark, sf_dir)
+    return bs(_lab(v), v.p)
+
+
+@query
+def train_valid_split(spark, sf_dir):
+    from linkgraph.operators.sampling import split_flag, training_data
+    v = Views(spark, sf_dir)
+    d = training_data(_lab(v), v.p)
+    return d.select("p1", "p2", "label",
+                    F.when(split_flag(v.p), "train").otherwise("valid").alias("part"))
+
+
+@query
+def class_balance(spark, sf_dir):
+    from linkgraph.operators.metrics import class_balance as cb
+    return cb(Views(spark, sf_dir).train)
+
+
+# ---- metrics ----------------------------------------------------------------------
+@query
+def roc_curve(spark, sf_dir):
+    from linkgraph.operators.metrics import roc_curve as rc
+    return rc(Views(spark, sf_dir).valid)
+
+
+@query
+def roc_binned(spark, sf_dir):
+    from linkgraph.operators.metrics import roc_binned as rb
+    return rb(Views(spark, sf_dir).valid)
+
+
+@query
+def auc(spark, sf_dir):
+    from linkgraph.operators.metrics import auc as a
+    return a(Views(spark, sf_dir).valid)
+
+
+@query
+def fbeta_by_threshold(spark, sf_dir):
+    from linkgraph.operators.metrics import fbeta_by_threshold as fb
+    from linkgraph.operators.metrics import roc_curve as rc
+    v = Views(spark, sf_dir)
+    out = fb(rc(v.valid), v.p.beta)
+    return out.select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fbeta")])
+
+
+@query
+def best_threshold(spark, sf_dir):
+    from linkgraph.operators.metrics import best_threshold as bt
+    from linkgraph.operators.metrics import fbeta_by_threshold as fb
+    from linkgraph.operators.metrics import roc_curve as rc
+    v = Views(spark, sf_dir)
+    return bt(fb(rc(v.valid), v.p.beta))
+
+
+@query
+def hidden_neighbours(spark, sf_dir):
+    from linkgraph.operators.metrics import hidden_neighbours as hn
+    h = Views(spark, sf_dir).holdout
+    return hn(h.where(F.col("label") == 1))
+
+
+def _holdout_ranked(v: Views) -> DataFrame:
+    directed = R.target_users(R.flip_scores(v.holdout), v.p)
+    return R.top_k(directed, v.p.top_k)
+
+
+@query
+def ndcg(spark, sf_dir):
+    from linkgraph.operators.metrics import hidden_neighbours as hn
+    from linkgraph.operators.metrics import ndcg as nd
+    v = Views(spark, sf_dir)
+    return nd(_holdout_ranked(v), hn(v.holdout.where(F.col("label") == 1)))

@@ -62,3 +62,48 @@ class Views:
         lab = C.label_candidates(self.candidates, self.positives)
         return (C.with_degrees(lab, self.degree, "inner")
                 .withColumn("score", C.jaccard_score()))
+
+    # -- masks, 2-hop, features ----------------------------------------------
+    @cached_property
+    def hist(self) -> DataFrame:
+        from linkgraph.operators.masks import mask_pair_hist
+        return mask_pair_hist(self.pairs_masked, self.p.hist_min_support)
+
+    @cached_property
+    def ratios(self) -> DataFrame:
+        from linkgraph.operators.twohop import candidate_ratios
+        return candidate_ratios(self.labelled)
+
+    @cached_property
+    def twohop(self) -> DataFrame:
+        from linkgraph.operators.twohop import twohop_stats
+        return twohop_stats(self.pairs, self.candidates, self.ratios)
+
+    @cached_property
+    def attrs(self) -> DataFrame:
+        from linkgraph.operators.features import user_attributes
+        return user_attributes(self.degree, self.profile)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        from linkgraph.operators.features import feature_table
+        return feature_table(self.labelled, self.attrs, self.twohop, self.p.count_unknown_sex)
+
+    # -- sampling and splits ---------------------------------------------------
+    @cached_property
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        from linkgraph.operators.sampling import train_valid
+        return train_valid(self.labelled, self.p)
+
+    @property
+    def train(self) -> DataFrame:
+        return self.split[0]
+
+    @property
+    def valid(self) -> DataFrame:
+        return self.split[1]
+
+    @cached_property
+    def holdout(self) -> DataFrame:
+        from linkgraph.operators.sampling import holdout, thin_positives
+        return thin_positives(holdout(self.labelled, self.train, self.p), self.p)
