@@ -4,6 +4,13 @@ The reference samples with unseeded `math.random`, so every action redraws.
 Here a draw is a pure function of the pair key: recomputing a lost partition
 gives the same rows, the filter can be pushed below joins, and the same
 number comes out of DuckDB for the oracle.
+
+    h   = (p1 * A + p2 * B) mod M
+    u_s = ((h * C_s + s * S) mod M) / M,   C_s = 1 + (s * G) mod (M - 1)
+
+Each salt s scrambles h with its own multiplier, so draws with different
+salts are independent in practice (a plain additive salt would only shift
+one uniform and correlate every sample and split with each other).
 """
 
 from __future__ import annotations
@@ -17,17 +24,22 @@ HASH_A = 2654435761
 HASH_B = 40503
 HASH_SALT = 97
 HASH_MOD = 1000003
+HASH_G = 48271
+
+
+def salt_multiplier(salt: int) -> int:
+    return 1 + (salt * HASH_G) % (HASH_MOD - 1)
 
 
 def hash_unit(p1, p2, salt: int) -> Column:
-    """u in [0, 1): ((p1*A + p2*B + salt*S) mod M) / M."""
+    """u in [0, 1) for the pair (p1, p2) and the given salt."""
     p1 = F.col(p1) if isinstance(p1, str) else p1
     p2 = F.col(p2) if isinstance(p2, str) else p2
-    raw = (p1.cast("bigint") * F.lit(HASH_A) + p2.cast("bigint") * F.lit(HASH_B)
-           + F.lit(salt * HASH_SALT))
-    return F.pmod(raw, F.lit(HASH_MOD)).cast("double") / F.lit(float(HASH_MOD))
+    h = F.pmod(p1.cast("bigint") * F.lit(HASH_A) + p2.cast("bigint") * F.lit(HASH_B), F.lit(HASH_MOD))
+    u = F.pmod(h * F.lit(salt_multiplier(salt)) + F.lit(salt * HASH_SALT), F.lit(HASH_MOD))
+    return u.cast("double") / F.lit(float(HASH_MOD))
 
 
 def hash_unit_sql(p1: str, p2: str, salt: int) -> str:
-    return (f"(((CAST({p1} AS BIGINT) * {HASH_A} + CAST({p2} AS BIGINT) * {HASH_B} + "
-            f"{salt * HASH_SALT}) % {HASH_MOD}) / {float(HASH_MOD)})")
+    h = f"((CAST({p1} AS BIGINT) * {HASH_A} + CAST({p2} AS BIGINT) * {HASH_B}) % {HASH_MOD})"
+    return f"((({h} * {salt_multiplier(salt)} + {salt * HASH_SALT}) % {HASH_MOD}) / {float(HASH_MOD)})"

@@ -298,8 +298,9 @@ SELECT label, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUB
 FROM train GROUP BY label""", "train")
 # ---- metrics -----------------------------------------------------------------------------------
 oracle("roc_curve", """
-SELECT threshold, pos, neg, tp, fp, round(tp / CAST(P_all AS DOUBLE), 6) AS tpr,
-  round(fp / CAST(N_all AS DOUBLE), 6) AS fpr FROM curve""", "curve")
+SELECT threshold, pos, neg, tp, fp,
+  CASE WHEN P_all = 0 THEN NULL ELSE round(tp / CAST(P_all AS DOUBLE), 6) END AS tpr,
+  CASE WHEN N_all = 0 THEN NULL ELSE round(fp / CAST(N_all AS DOUBLE), 6) END AS fpr FROM curve""", "curve")
 oracle("auc", """
 SELECT round(sum(neg * (tp - pos / 2.0)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS auc
 FROM curve""", "curve")
