@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from linkgraph.config import Params
 
 
+def by_friend(kept: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Hash-partition the banded edges on friend_id for the pair explosion.
+
+    The explosion multiplies rows (sum of C(n, 2) per friend), so its
+    parallelism must not follow the small input size: an explicit partition
+    count keeps AQE from coalescing the input into a few tasks, and the self
+    join then needs no further exchange on either side."""
+    n = partitions or int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept.repartition(n, "friend_id")
+
+
 def pair_rows(kept: DataFrame, with_masks: bool = False) -> DataFrame:
     """One row per (p1, p2, friend) with p1 < p2 both naming friend.
 
     A self equi-join on friend_id plus the order predicate; the bands on
     `kept` bound every friend group, so the join never sees an unbounded key.
     With masks, mask1 belongs to p1 and mask2 to p2."""
+    kept = by_friend(kept)
     a = kept.select(F.col("friend_id"), F.col("user_id").alias("p1"), F.col("mask").alias("mask1"))
     b = kept.select(F.col("friend_id"), F.col("user_id").alias("p2"), F.col("mask").alias("mask2"))
     rows = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))

@@ -107,7 +107,7 @@ def topk_recommend(spark, sf_dir):
 @query
 def common_friend_ids(spark, sf_dir):
     from linkgraph.operators.candidates import common_friend_ids as cfi
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates'})
     out = cfi(v.pairs, v.candidates)
     return out.select("p1", "p2", F.size("friend_ids").cast("bigint").alias("n_common"),
                       F.array_join(F.col("friend_ids").cast("array<string>"), ",").alias("friend_ids"))
@@ -138,7 +138,7 @@ def profile_features(spark, sf_dir):
 
 @query
 def feature_table(spark, sf_dir):
-    return Views(spark, sf_dir).features
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates', 'labelled'}).features
 
 
 # ---- masks ----------------------------------------------------------------------
@@ -187,7 +187,7 @@ def edge_mask_bits(spark, sf_dir):
 # ---- 2-hop ------------------------------------------------------------------------
 @query
 def twohop_stats(spark, sf_dir):
-    return Views(spark, sf_dir).twohop
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates'}).twohop
 
 
 # ---- groups, samples, splits -----------------------------------------------------
@@ -219,13 +219,13 @@ def holdout_group(spark, sf_dir):
 @query
 def holdout_anti(spark, sf_dir):
     from linkgraph.operators.sampling import holdout
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'})
     return holdout(_lab(v), v.train, v.p)
 
 
 @query
 def holdout_thinning(spark, sf_dir):
-    return Views(spark, sf_dir).holdout.select("p1", "p2", "label")
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).holdout.select("p1", "p2", "label")
 
 
 @query
@@ -254,33 +254,33 @@ def train_valid_split(spark, sf_dir):
 @query
 def class_balance(spark, sf_dir):
     from linkgraph.operators.metrics import class_balance as cb
-    return cb(Views(spark, sf_dir).train)
+    return cb(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).train)
 
 
 # ---- metrics ----------------------------------------------------------------------
 @query
 def roc_curve(spark, sf_dir):
     from linkgraph.operators.metrics import roc_curve as rc
-    return rc(Views(spark, sf_dir).valid)
+    return rc(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).valid)
 
 
 @query
 def roc_binned(spark, sf_dir):
     from linkgraph.operators.metrics import roc_binned as rb
-    return rb(Views(spark, sf_dir).valid)
+    return rb(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).valid)
 
 
 @query
 def auc(spark, sf_dir):
     from linkgraph.operators.metrics import auc as a
-    return a(Views(spark, sf_dir).valid)
+    return a(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).valid)
 
 
 @query
 def fbeta_by_threshold(spark, sf_dir):
     from linkgraph.operators.metrics import fbeta_by_threshold as fb
     from linkgraph.operators.metrics import roc_curve as rc
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'})
     out = fb(rc(v.valid), v.p.beta)
     return out.select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fbeta")])
 
@@ -290,14 +290,14 @@ def best_threshold(spark, sf_dir):
     from linkgraph.operators.metrics import best_threshold as bt
     from linkgraph.operators.metrics import fbeta_by_threshold as fb
     from linkgraph.operators.metrics import roc_curve as rc
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'})
     return bt(fb(rc(v.valid), v.p.beta))
 
 
 @query
 def hidden_neighbours(spark, sf_dir):
     from linkgraph.operators.metrics import hidden_neighbours as hn
-    h = Views(spark, sf_dir).holdout
+    h = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).holdout
     return hn(h.where(F.col("label") == 1))
 
 
@@ -310,5 +310,5 @@ def _holdout_ranked(v: Views) -> DataFrame:
 def ndcg(spark, sf_dir):
     from linkgraph.operators.metrics import hidden_neighbours as hn
     from linkgraph.operators.metrics import ndcg as nd
-    v = Views(spark, sf_dir)
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'})
     return nd(_holdout_ranked(v), hn(v.holdout.where(F.col("label") == 1)))

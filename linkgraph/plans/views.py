@@ -16,17 +16,30 @@ from linkgraph.config import FIXTURE, Params
 from linkgraph.operators import candidates as C
 from linkgraph.operators import graph as G
 from linkgraph.sources.fixtures import Fixture
+from linkgraph.sources.store import materialize
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = FIXTURE):
+    """Stages named in `stages` are written to the checkpoint folder the
+    first time they are needed (edges and banded edges by default: every
+    later plan reads them several times).  Queries that read candidates or
+    labelled pairs more than once add those."""
+
+    DEFAULT_STAGES = frozenset({"edges", "kept"})
+
+    def __init__(self, spark: SparkSession, sf_dir: str, params: Params = FIXTURE,
+                 stages=DEFAULT_STAGES):
         self.spark, self.sf_dir, self.p = spark, sf_dir, params
+        self.stages = frozenset(stages)
         self.fx = Fixture(spark, sf_dir)
 
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if name in self.stages else df
+
     # -- base tables -------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
-        return self.fx.edges()
+        return self._stage(self.fx.edges(), "edges")
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -38,7 +51,7 @@ class Views:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return G.kept_edges(self.edges, self.p, self.degree)
+        return self._stage(G.kept_edges(self.edges, self.p, self.degree), "kept")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -50,7 +63,8 @@ class Views:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return C.pair_counts(self.pairs).where(F.col("common_cnt") > self.p.min_support)
+        return self._stage(C.pair_counts(self.pairs).where(F.col("common_cnt") > self.p.min_support),
+                           "candidates")
 
     @cached_property
     def positives(self) -> DataFrame:
@@ -60,14 +74,14 @@ class Views:
     def labelled(self) -> DataFrame:
         """candidates + label + degrees + the model-free score."""
         lab = C.label_candidates(self.candidates, self.positives)
-        return (C.with_degrees(lab, self.degree, "inner")
-                .withColumn("score", C.jaccard_score()))
+        return self._stage(C.with_degrees(lab, self.degree, "inner")
+                           .withColumn("score", C.jaccard_score()), "labelled")
 
     # -- masks, 2-hop, features ----------------------------------------------
     @cached_property
     def hist(self) -> DataFrame:
         from linkgraph.operators.masks import mask_pair_hist
-        return mask_pair_hist(self.pairs_masked, self.p.hist_min_support)
+        return mask_pair_hist(self.kept, self.p.hist_min_support)
 
     @cached_property
     def ratios(self) -> DataFrame:
