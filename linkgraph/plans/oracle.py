@@ -328,3 +328,34 @@ LEFT JOIN (SELECT r.user_id, sum(1.0 / log2(r.rank + 1.0)) AS dcg FROM hrank r
 JOIN (SELECT i AS n, sum(1.0 / log2(i + 1.0)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS idcg
       FROM (SELECT DISTINCT row_number() OVER (PARTITION BY user_id ORDER BY neighbour_id) AS i FROM truth) s) i
   ON i.n = nt.n""", "truth", "hrank")
+
+# ---- sources and sinks --------------------------------------------------------------------
+oracle("edges_from_adjacency", "SELECT user_id, friend_id, mask FROM edges", "edges")
+oracle("demography_roundtrip", """
+SELECT user_id, birth_date, CAST(gender AS INTEGER) AS gender, CAST(location_id AS INTEGER) AS location_id,
+  CAST(login_region AS INTEGER) AS login_region FROM profile""", "profile")
+oracle("candidates_scan", "SELECT p1, p2, common_cnt FROM candidates", "candidates")
+oracle("candidates_bucket", f"SELECT p1, p2, common_cnt FROM candidates WHERE p1 % {P.n_buckets} = 33",
+       "candidates")
+oracle("reversed_lists_roundtrip", "SELECT user_id, friend_id, mask FROM kept", "kept")
+oracle("table_preview", "SELECT user_id, friend_id, mask FROM edges ORDER BY user_id, friend_id LIMIT 50",
+       "edges")
+_SUMMARY_COLS = ["birth_date", "gender", "location_id", "login_region"]
+oracle("profile_summary", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+  round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min_value,
+  CAST(max({c}) AS DOUBLE) AS max_value FROM profile""" for c in _SUMMARY_COLS), "profile")
+oracle("log_degree_hist", """
+SELECT bin, CAST(bin AS DOUBLE) * 0.5 AS bin_start, count(*) AS n
+FROM (SELECT CAST(floor(ln(CAST(deg AS DOUBLE)) / 0.5) AS INTEGER) AS bin FROM degree) t GROUP BY bin""",
+       "degree")
+oracle("ranked_list_text", """
+SELECT user_id, CAST(user_id AS VARCHAR) || chr(9) ||
+  string_agg(CAST(candidate_id AS VARCHAR), chr(9) ORDER BY rank) AS line
+FROM topk GROUP BY user_id""", "topk")
+oracle("ranked_list_parse", "SELECT user_id, rank, candidate_id FROM topk WHERE user_id <> 0", "topk")
+oracle("twohop_text_roundtrip", """
+SELECT p1, p2, CAST(max_common AS DOUBLE) AS max_common, CAST(linked_pairs AS DOUBLE) AS linked_pairs,
+  max_ratio_maxdeg, max_ratio_mindeg FROM twohop""", "twohop")
+oracle("hidden_edges_text", "SELECT p1, p2 FROM hold WHERE label = 1", "hold")
+oracle("probabilities_roundtrip", "SELECT user_id, candidate_id, score FROM flipped", "flipped")

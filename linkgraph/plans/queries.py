@@ -312,3 +312,108 @@ def ndcg(spark, sf_dir):
     from linkgraph.operators.metrics import ndcg as nd
     v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'})
     return nd(_holdout_ranked(v), hn(v.holdout.where(F.col("label") == 1)))
+
+
+# ---- sources and sinks: native layouts, written and read back ------------------------
+@query
+def edges_from_adjacency(spark, sf_dir):
+    from linkgraph.sources import text as X
+    lines = X.roundtrip(X.render_adjacency(Views(spark, sf_dir).edges), "adjacency")
+    return X.parse_adjacency(lines)
+
+
+@query
+def demography_roundtrip(spark, sf_dir):
+    from linkgraph.sources import text as X
+    from linkgraph.sources.store import stage_path
+    prof = Views(spark, sf_dir).profile
+    path = stage_path(prof, "demography")
+    X.write_lines(X.render_demography(prof), path, gzip=False)
+    return X.read_demography(spark, path).select("user_id", "birth_date", "gender", "location_id",
+                                                 "login_region")
+
+
+@query
+def candidates_scan(spark, sf_dir):
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    v = Views(spark, sf_dir)
+    path = stage_path(v.candidates, "candidates_by_bucket")
+    TB.write_candidates(v.candidates, path, v.p.n_buckets)
+    return TB.read_candidates(spark, path)
+
+
+@query
+def candidates_bucket(spark, sf_dir):
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    v = Views(spark, sf_dir)
+    path = stage_path(v.candidates, "candidates_by_bucket")
+    TB.write_candidates(v.candidates, path, v.p.n_buckets)
+    return TB.read_candidates(spark, path, bucket=33)
+
+
+@query
+def reversed_lists_roundtrip(spark, sf_dir):
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    adj = G.reverse_adjacency(Views(spark, sf_dir).kept, with_masks=True)
+    path = stage_path(adj, "reversed_masks")
+    TB.write_reversed(adj, path)
+    return TB.read_reversed(spark, path).select("user_id", "friend_id", "mask")
+
+
+@query
+def table_preview(spark, sf_dir):
+    from linkgraph.sources.tables import preview
+    return preview(Views(spark, sf_dir).edges, 50, ["user_id", "friend_id"])
+
+
+@query
+def profile_summary(spark, sf_dir):
+    from linkgraph.operators.explore import column_summary
+    return column_summary(Views(spark, sf_dir).profile,
+                          ["birth_date", "gender", "location_id", "login_region"])
+
+
+@query
+def log_degree_hist(spark, sf_dir):
+    from linkgraph.operators.explore import log_degree_hist as ldh
+    return ldh(Views(spark, sf_dir).degree)
+
+
+@query
+def ranked_list_text(spark, sf_dir):
+    return R.ranked_lines(_topk(Views(spark, sf_dir)))
+
+
+@query
+def ranked_list_parse(spark, sf_dir):
+    from linkgraph.sources import text as X
+    lines = R.ranked_lines(_topk(Views(spark, sf_dir))).select(F.col("line").alias("value"))
+    return X.parse_ranked_lists(X.roundtrip(lines, "ranked"))
+
+
+@query
+def twohop_text_roundtrip(spark, sf_dir):
+    from linkgraph.sources import text as X
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates"})
+    return X.parse_twohop(X.roundtrip(X.render_twohop(v.twohop), "twohop"))
+
+
+@query
+def hidden_edges_text(spark, sf_dir):
+    from linkgraph.sources import text as X
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"labelled"})
+    truth = v.holdout.where(F.col("label") == 1).select("p1", "p2")
+    return X.parse_pairs(X.roundtrip(X.render_pairs(truth), "hidden"))
+
+
+@query
+def probabilities_roundtrip(spark, sf_dir):
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    scores = R.flip_scores(_score_population(Views(spark, sf_dir)))
+    path = stage_path(scores, "proba")
+    TB.write_probabilities(scores, path)
+    return TB.read_probabilities(spark, path)
