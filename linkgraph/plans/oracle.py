@@ -359,3 +359,17 @@ SELECT p1, p2, CAST(max_common AS DOUBLE) AS max_common, CAST(linked_pairs AS DO
   max_ratio_maxdeg, max_ratio_mindeg FROM twohop""", "twohop")
 oracle("hidden_edges_text", "SELECT p1, p2 FROM hold WHERE label = 1", "hold")
 oracle("probabilities_roundtrip", "SELECT user_id, candidate_id, score FROM flipped", "flipped")
+
+# ---- ML (the scaler is checkable in SQL; the fitted models are rows-only) ------------------
+from linkgraph.operators.features import FEATURE_COLS as _FC  # noqa: E402
+
+cte("ftab", ORACLE["feature_table"][ORACLE["feature_table"].index("SELECT p1, p2, label, common_cnt,"):],
+    "labelled", "twohop", "attrs")
+cte("ftrain", f"""
+SELECT * FROM ftab WHERE {TRAIN_G} AND (label = 1 OR {H1} < {P.negative_fraction!r})
+  AND {H2} <= {P.row_sample_rate!r} AND {H3} < {P.train_fraction!r}""", "ftab")
+oracle("scaled_features", "SELECT p1, p2, " + ", ".join(
+    f"CASE WHEN sd_{c} IS NULL OR sd_{c} = 0 THEN CAST(0.0 AS DOUBLE) "
+    f"ELSE round(CAST({c} AS DOUBLE) / sd_{c}, 6) END AS {c}" for c in _FC) +
+    "\nFROM ftrain, (SELECT " + ", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS sd_{c}" for c in _FC) +
+    " FROM ftrain) s", "ftrain")

@@ -417,3 +417,48 @@ def probabilities_roundtrip(spark, sf_dir):
     path = stage_path(scores, "proba")
     TB.write_probabilities(scores, path)
     return TB.read_probabilities(spark, path)
+
+
+# ---- ML ---------------------------------------------------------------------------------
+ML_STAGES = Views.DEFAULT_STAGES | {"candidates", "labelled", "vectors"}
+
+
+@query
+def scaled_features(spark, sf_dir):
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from linkgraph.operators.features import FEATURE_COLS
+    from linkgraph.operators.sampling import train_valid
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates", "labelled"})
+    train, _ = train_valid(v.features, v.p)
+    vec = VectorAssembler(inputCols=FEATURE_COLS, outputCol="x").transform(train)
+    sc = StandardScaler(inputCol="x", outputCol="xs", withStd=True, withMean=False).fit(vec)
+    out = sc.transform(vec).select("p1", "p2", vector_to_array("xs").alias("_a"))
+    return out.select("p1", "p2", *[F.round(F.col("_a").getItem(i), 6).alias(c)
+                                    for i, c in enumerate(FEATURE_COLS)])
+
+
+@query
+def feature_vector(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    v = Views(spark, sf_dir, stages=ML_STAGES)
+    return v.vectors.select("p1", "p2", "label", vector_to_array("features").alias("features"))
+
+
+@query
+def mask_pca(spark, sf_dir):
+    return Views(spark, sf_dir).pca
+
+
+@query
+def link_model_coefficients(spark, sf_dir):
+    from linkgraph.operators.model import coefficients
+    return coefficients(Views(spark, sf_dir, stages=ML_STAGES).model)
+
+
+@query
+def link_scores(spark, sf_dir):
+    from linkgraph.operators.model import score
+    v = Views(spark, sf_dir, stages=ML_STAGES)
+    return score(v.model, v.ml_split[1])

@@ -121,3 +121,34 @@ class Views:
     def holdout(self) -> DataFrame:
         from linkgraph.operators.sampling import holdout, thin_positives
         return thin_positives(holdout(self.labelled, self.train, self.p), self.p)
+
+    # -- ML ------------------------------------------------------------------------
+    @cached_property
+    def pca(self) -> DataFrame:
+        from linkgraph.operators.masks import hist_vectors
+        from linkgraph.operators.model import fit_pca
+        return fit_pca(hist_vectors(self.hist), self.p.pca_k)
+
+    @cached_property
+    def shares(self) -> DataFrame:
+        from linkgraph.operators.masks import mask_diag_counts
+        from linkgraph.operators.model import type_shares
+        return type_shares(mask_diag_counts(self.hist), self.candidates)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Full feature vectors of all candidates (staged when asked: the
+        PCA fit, the scaler, L-BFGS and scoring all read it)."""
+        from linkgraph.operators.model import full_features
+        return self._stage(full_features(self.features, self.pca, self.shares, min(self.p.pca_k, 252)),
+                           "vectors")
+
+    @cached_property
+    def ml_split(self) -> tuple[DataFrame, DataFrame]:
+        from linkgraph.operators.sampling import train_valid
+        return train_valid(self.vectors, self.p)
+
+    @cached_property
+    def model(self):
+        from linkgraph.operators.model import fit
+        return fit(self.ml_split[0], self.p.max_iter)
