@@ -462,3 +462,13 @@ def link_scores(spark, sf_dir):
     from linkgraph.operators.model import score
     v = Views(spark, sf_dir, stages=ML_STAGES)
     return score(v.model, v.ml_split[1])
+
+
+# ---- end-to-end ---------------------------------------------------------------------------
+@query
+def run_report(spark, sf_dir):
+    """Z1-Z8 + K9 on the fixture graph; the one-row report of the run."""
+    from linkgraph.plans.jobs import run
+    from linkgraph.sources.store import stage_path
+    fx = Views(spark, sf_dir, stages=frozenset())
+    return run(spark, fx.edges, fx.profile, stage_path(fx.edges, "run"), fx.p)
