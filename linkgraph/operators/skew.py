@@ -47,4 +47,4 @@ def filter_by_key_count(df: DataFrame, key: str, lo: int, hi: int,
     hot = hot_keys(counts, key, cnt_col, hi)
     in_band = counts.where(F.col(cnt_col).between(lo, hi)).select(key)
     cool = df.join(F.broadcast(hot), key, "left_anti")
-    return cool.join(in_band, key, "left_semi")
+    return cool.join(in_band, key, "left_semi").select(*df.columns)

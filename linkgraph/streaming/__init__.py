@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window or state logic: every job is
+a batch over files.  Nothing is built here; the package exists so the
+layout matches the other components.
+"""
