@@ -91,6 +91,10 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
     model = ML.fit(train, p.max_iter)
     model.write().overwrite().save(f"{out_dir}/model")  # K7
     vs = _save(ML.score(model, valid), f"{out_dir}/valid_scores")
+    # K6: (prediction, label) of training (1 file) and validation (4 files)
+    for part, df, files in (("training", ML.score(model, train), 1), ("validation", vs, 4)):
+        TB.write_prediction_labels(df.select(F.col("score").alias("prediction"), "label"),
+                                   f"{out_dir}/Model_fin/{part}", files)
     curve = MT.roc_curve(vs)
     auc = MT.auc_from_curve(curve).first()["auc"]
     best = MT.best_threshold(MT.fbeta_by_threshold(curve, p.beta)).first()
@@ -105,6 +109,9 @@ def recommend(vectors: DataFrame, model, threshold: float, out_dir: str, p: Para
     directed = R.flip_scores(ML.score(model, pop))
     ranked = R.top_k(R.target_users(directed, p, residue=p.test_residue, threshold=threshold), p.top_k)
     ranked = _save(ranked, f"{out_dir}/prediction_ranked")
+    # K6: (prediction, label) of the test group (8 files)
+    TB.write_prediction_labels(ML.score(model, pop).select(F.col("score").alias("prediction"), "label"),
+                               f"{out_dir}/Model_fin/test", 8)
     X.write_lines(R.ranked_lines(ranked).select(F.col("line").alias("value")), f"{out_dir}/prediction")
     return ranked
 
