@@ -100,6 +100,25 @@ def hidden_neighbours(truth_pairs: DataFrame) -> DataFrame:
     return truth_pairs.select(both.alias("_e")).select("_e.*")
 
 
+IDCG_CHUNK = 4096
+
+
+def ideal_dcg(n_truth: DataFrame) -> DataFrame:
+    """Ideal DCG of |truth| ones, sum_{i=1..n} 1/log2(i + 1), per user.
+
+    The ideal is not capped at the list length (as in the reference), so n
+    is unbounded; the sum is cut into chunks of IDCG_CHUNK terms, one row per
+    chunk, spread over partitions and summed with a partial aggregate."""
+    c = IDCG_CHUNK
+    chunks = n_truth.select("user_id", "n_truth", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("n_truth") - 1) / c).cast("int"))).alias("_k"))
+    part = F.aggregate(F.sequence(F.col("_k") * c + 1, F.least(F.col("n_truth"), (F.col("_k") + 1) * c)
+                                  .cast("int")),
+                       F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1.0))
+    return (chunks.repartition("user_id", "_k").select("user_id", part.alias("_s"))
+            .groupBy("user_id").agg(F.sum("_s").alias("idcg")))
+
+
 def ndcg(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """A10 + J15: per user DCG of the ranked list (gain 1 on a hidden
     neighbour, discount log2(rank + 1)) over the ideal DCG of |truth| ones;
@@ -109,9 +128,7 @@ def ndcg(ranked: DataFrame, truth: DataFrame) -> DataFrame:
             .join(truth, ["user_id", "neighbour_id"]))
     dcg = hits.groupBy("user_id").agg(F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     n = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_truth"))
-    idcg = F.aggregate(F.sequence(F.lit(1), F.col("n_truth").cast("int")), F.lit(0.0),
-                       lambda acc, i: acc + 1.0 / F.log2(i + 1.0))
-    per_user = n.join(dcg, "user_id", "left").select(
-        "user_id", (F.coalesce("dcg", F.lit(0.0)) / idcg).alias("ndcg"))
+    per_user = (n.join(ideal_dcg(n), "user_id").join(dcg, "user_id", "left")
+                .select("user_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).alias("ndcg")))
     return per_user.agg(F.round(F.sum("ndcg") / F.count(F.lit(1)) * 1000.0, 6).alias("ndcg_x1000"),
                         F.count(F.lit(1)).alias("truth_users"))

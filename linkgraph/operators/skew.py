@@ -48,3 +48,21 @@ def filter_by_key_count(df: DataFrame, key: str, lo: int, hi: int,
     in_band = counts.where(F.col(cnt_col).between(lo, hi)).select(key)
     cool = df.join(F.broadcast(hot), key, "left_anti")
     return cool.join(in_band, key, "left_semi").select(*df.columns)
+
+
+def join_per_key(df: DataFrame, right: DataFrame, key: str, how: str = "inner",
+                 counts: DataFrame | None = None) -> DataFrame:
+    """Join `df` with `right` (at most one row per key) without sending a hot
+    key's rows to one task.
+
+    Rows of the hot keys (at most HOT_SHARE of them) meet their `right` rows
+    through a broadcast of those few rows, map-side; all other rows take the
+    ordinary shuffle join.  `how` is one of inner, left, left_semi, left_anti."""
+    counts = counts if counts is not None else key_counts(df, key)
+    cnt_col = [c for c in counts.columns if c != key][0]
+    hot = hot_keys(counts, key, cnt_col, 0)
+    right_hot = right.join(hot, key, "left_semi")
+    hot_part = (df.join(F.broadcast(hot), key, "left_semi")
+                .join(F.broadcast(right_hot), key, how))
+    cool_part = df.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return hot_part.unionByName(cool_part)

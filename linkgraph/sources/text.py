@@ -48,9 +48,10 @@ def render_adjacency(edges: DataFrame, max_items: int = 1000) -> DataFrame:
     about `max_items` by a hash of the friend, so even a user holding a
     large share of all edges never becomes one giant group or line; the
     parser reads any number of lines per user."""
+    from linkgraph.operators.skew import join_per_key
     deg = edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("_deg") / F.lit(max_items)))
-    keyed = edges.join(deg, "user_id").withColumn(
+    keyed = join_per_key(edges, deg, "user_id", "inner", counts=deg).withColumn(
         "_chunk", F.pmod(F.xxhash64("friend_id"), chunks))
     item = F.concat(F.lit("("), F.col("friend_id").cast("string"), F.lit(","),
                     F.col("mask").cast("string"), F.lit(")"))
