@@ -101,3 +101,14 @@ def feature_table(labelled: DataFrame, attrs: DataFrame, twohop: DataFrame,
 
 FEATURE_COLS = ["common_cnt", "share_max", "share_min", "share2_default", "age_gap",
                 "same_sex", "same_city", "same_region"] + TWOHOP_COLS
+
+# Scalar feature lists of the reference's job generations (the vector parts
+# PCA, per-type shares and edge mask bits are switched separately):
+# the original 3-feature baseline (unknown sex counted as same, see
+# profile_feature_cols), the extended baseline, and the production job.
+FEATURE_SETS = {
+    "baseline": ["common_cnt", "age_gap", "same_sex"],
+    "extended": ["common_cnt", "share1", "share2", "share_max", "share_min", "share2_default",
+                 "age_gap", "same_sex", "same_city"],
+    "production": FEATURE_COLS,
+}

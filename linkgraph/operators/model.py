@@ -42,11 +42,18 @@ def type_shares(diag: DataFrame, candidates: DataFrame, divide: bool = True) ->
 
 
 def full_features(features: DataFrame, pca: DataFrame | None, shares: DataFrame | None,
-                  k: int) -> DataFrame:
+                  k: int, cols: list[str] | None = None,
+                  edge_bits: DataFrame | None = None) -> DataFrame:
     """M5 + U2: scalar features, PCA projection (zeros when the pair has no
-    histogram, J4) and per-type shares (zeros, J5) as one vector column."""
+    histogram, J4), per-type shares (zeros, J5) and, when given, the 21 mask
+    bits of the known edge (F13 / J3, zeros for non-edges; off by default:
+    it leaks the label) as one vector column."""
     df = features
-    parts = [F.array(*[F.col(c).cast("double") for c in FEATURE_COLS])]
+    parts = [F.array(*[F.col(c).cast("double") for c in (cols or FEATURE_COLS)])]
+    if edge_bits is not None:
+        bits = F.transform(F.split(F.col("bits"), ""), lambda b: b.cast("double"))
+        df = df.join(edge_bits.select("p1", "p2", bits.alias("_bits")), ["p1", "p2"], "left")
+        parts.append(F.coalesce("_bits", F.array_repeat(F.lit(0.0), MASK_BITS)))
     if pca is not None:
         df = df.join(pca, ["p1", "p2"], "left")
         parts.append(F.coalesce("pca", F.array_repeat(F.lit(0.0), k)))

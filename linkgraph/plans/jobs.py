@@ -61,7 +61,9 @@ def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
 
 def mask_histogram(st: Stages, out_dir: str, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histogram (long form), PCA projection (M1) and per-type shares."""
-    hist = _save(MK.mask_pair_hist(st.kept, p.hist_min_support), f"{out_dir}/hist")
+    # K2: the histogram is written bucketed like the candidates
+    TB.write_candidates(MK.mask_pair_hist(st.kept, p.hist_min_support), f"{out_dir}/hist", p.n_buckets)
+    hist = TB.read_candidates(st.edges.sparkSession, f"{out_dir}/hist")
     pca = _save(ML.fit_pca(MK.hist_vectors(hist), p.pca_k), f"{out_dir}/hist_pca")
     shares = _save(ML.type_shares(MK.mask_diag_counts(hist), st.candidates), f"{out_dir}/type_shares")
     return hist, pca, shares

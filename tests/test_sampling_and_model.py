@@ -58,3 +58,15 @@ def test_pca_and_lr(spark):
     proj = np.array([r["pca"] for r in ML.fit_pca(h, 3).collect()])
     var = proj.var(axis=0)
     assert var[0] >= var[1] >= var[2]
+
+
+def test_feature_sets_and_edge_bits(spark):
+    from linkgraph.operators.features import FEATURE_SETS
+    feats = spark.createDataFrame([(1, 2, 1, 3, 0.5, 0.25, 0.1, 4, 1, 0, 1, 0, 0, 0.0, 0.0)],
+                                  "p1 BIGINT, p2 BIGINT, label INT, common_cnt BIGINT, share_max DOUBLE, "
+                                  "share_min DOUBLE, share2_default DOUBLE, age_gap BIGINT, same_sex INT, "
+                                  "same_city INT, same_region INT, max_common BIGINT, linked_pairs BIGINT, "
+                                  "max_ratio_maxdeg DOUBLE, max_ratio_mindeg DOUBLE")
+    bits = spark.createDataFrame([(1, 2, "0" * 20 + "1")], "p1 BIGINT, p2 BIGINT, bits STRING")
+    v = ML.full_features(feats, None, None, 0, FEATURE_SETS["baseline"], bits).first()["features"]
+    assert list(v.toArray()) == [3.0, 4.0, 1.0] + [0.0] * 20 + [1.0]
