@@ -8,15 +8,34 @@ from pyspark.sql import functions as F
 from linkgraph.config import Params
 
 
+# Pair rows one explosion task should emit (they stream into a partial
+# aggregate that spills, so this bounds task time rather than memory).
+PAIR_ROWS_PER_TASK = 20_000_000
+
+
+def pair_explosion_size(kept: DataFrame) -> int:
+    """Exact number of (p1, p2, friend) rows of the self join:
+    sum over friends of C(n_f, 2), from a per-friend count (one number
+    comes back to the driver)."""
+    n = F.col("n").cast("double")
+    tot = (kept.groupBy("friend_id").agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.sum(n * (n - 1) / 2).alias("t")).first()["t"])
+    return int(tot or 0)
+
+
 def by_friend(kept: DataFrame, partitions: int | None = None) -> DataFrame:
     """Hash-partition the banded edges on friend_id for the pair explosion.
 
     The explosion multiplies rows (sum of C(n, 2) per friend), so its
-    parallelism must not follow the small input size: an explicit partition
-    count keeps AQE from coalescing the input into a few tasks, and the self
-    join then needs no further exchange on either side."""
-    n = partitions or int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return kept.repartition(n, "friend_id")
+    parallelism must follow the output, not the small input: the partition
+    count is sized from the exact explosion size (at least the session's
+    shuffle partitions), and being explicit it keeps AQE from coalescing the
+    input into a few tasks.  The self join then needs no further exchange."""
+    if partitions is None:
+        base = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        need = -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK)
+        partitions = max(base, need)
+    return kept.repartition(partitions, "friend_id")
 
 
 def pair_rows(kept: DataFrame, with_masks: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ def mask_pair_hist(kept: DataFrame, min_support: int = 5) -> DataFrame:
     (pair, friend) row also emits the support counter (cell 253), so the
     join runs once for both the cells and the support."""
     from linkgraph.operators.candidates import by_friend
-    kp = by_friend(kept).select("friend_id", "user_id", "mask",
+    kp = by_friend(kept.select("friend_id", "user_id", "mask")).select("friend_id", "user_id", "mask",
                      F.posexplode(mask_positions("mask")).alias("idx", "pos"))
     a = kp.select("friend_id", F.col("user_id").alias("p1"), F.col("mask").alias("m1"),
                   F.col("idx").alias("i1"), F.col("pos").alias("a"))

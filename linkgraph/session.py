@@ -22,6 +22,26 @@ PLAN_CONF = {
 }
 
 
+# Suggested settings for a large cluster (hundreds of TB of edges): start
+# from many shuffle partitions and let AQE coalesce them to ~256 MB; split
+# skewed join partitions; read files in 256 MB splits.  The launcher owns
+# these; `apply_conf` only sets SQL settings that may change at run time.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    **PLAN_CONF,
+}
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8,
                   app: str = "linkgraph", driver_memory: str = "16g") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
