@@ -64,7 +64,7 @@ def full_features(features: DataFrame, pca: DataFrame | None, shares: DataFrame
                      array_to_vector(F.concat(*parts)).alias("features"))
 
 
-def link_pipeline(max_iter: int = 100) -> Pipeline:
+def link_model_stages(max_iter: int = 100) -> Pipeline:
     """M2 + M3: unit-variance scaling without centring, fitted on the
     training rows only, then unregularised logistic regression with an
     intercept.  Standardisation inside LR is off: the scaler already did it."""
@@ -76,7 +76,7 @@ def link_pipeline(max_iter: int = 100) -> Pipeline:
 
 
 def fit(train: DataFrame, max_iter: int = 100) -> PipelineModel:
-    return link_pipeline(max_iter).fit(train)
+    return link_model_stages(max_iter).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from linkgraph.functions.hashing import hash_unit
 
 
 def _res(c: str, p: Params) -> Column:
-    return F.col(c) % p.modulus  # sign-following %, as Scala
+    return F.col(c) % p.modulus  # sign-following %, like the JVM remainder
 
 
 def train_group(p: Params = Params()) -> Column:

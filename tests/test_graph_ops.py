@@ -119,3 +119,16 @@ def test_twohop(spark):
         if hits:
             exp[pr] = (max(h[0] for h in hits), sum(h[1] for h in hits))
     assert got == exp
+
+
+def test_join_per_key_hot_key(spark):
+    from linkgraph.operators.skew import join_per_key
+    rows = [(u, 0) for u in range(900)] + [(u, 1 + u % 40) for u in range(1800)]
+    df = spark.createDataFrame(rows, "user_id BIGINT, friend_id BIGINT")
+    right = spark.createDataFrame([(0, "a"), (3, "b"), (99, "c")], "friend_id BIGINT, tag STRING")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = sorted(tuple(r) for r in join_per_key(df, right, "friend_id", how)
+                     .select(*(["friend_id", "user_id"] + (["tag"] if how in ("inner", "left") else []))).collect())
+        exp = sorted(tuple(r) for r in df.join(right, "friend_id", how)
+                     .select(*(["friend_id", "user_id"] + (["tag"] if how in ("inner", "left") else []))).collect())
+        assert got == exp, how

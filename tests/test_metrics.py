@@ -78,3 +78,13 @@ def test_roc_binned_totals(spark):
     b = MT.roc_binned(df).toPandas()
     assert b["tp"].max() == sum(r[3] for r in rows)
     assert b["fp"].max() == sum(1 - r[3] for r in rows)
+
+
+def test_ideal_dcg_chunks(spark):
+    from linkgraph.operators.metrics import IDCG_CHUNK, ideal_dcg
+    ns = [1, 2, IDCG_CHUNK, IDCG_CHUNK + 1, 3 * IDCG_CHUNK + 7]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "user_id BIGINT, n_truth BIGINT")
+    got = {r["user_id"]: r["idcg"] for r in ideal_dcg(df).collect()}
+    for i, n in enumerate(ns):
+        exp = sum(1.0 / math.log2(k + 1.0) for k in range(1, n + 1))
+        assert abs(got[i] - exp) < 1e-9 * max(1.0, exp)
