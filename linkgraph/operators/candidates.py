@@ -69,6 +69,12 @@ def common_friend_ids(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return keyed.groupBy("p1", "p2").agg(F.array_sort(F.collect_list("friend_id")).alias("friend_ids"))
 
 
+def canonical_edges(edges: DataFrame) -> DataFrame:
+    """Edges p1 -> p2 with p1 < p2, as (p1, p2)."""
+    return (edges.where(F.col("friend_id") > F.col("user_id"))
+            .select(F.col("user_id").alias("p1"), F.col("friend_id").alias("p2")))
+
+
 def label_candidates(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     """J2 + P15: label 1 when the pair is a known edge, else 0."""
     pos = positives.select("p1", "p2").withColumn("_pos", F.lit(1))

@@ -54,7 +54,8 @@ def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
     TB.write_candidates(cands, f"{out_dir}/candidates", p.n_buckets)
     cands = TB.read_candidates(edges.sparkSession, f"{out_dir}/candidates")
     pos = _save(G.positives(edges), f"{out_dir}/positives")
-    lab = C.with_degrees(C.label_candidates(cands, pos), degree, "left")
+    # candidates' ends are users, so the canonical edges label them (see views)
+    lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree, "left")
     lab = _save(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
     return Stages(edges, degree, kept, cands, pos, lab)
 

@@ -72,8 +72,13 @@ class Views:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        """candidates + label + degrees + the model-free score."""
-        lab = C.label_candidates(self.candidates, self.positives)
+        """candidates + label + degrees + the model-free score.
+
+        Both ends of a candidate are users (they come from user_id of the
+        banded edges), so "p1 -> p2 is a known edge whose friend end is a
+        user" reduces to "p1 -> p2 is an edge": the label joins the
+        canonical edges directly, without the semi join of `positives`."""
+        lab = C.label_candidates(self.candidates, C.canonical_edges(self.edges))
         return self._stage(C.with_degrees(lab, self.degree, "inner")
                            .withColumn("score", C.jaccard_score()), "labelled")
 
