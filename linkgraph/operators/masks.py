@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.functions.masks import MASK_BITS, diagonal_cell, mask_bits_string, mask_positions
+from linkgraph.functions.masks import (MASK_BITS, N_POSITIONS, diagonal_cell, mask_bits_string,
+                                       mask_positions)
 
-SUPPORT_CELL = 253  # extra counter cell: number of common friends of the pair
 
 
 def _in_mask(m, x):
@@ -26,32 +26,30 @@ def mask_pair_hist(kept: DataFrame, min_support: int = 5) -> DataFrame:
     pairs with more than `min_support` common friends.
 
     Bit positions are exploded per edge (a few per edge) before the pair
-    join, so the hot path is plain arithmetic (whole-stage codegen) instead
-    of nested array functions per pair row.  "Set, not add": the position
+    join, so the hot path is plain arithmetic in whole-stage codegen rather
+    than nested array functions per pair row.  "Set, not add": the position
     pairs (a, b) and (b, a) hit the same cell, so the one with a > b is
-    dropped when its mirror exists.  The first position pair of every
-    (pair, friend) row also emits the support counter (cell 253), so the
-    join runs once for both the cells and the support."""
-    from linkgraph.operators.candidates import by_friend
-    kp = by_friend(kept.select("friend_id", "user_id", "mask")).select("friend_id", "user_id", "mask",
-                     F.posexplode(mask_positions("mask")).alias("idx", "pos"))
-    a = kp.select("friend_id", F.col("user_id").alias("p1"), F.col("mask").alias("m1"),
-                  F.col("idx").alias("i1"), F.col("pos").alias("a"))
-    b = kp.select("friend_id", F.col("user_id").alias("p2"), F.col("mask").alias("m2"),
-                  F.col("idx").alias("i2"), F.col("pos").alias("b"))
+    dropped when its mirror exists.  The support filter is a semi join
+    against the plain pair counts (a cheaper explosion: no masks, no cells);
+    deriving it from the histogram itself would let Catalyst push the
+    counter-cell cut below that aggregate on one side only and run the
+    masked explosion twice.  Few pairs qualify, so AQE can broadcast that
+    side at run time."""
+    from linkgraph.operators.candidates import by_friend, pair_counts, pair_rows
+    # Positions per edge (the array function runs once per edge, not per pair).
+    kp = (by_friend(kept.select("friend_id", "user_id", "mask"))
+          .select("friend_id", "user_id", "mask", F.explode(mask_positions("mask")).alias("pos")))
+    a = kp.select("friend_id", F.col("user_id").alias("p1"), F.col("mask").alias("m1"), F.col("pos").alias("a"))
+    b = kp.select("friend_id", F.col("user_id").alias("p2"), F.col("mask").alias("m2"), F.col("pos").alias("b"))
     j = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))
     pa, pb = F.col("a"), F.col("b")
     lo, hi = F.least(pa, pb), F.greatest(pa, pb)
-    cell = (hi + F.lit(22) * lo - F.expr("(least(a, b) * (least(a, b) + 1)) div 2")).cast("int")
+    cell = (hi + F.lit(N_POSITIONS) * lo - F.expr("(least(a, b) * (least(a, b) + 1)) div 2")).cast("int")
     mirrored = (pa > pb) & _in_mask(F.col("m1"), pb) & _in_mask(F.col("m2"), pa)
-    first = (F.col("i1") == 0) & (F.col("i2") == 0)
-    cells = F.when(first, F.array(cell, F.lit(SUPPORT_CELL))).otherwise(F.array(cell))
-    hist = (j.where(~mirrored).select("p1", "p2", F.explode(cells).alias("cell"))
-            .where(F.col("cell") >= 1)
-            .groupBy("p1", "p2", "cell").agg(F.count(F.lit(1)).alias("cnt")))
-    support = hist.where((F.col("cell") == SUPPORT_CELL) & (F.col("cnt") > min_support)).select("p1", "p2")
-    return (hist.where(F.col("cell") < SUPPORT_CELL)
-            .join(support, ["p1", "p2"], "left_semi"))
+    rows = j.where(~mirrored & (cell >= 1)).select("p1", "p2", cell.alias("cell"))
+    hist = rows.groupBy("p1", "p2", "cell").agg(F.count(F.lit(1)).alias("cnt"))
+    support = pair_counts(pair_rows(kept)).where(F.col("common_cnt") > min_support).select("p1", "p2")
+    return hist.join(support, ["p1", "p2"], "left_semi")
 
 
 def diag_map(offset: int = 1):
