@@ -43,8 +43,9 @@ def main():
     cols = None
     for name in HEADLINE:
         df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        ex = df._jdf.queryExecution().executedPlan()
+        ex.execute().count()  # runs this plan, so AQE's final plan is shown
+        plan = ex.toString().split("== Initial Plan ==")[0]
         s = summarise(plan)
         if cols is None:
             cols = list(s)
