@@ -32,19 +32,23 @@ def by_friend(kept: DataFrame, partitions: int | None = None) -> DataFrame:
     shuffle partitions), and being explicit it keeps AQE from coalescing the
     input into a few tasks.  The self join then needs no further exchange."""
     if partitions is None:
-        base = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        need = -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK)
-        partitions = max(base, need)
+        partitions = explosion_partitions(kept)
     return kept.repartition(partitions, "friend_id")
 
 
-def pair_rows(kept: DataFrame, with_masks: bool = False) -> DataFrame:
+def explosion_partitions(kept: DataFrame) -> int:
+    """Partition count for the pair explosion of `kept` (see by_friend)."""
+    base = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK))
+
+
+def pair_rows(kept: DataFrame, with_masks: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per (p1, p2, friend) with p1 < p2 both naming friend.
 
     A self equi-join on friend_id plus the order predicate; the bands on
     `kept` bound every friend group, so the join never sees an unbounded key.
     With masks, mask1 belongs to p1 and mask2 to p2."""
-    kept = by_friend(kept)
+    kept = by_friend(kept, partitions)
     a = kept.select(F.col("friend_id"), F.col("user_id").alias("p1"), F.col("mask").alias("mask1"))
     b = kept.select(F.col("friend_id"), F.col("user_id").alias("p2"), F.col("mask").alias("mask2"))
     rows = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))

@@ -35,9 +35,10 @@ def mask_pair_hist(kept: DataFrame, min_support: int = 5) -> DataFrame:
     counter-cell cut below that aggregate on one side only and run the
     masked explosion twice.  Few pairs qualify, so AQE can broadcast that
     side at run time."""
-    from linkgraph.operators.candidates import by_friend, pair_counts, pair_rows
+    from linkgraph.operators.candidates import by_friend, explosion_partitions, pair_counts, pair_rows
+    n = explosion_partitions(kept)
     # Positions per edge (the array function runs once per edge, not per pair).
-    kp = (by_friend(kept.select("friend_id", "user_id", "mask"))
+    kp = (by_friend(kept.select("friend_id", "user_id", "mask"), n)
           .select("friend_id", "user_id", "mask", F.explode(mask_positions("mask")).alias("pos")))
     a = kp.select("friend_id", F.col("user_id").alias("p1"), F.col("mask").alias("m1"), F.col("pos").alias("a"))
     b = kp.select("friend_id", F.col("user_id").alias("p2"), F.col("mask").alias("m2"), F.col("pos").alias("b"))
@@ -48,7 +49,7 @@ def mask_pair_hist(kept: DataFrame, min_support: int = 5) -> DataFrame:
     mirrored = (pa > pb) & _in_mask(F.col("m1"), pb) & _in_mask(F.col("m2"), pa)
     rows = j.where(~mirrored & (cell >= 1)).select("p1", "p2", cell.alias("cell"))
     hist = rows.groupBy("p1", "p2", "cell").agg(F.count(F.lit(1)).alias("cnt"))
-    support = pair_counts(pair_rows(kept)).where(F.col("common_cnt") > min_support).select("p1", "p2")
+    support = pair_counts(pair_rows(kept, partitions=n)).where(F.col("common_cnt") > min_support).select("p1", "p2")
     return hist.join(support, ["p1", "p2"], "left_semi")
 
 
