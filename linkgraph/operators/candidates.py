@@ -52,6 +52,7 @@ def pair_rows(kept: DataFrame, with_masks: bool = False, partitions: int | None
     a = kept.select(F.col("friend_id"), F.col("user_id").alias("p1"), F.col("mask").alias("mask1"))
     b = kept.select(F.col("friend_id"), F.col("user_id").alias("p2"), F.col("mask").alias("mask2"))
     rows = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))
+    # Only the key columns travel on
     cols = ["p1", "p2", "friend_id"] + (["mask1", "mask2"] if with_masks else [])
     return rows.select(*cols)
 
@@ -67,7 +68,7 @@ def common_friends(kept: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def common_friend_ids(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Sorted common-friend ids of each candidate pair (bounded by the
+    """A6 + O1: sorted common-friend ids of each candidate pair (bounded by the
     degree band: at most max_degree ids per pair)."""
     keyed = pairs.join(candidates.select("p1", "p2"), ["p1", "p2"], "left_semi")
     return keyed.groupBy("p1", "p2").agg(F.array_sort(F.collect_list("friend_id")).alias("friend_ids"))

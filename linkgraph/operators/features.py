@@ -1,4 +1,6 @@
-"""Pair features (F1-F16, J4-J10) as column expressions over joins.
+"""Pair features (F1-F16, J4-J10) as column expressions over joins, with the
+math of X8 (abs, log, greatest/least, try_divide) and the NULL defaults of
+X9 (coalesce instead of getOrElse).
 
 Per-user attributes (degree, profile) are first combined into one
 user-keyed table, so a pair needs two lookups (p1, p2) instead of four;

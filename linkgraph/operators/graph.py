@@ -39,7 +39,7 @@ def kept_edges(edges: DataFrame, p: Params = Params(), deg: DataFrame | None = N
 
 
 def reverse_adjacency(kept: DataFrame, with_masks: bool = False) -> DataFrame:
-    """A1: per friend the sorted list of users naming it (after the bands, so
+    """A1 + O1: per friend the sorted list (array_sort) of users naming it (after the bands, so
     each list is bounded by max_in_list).  The mask variant carries
     (user_id, mask) structs, sorted by user."""
     if with_masks:

@@ -129,6 +129,7 @@ def ndcg(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     dcg = hits.groupBy("user_id").agg(F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     n = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_truth"))
     per_user = (n.join(ideal_dcg(n), "user_id").join(dcg, "user_id", "left")
-                .select("user_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).alias("ndcg")))
+                .select("user_id", (F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).alias("ndcg"))
+                .where(~F.isnan("ndcg")))  # P14 (cannot happen: idcg > 0)
     return per_user.agg(F.round(F.sum("ndcg") / F.count(F.lit(1)) * 1000.0, 6).alias("ndcg_x1000"),
                         F.count(F.lit(1)).alias("truth_users"))

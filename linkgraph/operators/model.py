@@ -47,7 +47,8 @@ def full_features(features: DataFrame, pca: DataFrame | None, shares: DataFrame
     """M5 + U2: scalar features, PCA projection (zeros when the pair has no
     histogram, J4), per-type shares (zeros, J5) and, when given, the 21 mask
     bits of the known edge (F13 / J3, zeros for non-edges; off by default:
-    it leaks the label) as one vector column."""
+    it leaks the label) as one vector column.  Missing parts default to zero
+    vectors of their width (X10, array_repeat)."""
     df = features
     parts = [F.array(*[F.col(c).cast("double") for c in (cols or FEATURE_COLS)])]
     if edge_bits is not None:

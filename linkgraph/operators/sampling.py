@@ -64,7 +64,8 @@ def train_valid(labelled: DataFrame, p: Params = Params()) -> tuple[DataFrame, D
 
 
 def holdout(labelled: DataFrame, training: DataFrame, p: Params = Params()) -> DataFrame:
-    """P7 + J11: hold-out group minus the training pairs (left anti join)."""
+    """P7 + J11 + U3: hold-out group minus the training pairs (key subtraction
+    as a left anti join)."""
     return labelled.where(holdout_group(p)).join(training.select("p1", "p2"), ["p1", "p2"], "left_anti")
 
 

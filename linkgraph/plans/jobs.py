@@ -151,7 +151,9 @@ def exploration(edges: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFr
 
 def run(spark: SparkSession, edges: DataFrame, profile: DataFrame, out_dir: str,
         p: Params = Params()) -> DataFrame:
-    """The production chain; returns the one-row run report (K9)."""
+    """The production chain; returns the one-row run report (K9) with the
+    class balance (A11), split and hold-out sizes (A12), AUC, threshold and
+    NDCG."""
     st = candidate_generation(edges, out_dir, p)
     _, pca, shares = mask_histogram(st, out_dir, p)
     th = twohop_job(st, out_dir)
@@ -163,12 +165,13 @@ def run(spark: SparkSession, edges: DataFrame, profile: DataFrame, out_dir: str,
     pos, neg = int(balance.get(1, 0)), int(balance.get(0, 0))
     tot = max(1, pos + neg)
     counts = hold.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
+    n_valid = spark.read.parquet(f"{out_dir}/valid_scores").count()
     report = spark.createDataFrame([(
         int(min(p.pca_k, 252)), float(p.row_sample_rate), float(auc) if auc is not None else None,
         pos, neg, pos / tot, neg / tot, float(threshold),
-        int(counts["n"]), int(counts["n1"] or 0), nd["ndcg_x1000"])],
+        int(counts["n"]), int(counts["n1"] or 0), nd["ndcg_x1000"], pos + neg, int(n_valid))],
         "pca_size INT, sample_filter DOUBLE, auc DOUBLE, positives BIGINT, negatives BIGINT, "
         "positive_share DOUBLE, negative_share DOUBLE, threshold DOUBLE, holdout_rows BIGINT, "
-        "holdout_positives BIGINT, ndcg_x1000 DOUBLE")
+        "holdout_positives BIGINT, ndcg_x1000 DOUBLE, train_rows BIGINT, valid_rows BIGINT")
     TB.append_report(report, f"{out_dir}/report")
     return spark.read.parquet(f"{out_dir}/report")

@@ -1,5 +1,6 @@
 """The reference's native text layouts (S1-S5, S12, S14, S15) and their
-writers (K3, K4, K8).  Parsing is column expressions over `spark.read.text`
+writers (K3, K4, K8), with the string functions of X7 (split, regexp_replace,
+trim, try_cast, concat_ws, slice).  Parsing is column expressions over `spark.read.text`
 lines (splittable for plain text; one task per .gz file, as any gzip);
 malformed numbers become NULL through try_cast and are dropped or counted,
 instead of failing the job.
@@ -112,8 +113,8 @@ def parse_twohop(lines: DataFrame, col: str = "value") -> DataFrame:
 
 # ---- S14 / K3: ranked lists --------------------------------------------------------------------
 def parse_ranked_lists(lines: DataFrame, col: str = "value") -> DataFrame:
-    """`user c1 c2 ...` split on whitespace -> (user_id, rank, candidate_id);
-    empty lines and user 0 are dropped."""
+    """S14 + P14: `user c1 c2 ...` split on whitespace -> (user_id, rank,
+    candidate_id); empty lines and user 0 are dropped."""
     toks = F.split(F.trim(F.col(col)), r"\s+")
     return (lines.where(F.length(F.trim(F.col(col))) > 0)
             .select(_try(toks.getItem(0), "bigint").alias("user_id"),
@@ -125,7 +126,7 @@ def parse_ranked_lists(lines: DataFrame, col: str = "value") -> DataFrame:
 
 # ---- S15 / K8: hidden edges ----------------------------------------------------------------------
 def render_pairs(pairs: DataFrame) -> DataFrame:
-    """K8 layout `(p1,p2)`, key-descending (range-partitioned sort)."""
+    """K8 + O3 layout `(p1,p2)`, key-descending (range-partitioned sort)."""
     return (pairs.orderBy(F.desc("p1"), F.desc("p2"))
             .select(F.concat(F.lit("("), F.col("p1").cast("string"), F.lit(","),
                              F.col("p2").cast("string"), F.lit(")")).alias("value")))
