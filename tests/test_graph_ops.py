@@ -132,3 +132,42 @@ def test_join_per_key_hot_key(spark):
         exp = sorted(tuple(r) for r in df.join(right, "friend_id", how)
                      .select(*(["friend_id", "user_id"] + (["tag"] if how in ("inner", "left") else []))).collect())
         assert got == exp, how
+
+
+def test_skewed_graph_end_to_end(spark):
+    """One friend named by about a third of all edges and one user owning a
+    large share: bands, candidates, positives and labels still match brute
+    force (the hot keys take the map-side paths)."""
+    rnd = random.Random(11)
+    edges = set()
+    for u in range(300):
+        edges.add((u, 10_000, 0))                      # hot friend (also a user below)
+        for f in rnd.sample(range(40), 3):
+            edges.add((u, f, 1 << rnd.randrange(21)))
+    for f in range(200, 500):
+        edges.add((10_000, f, 2))                      # hot user
+    edges.add((5, 10_000, 0))
+    edges = sorted(edges)
+    p = Params(min_degree=2, max_degree=5000, min_in_list=2, max_in_list=5000, min_support=1)
+    df = spark.createDataFrame(edges, "user_id BIGINT, friend_id BIGINT, mask BIGINT")
+    kept = brute_kept(edges, p)
+    got_kept = sorted(tuple(r) for r in G.kept_edges(df, p).select("user_id", "friend_id", "mask").collect())
+    assert got_kept == sorted(kept)
+    users = {u for u, _, _ in edges}
+    pos = sorted((u, f) for u, f, _ in edges if f > u and f in users)
+    assert sorted(tuple(r) for r in G.positives(df).collect()) == pos
+    kdf = spark.createDataFrame(kept, "user_id BIGINT, friend_id BIGINT, mask BIGINT")
+    cands = C.common_friends(kdf, p)
+    lab = {(r["p1"], r["p2"]): r["label"] for r in
+           C.label_candidates(cands, C.canonical_edges(df)).collect()}
+    by_f = defaultdict(list)
+    for u, f, _ in kept:
+        by_f[f].append(u)
+    cnt = defaultdict(int)
+    for f, us in by_f.items():
+        for a, b in itertools.combinations(sorted(us), 2):
+            cnt[(a, b)] += 1
+    exp = {k for k, v in cnt.items() if v > 1}
+    assert set(lab) == exp
+    pset = set(pos)
+    assert all(lab[k] == (1 if k in pset else 0) for k in lab)
