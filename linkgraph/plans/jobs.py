@@ -29,9 +29,25 @@ from linkgraph.sources import tables as TB
 from linkgraph.sources import text as X
 
 
-def _save(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+# When True, a stage whose output folder is complete (_SUCCESS present) is
+# read instead of recomputed - the reference's create_counters /
+# create_commonFriendsStat switches, as "reuse if present".
+REUSE_STAGES = False
+
+
+def stage_exists(spark: SparkSession, path: str) -> bool:
+    """Is `path` a finished Spark output (its _SUCCESS marker exists)?"""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
+def _save(df: DataFrame, path: str, reuse: bool | None = None) -> DataFrame:
+    spark = df.sparkSession
+    if not ((REUSE_STAGES if reuse is None else reuse) and stage_exists(spark, path)):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @dataclass

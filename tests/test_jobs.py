@@ -48,3 +48,12 @@ def test_run_writes_readable_artifacts(spark, tmpdir_path):
         df = spark.read.parquet(f"{out}/Model_fin/{part}")
         assert df.columns == ["prediction", "label"]
         assert len(df.inputFiles()) <= files
+
+
+def test_stage_reuse(spark, tmpdir_path):
+    path = tmpdir_path + "/stage"
+    first = jobs._save(spark.range(5), path, reuse=True)
+    assert jobs.stage_exists(spark, path) and first.count() == 5
+    # present and complete: read back, not recomputed from the new input
+    assert jobs._save(spark.range(7), path, reuse=True).count() == 5
+    assert jobs._save(spark.range(7), path, reuse=False).count() == 7

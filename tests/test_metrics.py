@@ -3,7 +3,6 @@
 import math
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from linkgraph.operators import metrics as MT
