@@ -420,7 +420,8 @@ def probabilities_roundtrip(spark, sf_dir):
 
 
 # ---- ML ---------------------------------------------------------------------------------
-ML_STAGES = Views.DEFAULT_STAGES | {"candidates", "labelled", "vectors"}
+# the histogram feeds the PCA fit, the projection and the type shares
+ML_STAGES = Views.DEFAULT_STAGES | {"candidates", "labelled", "hist", "vectors"}
 
 
 @query
@@ -448,7 +449,7 @@ def feature_vector(spark, sf_dir):
 
 @query
 def mask_pca(spark, sf_dir):
-    return Views(spark, sf_dir).pca
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"hist"}).pca
 
 
 @query

@@ -86,7 +86,7 @@ class Views:
     @cached_property
     def hist(self) -> DataFrame:
         from linkgraph.operators.masks import mask_pair_hist
-        return mask_pair_hist(self.kept, self.p.hist_min_support)
+        return self._stage(mask_pair_hist(self.kept, self.p.hist_min_support), "hist")
 
     @cached_property
     def ratios(self) -> DataFrame:
