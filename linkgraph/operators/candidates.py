@@ -28,17 +28,19 @@ def by_friend(kept: DataFrame, partitions: int | None = None) -> DataFrame:
 
     The explosion multiplies rows (sum of C(n, 2) per friend), so its
     parallelism must follow the output, not the small input: the partition
-    count is sized from the exact explosion size (at least the session's
-    shuffle partitions), and being explicit it keeps AQE from coalescing the
-    input into a few tasks.  The self join then needs no further exchange."""
+    count is sized from the exact explosion size (at least one task per
+    core), and being explicit it keeps AQE from coalescing the input into a
+    few tasks.  The self join then needs no further exchange."""
     if partitions is None:
         partitions = explosion_partitions(kept)
     return kept.repartition(partitions, "friend_id")
 
 
 def explosion_partitions(kept: DataFrame) -> int:
-    """Partition count for the pair explosion of `kept` (see by_friend)."""
-    base = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partition count for the pair explosion of `kept` (see by_friend):
+    one task per core at least (defaultParallelism = all executor cores),
+    more when the explosion needs them."""
+    base = kept.sparkSession.sparkContext.defaultParallelism
     return max(base, -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK))
 
 
