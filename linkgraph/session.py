@@ -8,6 +8,7 @@ library relies on (AQE with skew-join splitting, UTC, no UI).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -67,10 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's `spark.checkpoint.dir`; only when it is unset (local
-    tests) create a fresh scratch folder for this process."""
+    """Use the cluster's `spark.checkpoint.dir`.  Only a `local` master (tests)
+    may leave it unset and gets a fresh scratch folder; on any other master a
+    machine-local folder would hold each executor's share on its own disk."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder (master is {master})")
         d = tempfile.mkdtemp(prefix="linkgraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

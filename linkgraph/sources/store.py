@@ -5,16 +5,22 @@ written once as parquet under `spark.checkpoint.dir` and read back.  That
 cuts the lineage (a lost executor re-reads files instead of recomputing the
 join/aggregate chain), gives the planner real size statistics, and stops
 Catalyst from inlining the same aggregate into many branches of a plan.
+
+Stage tables belong to the application: they are deleted when it ends, or
+earlier by `drop_stage`, which takes the DataFrame that `materialize` gave.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from linkgraph.session import ensure_checkpoint_dir
 
+_stages: dict[str, SparkSession] = {}
+
 
 def stage_path(df: DataFrame, name: str) -> str:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
@@ -27,5 +33,34 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    _stages[path] = df.sparkSession
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read if partition_by else df.sparkSession.read.schema(df.schema)
+    out = reader.parquet(path)
+    out._stage_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete a stage table that no later plan reads."""
+    path = getattr(df, "_stage_path", None)
+    if path and _stages.pop(path, None) is not None:
+        _delete(df.sparkSession, path)
+
+
+@atexit.register
+def drop_all_stages() -> None:
+    """Delete what is left when the application ends."""
+    for path, spark in list(_stages.items()):
+        _stages.pop(path)
+        try:
+            if spark._jsc is not None and not spark._jsc.sc().isStopped():
+                _delete(spark, path)
+        except Exception:  # the JVM may be gone already at interpreter exit
+            return
