@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import mixing, wumanber
+from linkgraph.llm import langid, mixing, quality, toxicity, wumanber
+from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,3 +37,34 @@ def op8_decontaminate(spark, sf_dir):
                         F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    train = remainder(F.col("doc_id"), 5) != 0
+    model = toxicity.learn(docs.where(train), labels.where(train))
+    out = toxicity.score(docs, model).select("row.doc_id", "score")
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.learn(docs.where(remainder(F.col("doc_id"), 5) != 0))
+    out = langid.predict(docs.select("doc_id", "text"), dictionaries)
+    return out.select(F.col("row.doc_id").alias("doc_id"),
+                      (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    train = remainder(F.col("doc_id"), 4) != 2
+    model = quality.learn(docs.where(train), labels.where(train))
+    out = quality.score(docs, model).select("row.doc_id", "score")
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= quality.DECISION).cast("int").alias("predicted"))
