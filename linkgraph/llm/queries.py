@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import langid, mixing, quality, toxicity, wumanber
+from linkgraph.llm import langid, lm, mixing, quality, toxicity, vectors, wumanber
 from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,16 @@ def op8_decontaminate(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op1_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.learn(docs.where(remainder(F.col("doc_id"), 10) != 0))
+    out = lm.score(docs, model, counts)
+    return out.select(F.col("row.doc_id").alias("doc_id"),
+                      (remainder(F.col("row.doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                      F.lit(model.vocab.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +60,11 @@ def op3_toxicity(spark, sf_dir):
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op4_embedding_near_dup(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 @query
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
