@@ -67,3 +67,22 @@ deg AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
   e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN comp c ON e.vec_id = c.a LEFT JOIN deg d ON e.vec_id = d.a"""
+
+
+def groups_sql(docs: str, width: int, percent: int) -> str:
+    """CTEs up to comp(doc_id, n_shingles, component_id) of documents in `docs`."""
+    return f"""
+jw AS (SELECT doc_id, coalesce(regexp_extract_all({lower('text')}, '{SPACE_WORDS}'), []) AS w FROM {docs}),
+js AS (SELECT DISTINCT doc_id, list_slice(w, i, i + {width - 1}) AS s FROM
+    (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) AS i FROM jw WHERE len(w) > 0)),
+jn AS (SELECT doc_id, count(*) AS n FROM js GROUP BY doc_id),
+ji AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM js a JOIN js b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+jl AS (SELECT i.a, i.b FROM ji i JOIN jn x ON i.a = x.doc_id JOIN jn y ON i.b = y.doc_id
+  WHERE 100 * i.k >= {percent} * (x.n + y.n - i.k)),
+jr AS (SELECT a, a AS b FROM jl UNION SELECT jr.a, jl.b FROM jr JOIN jl ON jr.b = jl.a),
+jc AS (SELECT a, min(b) AS c FROM jr GROUP BY a),
+comp AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+  FROM jw d LEFT JOIN jn n ON d.doc_id = n.doc_id LEFT JOIN jc c ON d.doc_id = c.a)"""
+
+
+ORACLE["op10_jaccard_join"] = f"WITH RECURSIVE {groups_sql('documents', 4, 85)} SELECT * FROM comp"

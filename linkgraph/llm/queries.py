@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import langid, lm, mixing, quality, toxicity, vectors, wumanber
+from linkgraph.llm import jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
 from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op6_quality(spark, sf_dir):
     out = quality.score(docs, model).select("row.doc_id", "score")
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                       (F.col("score") >= quality.DECISION).cast("int").alias("predicted"))
+
+
+@query
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, threshold=85)
