@@ -86,3 +86,16 @@ comp AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c,
 
 
 ORACLE["op10_jaccard_join"] = f"WITH RECURSIVE {groups_sql('documents', 4, 85)} SELECT * FROM comp"
+
+ORACLE["op2_substring_dedup"] = f"""WITH
+w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{SPACE_WORDS}'), []) AS w FROM documents),
+win AS (SELECT r, i, list_slice(w, i, i + 34) AS x FROM
+    (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+rep AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN rep ON win.x = rep.x),
+word AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (SELECT a.r, string_agg(a.x, ' ' ORDER BY a.p) AS t FROM word a ANTI JOIN gone g ON a.r = g.r AND a.p = g.p GROUP BY a.r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN kept k ON w.r = k.r"""

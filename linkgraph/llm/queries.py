@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
+from linkgraph.llm import fmindex, jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
 from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op1_lm_score(spark, sf_dir):
                       F.lit(model.vocab.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return fmindex.per_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
