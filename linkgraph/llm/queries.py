@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import fmindex, jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
+from linkgraph.llm import doubling, fmindex, jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
 from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op6_quality(spark, sf_dir):
 @query
 def op10_jaccard_join(spark, sf_dir):
     return jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, threshold=85)
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    return doubling.per_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
