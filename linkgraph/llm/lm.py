@@ -47,7 +47,7 @@ DIM = 32
 TABLE = 1 << 18
 WORKERS = 12
 ROUNDS = 4
-BATCH = 2048
+BATCH = 512
 NOISE = 256
 END = np.uint64(1)   # hash of the end token
 CLASSES = TOP + SUFFIXES + 1
@@ -241,7 +241,7 @@ def start(vocab: Vocabulary, seed: int) -> Parameters:
 class Nce:
     """Minibatch NCE with Adagrad; noise words are shared by a minibatch."""
 
-    def __init__(self, p: Parameters, noise: np.ndarray, seed: int, rate: float = 0.15):
+    def __init__(self, p: Parameters, noise: np.ndarray, seed: int, rate: float = 0.3):
         self.p = Parameters(*(x.copy() for x in (p.r1, p.r2, p.q, p.b)))
         self.past = [np.full(x.shape, 1e-4) for x in (p.r1, p.r2, p.q, p.b)]
         self.rng, self.rate = np.random.default_rng(seed), rate
@@ -277,7 +277,7 @@ def train(trigrams: DataFrame, vocab: Vocabulary, seed: int = 1) -> Parameters:
     noise = (vocab.mass + 0.5) / (vocab.mass + 0.5).sum()
     for k in range(ROUNDS):
         held = spark.sparkContext.broadcast((params.pack(), noise))
-        rate = 0.15 / (1 + k)
+        rate = 0.3 / (1 + k)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, k=k, rate=rate) -> Iterator[pa.RecordBatch]:
             packed, q = held.value
