@@ -20,7 +20,7 @@ from linkgraph.plans.queries import QUERIES  # noqa: E402
 from linkgraph.session import local_session  # noqa: E402
 
 HEADLINE = ["common_friends", "mask_pair_hist", "twohop_stats", "feature_table",
-            "topk_recommend", "auc", "ndcg"]
+            "topk_recommend", "auc", "ndcg", "mask_pca", "run_report"]
 
 
 def run(spark, name, sf_dir):

@@ -40,10 +40,15 @@ class Params:
     threshold: float = 0.0
     # The reference counts unknown sex as "same" only in its first baseline.
     count_unknown_sex: bool = False
+    # Model forms of the job generations: the feature set (operators.features),
+    # the intercept (off in the first baseline) and whether the per-type counts
+    # are divided by the common count (not in the hold-out job).
+    feature_set: str = "production"
+    fit_intercept: bool = True
+    divide_type_counts: bool = True
 
 
 # Parameters of the derived test fixture (FIXTURES.md part B): support "> 1"
-# so that sf0.01 and sf0.1 have candidates, thinning 0.5 so NDCG has truth,
-# and a modest solver cap (the random fixture edges are not separable in any
-# useful way; 100 L-BFGS steps keep the registered ML queries short).
-FIXTURE = Params(min_support=1, holdout_positive_fraction=0.5, max_iter=100)
+# (histograms too) so that sf0.01 and sf0.1 have candidates and histogram rows,
+# thinning 0.5 so NDCG has truth.
+FIXTURE = Params(min_support=1, hist_min_support=1, holdout_positive_fraction=0.5)

@@ -5,12 +5,14 @@ Here a draw is a pure function of the pair key: recomputing a lost partition
 gives the same rows, the filter can be pushed below joins, and the same
 number comes out of DuckDB for the oracle.
 
-    h   = (p1 * A + p2 * B) mod M
-    u_s = ((h * C_s + s * S) mod M) / M,   C_s = 1 + (s * G) mod (M - 1)
-
-Each salt s scrambles h with its own multiplier, so draws with different
-salts are independent in practice (a plain additive salt would only shift
-one uniform and correlate every sample and split with each other).
+    x   = (p1 mod M) * A_s + (p2 mod M) * B_s + 97 s   (mod M)
+    u_s = (x ** 5 mod M) / M
+
+M is the prime 2**31 - 1; the multipliers A_s, B_s belong to the salt, so the
+draws of two salts are different functions of both ids, not of one common
+residue.  x ** 5 permutes the residues (5 is prime to M - 1) and breaks the
+linear structure.  Ids are reduced first and every product is reduced before
+the next one, so no BIGINT id overflows.
 """
 
 from __future__ import annotations
@@ -18,28 +20,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the draw (shared with the SQL oracle): no BIGINT overflow
-# for ids below 2^31.
-HASH_A = 2654435761
-HASH_B = 40503
-HASH_SALT = 97
-HASH_MOD = 1000003
+# Fixed values of the draw (shared with the SQL oracle).
+HASH_MOD = 2147483647
 HASH_G = 48271
+HASH_SALT = 97
 
 
-def salt_multiplier(salt: int) -> int:
-    return 1 + (salt * HASH_G) % (HASH_MOD - 1)
+def salt_multipliers(salt: int) -> tuple[int, int]:
+    return pow(HASH_G, 101 * salt + 1, HASH_MOD), pow(HASH_G, 211 * salt + 7, HASH_MOD)
 
 
 def hash_unit(p1, p2, salt: int) -> Column:
     """u in [0, 1) for the pair (p1, p2) and the given salt."""
-    p1 = F.col(p1) if isinstance(p1, str) else p1
-    p2 = F.col(p2) if isinstance(p2, str) else p2
-    h = F.pmod(p1.cast("bigint") * F.lit(HASH_A) + p2.cast("bigint") * F.lit(HASH_B), F.lit(HASH_MOD))
-    u = F.pmod(h * F.lit(salt_multiplier(salt)) + F.lit(salt * HASH_SALT), F.lit(HASH_MOD))
-    return u.cast("double") / F.lit(float(HASH_MOD))
+    a, b = salt_multipliers(salt)
+    m = F.lit(HASH_MOD)
+
+    def reduced(p, by: int) -> Column:
+        p = F.col(p) if isinstance(p, str) else p
+        return F.pmod(F.pmod(p.cast("bigint"), m) * F.lit(by), m)
+
+    x = F.pmod(reduced(p1, a) + reduced(p2, b) + F.lit(HASH_SALT * salt), m)
+    x2 = F.pmod(x * x, m)
+    return F.pmod(F.pmod(x2 * x2, m) * x, m).cast("double") / F.lit(float(HASH_MOD))
 
 
 def hash_unit_sql(p1: str, p2: str, salt: int) -> str:
-    h = f"((CAST({p1} AS BIGINT) * {HASH_A} + CAST({p2} AS BIGINT) * {HASH_B}) % {HASH_MOD})"
-    return f"((({h} * {salt_multiplier(salt)} + {salt * HASH_SALT}) % {HASH_MOD}) / {float(HASH_MOD)})"
+    a, b = salt_multipliers(salt)
+    m = HASH_MOD
+
+    def reduced(p: str, by: int) -> str:
+        return f"((((CAST({p} AS BIGINT) % {m}) + {m}) % {m}) * {by}) % {m}"
+
+    x = f"(({reduced(p1, a)} + {reduced(p2, b)} + {HASH_SALT * salt}) % {m})"
+    x2 = f"({x} * {x} % {m})"
+    return f"(({x2} * {x2} % {m}) * {x} % {m} / {float(m)})"

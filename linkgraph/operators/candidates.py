@@ -12,6 +12,13 @@ from linkgraph.config import Params
 # aggregate that spills, so this bounds task time rather than memory).
 PAIR_ROWS_PER_TASK = 20_000_000
 
+# Most tasks one explosion may have; beyond it the tasks grow.
+MAX_TASKS = 20_000
+
+# Users of one friend that meet in one join group; a longer list is cut into
+# blocks and the block pairs are joined, each in a group of its own.
+FRIEND_BLOCK = 2_000
+
 
 def pair_explosion_size(kept: DataFrame) -> int:
     """Exact number of (p1, p2, friend) rows of the self join:
@@ -23,40 +30,45 @@ def pair_explosion_size(kept: DataFrame) -> int:
     return int(tot or 0)
 
 
-def by_friend(kept: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash-partition the banded edges on friend_id for the pair explosion.
+def explosion_partitions(kept: DataFrame) -> int:
+    """Partition count for the pair explosion of `kept`.
 
     The explosion multiplies rows (sum of C(n, 2) per friend), so its
-    parallelism must follow the output, not the small input: the partition
-    count is sized from the exact explosion size (at least one task per
-    core), and being explicit it keeps AQE from coalescing the input into a
-    few tasks.  The self join then needs no further exchange."""
-    if partitions is None:
-        partitions = explosion_partitions(kept)
-    return kept.repartition(partitions, "friend_id")
-
-
-def explosion_partitions(kept: DataFrame) -> int:
-    """Partition count for the pair explosion of `kept` (see by_friend):
-    one task per core at least (defaultParallelism = all executor cores),
-    more when the explosion needs them."""
+    parallelism must follow the output, not the small input: one task per core
+    at least (defaultParallelism = all executor cores), more when the exact
+    explosion size needs them, MAX_TASKS at most.  Being explicit, the count
+    keeps AQE from coalescing the input into a few tasks."""
     base = kept.sparkSession.sparkContext.defaultParallelism
-    return max(base, -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK))
+    return max(base, min(MAX_TASKS, -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK)))
 
 
 def pair_rows(kept: DataFrame, with_masks: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per (p1, p2, friend) with p1 < p2 both naming friend.
 
-    A self equi-join on friend_id plus the order predicate; the bands on
-    `kept` bound every friend group, so the join never sees an unbounded key.
-    With masks, mask1 belongs to p1 and mask2 to p2."""
-    kept = by_friend(kept, partitions)
-    a = kept.select(F.col("friend_id"), F.col("user_id").alias("p1"), F.col("mask").alias("mask1"))
-    b = kept.select(F.col("friend_id"), F.col("user_id").alias("p2"), F.col("mask").alias("mask2"))
-    rows = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))
+    A self equi-join on friend_id plus the order predicate.  The list of a
+    friend with more than FRIEND_BLOCK users (possible only with a widened
+    band) is cut into blocks; its rows go to every pair of blocks they belong
+    to, so a friend's pairs spread over many tasks.  With masks, mask1 belongs
+    to p1 and mask2 to p2."""
+    if partitions is None:
+        partitions = explosion_partitions(kept)
+    cols = ["friend_id", "user_id"] + (["mask"] if with_masks else [])
+    long = (kept.groupBy("friend_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FRIEND_BLOCK)
+            .select("friend_id", F.ceil(F.col("n") / FRIEND_BLOCK).cast("int").alias("blocks")))
+    rows = kept.select(*cols).join(long, "friend_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*cols, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.repartition(partitions, "friend_id", "i", "j")
+    key = ["friend_id", "i", "j"]
+    mask1, mask2 = ([F.col("mask").alias(x)] if with_masks else [] for x in ("mask1", "mask2"))
+    a = rows.select(*key, F.col("own").alias("own1"), F.col("user_id").alias("p1"), *mask1)
+    b = rows.select(*key, F.col("own").alias("own2"), F.col("user_id").alias("p2"), *mask2)
+    # a pair of two blocks meets only in their own group
+    met = (F.col("i") == F.col("j")) | (F.col("own1") != F.col("own2"))
+    out = a.join(b, key).where((F.col("p1") < F.col("p2")) & met)
     # Only the key columns travel on
-    cols = ["p1", "p2", "friend_id"] + (["mask1", "mask2"] if with_masks else [])
-    return rows.select(*cols)
+    return out.select("p1", "p2", "friend_id", *(["mask1", "mask2"] if with_masks else []))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -64,6 +76,17 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("common_cnt"))
 
 
+def pair_lists(kept: DataFrame, least: int = 1, partitions: int | None = None) -> DataFrame:
+    """(p1, p2, common_cnt, common ARRAY<STRUCT<friend_id, mask1, mask2>>) of the
+    pairs with at least `least` common friends: one masked explosion from which
+    candidates, histograms and 2-hop statistics all follow.  A list holds at most
+    max_degree entries (the degree band of its users)."""
+    rows = pair_rows(kept, with_masks=True, partitions=partitions)
+    lists = rows.groupBy("p1", "p2").agg(F.collect_list(F.struct("friend_id", "mask1", "mask2")).alias("common"))
+    return (lists.select("p1", "p2", F.size("common").cast("bigint").alias("common_cnt"), "common")
+            .where(F.col("common_cnt") >= least))
+
+
 def common_friends(kept: DataFrame, p: Params = Params()) -> DataFrame:
     """J12 + A2 + P9: candidates(p1, p2, common_cnt) with common_cnt > min_support."""
     return pair_counts(pair_rows(kept)).where(F.col("common_cnt") > p.min_support)

@@ -9,6 +9,8 @@ candidate aggregate is already partitioned by."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,15 +87,15 @@ TWOHOP_COLS = ["max_common", "linked_pairs", "max_ratio_maxdeg", "max_ratio_mind
 
 def feature_table(labelled: DataFrame, attrs: DataFrame, twohop: DataFrame,
                   count_unknown_sex: bool = False) -> DataFrame:
-    """M5 scalars: the reference's feature list
-    plus the label.  Missing 2-hop statistics default to 0 (J6)."""
+    """M5 scalars: F1-F12 and F16 plus the label (a feature set picks from
+    them).  Missing 2-hop statistics default to 0 (J6)."""
     base = labelled.select("p1", "p2", "common_cnt", "label")
     th = twohop.select("p1", "p2", *TWOHOP_COLS)
     j = attach_users(base.join(th, ["p1", "p2"], "left"), attrs)
     deg = degree_feature_cols()
     return j.select(
         "p1", "p2", "label", "common_cnt",
-        *[deg[n] for n in ("share_max", "share_min", "share2_default")],
+        *deg.values(),
         *profile_feature_cols(count_unknown_sex),
         F.coalesce("max_common", F.lit(0)).cast("bigint").alias("max_common"),
         F.coalesce("linked_pairs", F.lit(0)).cast("bigint").alias("linked_pairs"),
@@ -104,13 +106,32 @@ def feature_table(labelled: DataFrame, attrs: DataFrame, twohop: DataFrame,
 FEATURE_COLS = ["common_cnt", "share_max", "share_min", "share2_default", "age_gap",
                 "same_sex", "same_city", "same_region"] + TWOHOP_COLS
 
-# Scalar feature lists of the reference's job generations (the vector parts
-# PCA, per-type shares and edge mask bits are switched separately):
-# the original 3-feature baseline (unknown sex counted as same, see
-# profile_feature_cols), the extended baseline, and the production job.
+@dataclass(frozen=True)
+class FeatureSet:
+    """What a feature vector holds: scalar columns, then (each if asked) the
+    21 mask bits of the known edge, the PCA projection, the 22 per-type counts."""
+    scalars: tuple[str, ...]
+    edge_bits: bool = False
+    pca: int = 0
+    type_counts: bool = False
+
+    @property
+    def width(self) -> int:
+        return len(self.scalars) + 21 * self.edge_bits + self.pca + 22 * self.type_counts
+
+
+_EXTENDED = ("common_cnt", "share1", "share2", "share_max", "share2_default", "age_gap", "same_sex", "same_city",
+             "same_region")
+_SHORT = ("common_cnt", "log_common") + _EXTENDED[1:]
+
+# The vectors of the reference's job generations.  Production and hold-out are
+# 2 narrower than there: the two ids that slipped into its 2-hop statistics are
+# left out.
 FEATURE_SETS = {
-    "baseline": ["common_cnt", "age_gap", "same_sex"],
-    "extended": ["common_cnt", "share1", "share2", "share_max", "share_min", "share2_default",
-                 "age_gap", "same_sex", "same_city"],
-    "production": FEATURE_COLS,
+    "baseline": FeatureSet(("common_cnt", "age_gap", "same_sex")),
+    "extended": FeatureSet(_EXTENDED, edge_bits=True),
+    "short": FeatureSet(_SHORT, edge_bits=True),
+    "short_pca": FeatureSet(_SHORT, edge_bits=True, pca=10),
+    "production": FeatureSet(tuple(FEATURE_COLS), pca=47, type_counts=True),
+    "holdout": FeatureSet(("common_cnt", "deg_max", "deg_min") + tuple(FEATURE_COLS[1:]), pca=47, type_counts=True),
 }

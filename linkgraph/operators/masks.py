@@ -6,67 +6,39 @@ the histogram is a partial+final hash aggregate on (p1, p2, cell)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.functions.masks import (MASK_BITS, N_POSITIONS, diagonal_cell, mask_bits_string,
-                                       mask_positions)
+from linkgraph.functions.masks import MASK_BITS, N_POSITIONS, mask_bits_string, pair_cells
 
 
+def mask_pair_hist(lists: DataFrame, min_support: int = 5) -> DataFrame:
+    """X4 + A3 + X5 + P10: (p1, p2, cell, cnt) for cells 1..252 of the pairs with
+    more than `min_support` common friends, from `candidates.pair_lists`.
 
-def _in_mask(m, x):
-    """Is position x (0 = "no bit set") among the positions of mask m?"""
-    low = F.lit((1 << MASK_BITS) - 1)
-    return F.when(x == 0, m.bitwiseAND(low) == 0).otherwise(
-        F.getbit(m, F.greatest(x - 1, F.lit(0))) == 1)
+    Pairs without support leave before anything is expanded; the survivors
+    expand the cells of each distinct mask pair once, weighted by how often it
+    occurs.  All counts stay on the lists' (p1, p2) partitioning, so beyond the
+    explosion nothing is shuffled."""
+    per = lists.where(F.col("common_cnt") > min_support).select("p1", "p2", F.inline("common"))
+    counted = per.groupBy("p1", "p2", "mask1", "mask2").agg(F.count(F.lit(1)).alias("n"))
+    cells = counted.select("p1", "p2", "n", F.explode(pair_cells("mask1", "mask2")).alias("cell"))
+    return cells.where("cell >= 1").groupBy("p1", "p2", "cell").agg(F.sum("n").alias("cnt"))
 
 
-def mask_pair_hist(kept: DataFrame, min_support: int = 5) -> DataFrame:
-    """J13 + X4 + A3 + X5 + P10: (p1, p2, cell, cnt) for cells 1..252 of the
-    pairs with more than `min_support` common friends.
-
-    Bit positions are exploded per edge (a few per edge) before the pair
-    join, so the hot path is plain arithmetic in whole-stage codegen rather
-    than nested array functions per pair row.  "Set, not add": the position
-    pairs (a, b) and (b, a) hit the same cell, so the one with a > b is
-    dropped when its mirror exists.  The support filter is a semi join
-    against the plain pair counts (a cheaper explosion: no masks, no cells);
-    deriving it from the histogram itself would let Catalyst push the
-    counter-cell cut below that aggregate on one side only and run the
-    masked explosion twice.  Few pairs qualify, so AQE can broadcast that
-    side at run time."""
-    from linkgraph.operators.candidates import by_friend, explosion_partitions, pair_counts, pair_rows
-    n = explosion_partitions(kept)
-    # Positions per edge (the array function runs once per edge, not per pair).
-    kp = (by_friend(kept.select("friend_id", "user_id", "mask"), n)
-          .select("friend_id", "user_id", "mask", F.explode(mask_positions("mask")).alias("pos")))
-    a = kp.select("friend_id", F.col("user_id").alias("p1"), F.col("mask").alias("m1"), F.col("pos").alias("a"))
-    b = kp.select("friend_id", F.col("user_id").alias("p2"), F.col("mask").alias("m2"), F.col("pos").alias("b"))
-    j = a.join(b, "friend_id").where(F.col("p1") < F.col("p2"))
-    pa, pb = F.col("a"), F.col("b")
-    lo, hi = F.least(pa, pb), F.greatest(pa, pb)
-    cell = (hi + F.lit(N_POSITIONS) * lo - F.expr("(least(a, b) * (least(a, b) + 1)) div 2")).cast("int")
-    mirrored = (pa > pb) & _in_mask(F.col("m1"), pb) & _in_mask(F.col("m2"), pa)
-    rows = j.where(~mirrored & (cell >= 1)).select("p1", "p2", cell.alias("cell"))
-    hist = rows.groupBy("p1", "p2", "cell").agg(F.count(F.lit(1)).alias("cnt"))
-    support = pair_counts(pair_rows(kept, partitions=n)).where(F.col("common_cnt") > min_support).select("p1", "p2")
-    return hist.join(support, ["p1", "p2"], "left_semi")
-
-
-def diag_map(offset: int = 1):
-    """cell -> relation type for the 21 cells read by X6."""
-    keys, vals = [], []
+def diagonal_type(cell: Column, offset: int = 1) -> Column:
+    """The relation type whose count X6 reads at `cell`, else NULL: comparisons
+    of one number with 21 constants, in generated code."""
+    out = F.lit(None).cast("int")
     for i in range(MASK_BITS):
-        keys.append(diagonal_cell(F.lit(i), offset))
-        vals.append(F.lit(i))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+        out = F.when(cell == F.lit(i + offset + N_POSITIONS * i - i * (i + 1) // 2), F.lit(i)).otherwise(out)
+    return out
 
 
 def mask_diag_counts(hist: DataFrame, offset: int = 1) -> DataFrame:
     """Per pair the count of relation type i (0..20) read at cell
     (i, i + offset); long form (p1, p2, type, cnt), zero counts omitted."""
-    t = F.element_at(diag_map(offset), F.col("cell"))
-    return (hist.select("p1", "p2", t.alias("type"), "cnt")
+    return (hist.select("p1", "p2", diagonal_type(F.col("cell"), offset).alias("type"), "cnt")
             .where(F.col("type").isNotNull()))
 
 

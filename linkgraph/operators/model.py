@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.functions.masks import MASK_BITS
-from linkgraph.operators.features import FEATURE_COLS
+from linkgraph.operators.features import FEATURE_COLS, FeatureSet
 
 N_TYPES = MASK_BITS + 1  # 22 per-type counts; the last one stays 0 (X6)
 
@@ -41,6 +41,13 @@ def type_shares(diag: DataFrame, candidates: DataFrame, divide: bool = True) ->
     return j.select("p1", "p2", arr.alias("type_shares"))
 
 
+def feature_set_vectors(features: DataFrame, fs: FeatureSet, pca: DataFrame | None = None,
+                        shares: DataFrame | None = None, edge_bits: DataFrame | None = None) -> DataFrame:
+    """M5 for one of the job generations' feature sets."""
+    return full_features(features, pca if fs.pca else None, shares if fs.type_counts else None, fs.pca,
+                         list(fs.scalars), edge_bits if fs.edge_bits else None)
+
+
 def full_features(features: DataFrame, pca: DataFrame | None, shares: DataFrame | None,
                   k: int, cols: list[str] | None = None,
                   edge_bits: DataFrame | None = None) -> DataFrame:
@@ -65,19 +72,26 @@ def full_features(features: DataFrame, pca: DataFrame | None, shares: DataFrame
                      array_to_vector(F.concat(*parts)).alias("features"))
 
 
-def link_model_stages(max_iter: int = 100) -> Pipeline:
+def link_model_stages(max_iter: int = 6000, fit_intercept: bool = True) -> Pipeline:
     """M2 + M3: unit-variance scaling without centring, fitted on the
-    training rows only, then unregularised logistic regression with an
-    intercept.  Standardisation inside LR is off: the scaler already did it."""
+    training rows only, then unregularised logistic regression (with an
+    intercept or not).  Standardisation inside LR is off: the scaler already
+    did it."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withStd=True, withMean=False)
     lr = LogisticRegression(featuresCol="scaled", labelCol="label", regParam=0.0,
-                            elasticNetParam=0.0, fitIntercept=True, standardization=False,
+                            elasticNetParam=0.0, fitIntercept=fit_intercept, standardization=False,
                             maxIter=max_iter, family="binomial")
     return Pipeline(stages=[scaler, lr])
 
 
-def fit(train: DataFrame, max_iter: int = 100) -> PipelineModel:
-    return link_model_stages(max_iter).fit(train)
+def fit(train: DataFrame, max_iter: int = 6000, fit_intercept: bool = True) -> PipelineModel:
+    return link_model_stages(max_iter, fit_intercept).fit(train)
+
+
+def solver_state(model: PipelineModel, max_iter: int) -> tuple[int, bool]:
+    """(iterations used, converged before the cap) of a model fitted here."""
+    used = int(model.stages[-1].summary.totalIterations)
+    return used, used < max_iter
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

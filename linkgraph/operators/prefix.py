@@ -17,13 +17,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 4_096
 
 
 def _splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.stat.approxQuantile(col, probs, 1.0 / (4 * buckets)) if buckets > 1 else []
-    inner = sorted(set(q for q in qs if q is not None))
+    inner = sorted(set(q for q in qs if q is not None)) or [0.0]  # two buckets at least
     return [float("-inf")] + inner + [float("inf")]
 
 
@@ -31,9 +32,8 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: list[str],
                    descending: bool = True, buckets: int | None = None) -> DataFrame:
     """Add cum_<c> = sum of c over rows at or before this row in the order
     (descending by default), for each c in sum_cols."""
-    if buckets is None:
-        sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(DEFAULT_BUCKETS, 4 * sp)
+    if buckets is None:  # follows the rows; the cut list on the driver stays bounded
+        buckets = min(MAX_BUCKETS, 1 + df.count() // ROWS_PER_BUCKET)
     splits = _splits(df, order_col, buckets)
     b = Bucketizer(splits=splits, inputCol=order_col, outputCol="_bucket", handleInvalid="keep")
     tagged = b.transform(df.withColumn(order_col, F.col(order_col).cast("double")))

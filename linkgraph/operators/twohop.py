@@ -21,14 +21,18 @@ def candidate_ratios(labelled: DataFrame) -> DataFrame:
                            F.round(F.try_divide(c, lo), 6).alias("ratio_min"))
 
 
-def twohop_stats(pairs: DataFrame, candidates: DataFrame, ratios: DataFrame) -> DataFrame:
-    """J14 + J7 + A4 over the candidate pairs.
-
-    The reference builds the statistics for every pair and keeps only the
-    candidates at the feature join; restricting first (semi join) gives the
-    same features with far fewer rows.  Each pair has at most max_degree
-    common friends, so the second-level self join is bounded per key."""
-    pf = pairs.join(candidates.select("p1", "p2"), ["p1", "p2"], "left_semi").select("p1", "p2", "friend_id")
+def twohop_stats(pairs: DataFrame, ratios: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """J14 + J7 + A4 over every pair with common friends.
+
+    With `candidates`, only those pairs: the feature join reads no others, and
+    the semi join saves the rest of the work.  A common friend matters only if
+    it is an end of a candidate itself, so the others leave before the second
+    self join, whose size is at most max_degree squared per pair."""
+    pf = pairs.select("p1", "p2", "friend_id")
+    if candidates is not None:
+        pf = pf.join(candidates.select("p1", "p2"), ["p1", "p2"], "left_semi")
+    ends = ratios.select(F.explode(F.array("p1", "p2")).alias("friend_id")).distinct()
+    pf = pf.join(ends, "friend_id", "left_semi")
     a = pf.withColumnRenamed("friend_id", "ca")
     b = pf.withColumnRenamed("friend_id", "cb")
     pp = a.join(b, ["p1", "p2"]).where(F.col("ca") < F.col("cb"))

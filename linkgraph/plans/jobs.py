@@ -30,8 +30,7 @@ from linkgraph.sources import text as X
 
 
 # When True, a stage whose output folder is complete (_SUCCESS present) is
-# read instead of recomputed - the reference's create_counters /
-# create_commonFriendsStat switches, as "reuse if present".
+# read instead of recomputed.
 REUSE_STAGES = False
 
 
@@ -55,41 +54,48 @@ class Stages:
     edges: DataFrame
     degree: DataFrame
     kept: DataFrame
+    lists: DataFrame
     candidates: DataFrame
-    positives: DataFrame
     labelled: DataFrame
 
 
 def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
-    """Bands, reversed lists (K1), pair counts with minimum support (K2)."""
+    """Bands, reversed lists (K1), pair counts with minimum support (K2).
+
+    The one pair explosion of the job happens here; `pair_lists` keeps what the
+    later stages need of it (pairs with two common friends or more, or a
+    candidate's support if that is less)."""
     edges = _save(edges, f"{out_dir}/edges")
     degree = _save(G.degree(edges), f"{out_dir}/degree")
     kept = _save(G.kept_edges(edges, p, degree), f"{out_dir}/kept")
     TB.write_reversed(G.reverse_adjacency(kept), f"{out_dir}/reversed")
-    cands = C.common_friends(kept, p)
+    least = min(2, p.min_support + 1, p.hist_min_support + 1)
+    lists = _save(C.pair_lists(kept, least), f"{out_dir}/pair_lists")
+    cands = lists.where(F.col("common_cnt") > p.min_support).select("p1", "p2", "common_cnt")
     TB.write_candidates(cands, f"{out_dir}/candidates", p.n_buckets)
     cands = TB.read_candidates(edges.sparkSession, f"{out_dir}/candidates")
-    pos = _save(G.positives(edges), f"{out_dir}/positives")
     # candidates' ends are users, so the canonical edges label them (see views)
-    lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree, "left")
+    lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree)
     lab = _save(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
-    return Stages(edges, degree, kept, cands, pos, lab)
+    return Stages(edges, degree, kept, lists, cands, lab)
 
 
 def mask_histogram(st: Stages, out_dir: str, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histogram (long form), PCA projection (M1) and per-type shares."""
     # K2: the histogram is written bucketed like the candidates
-    TB.write_candidates(MK.mask_pair_hist(st.kept, p.hist_min_support), f"{out_dir}/hist", p.n_buckets)
+    TB.write_candidates(MK.mask_pair_hist(st.lists, p.hist_min_support), f"{out_dir}/hist", p.n_buckets)
     hist = TB.read_candidates(st.edges.sparkSession, f"{out_dir}/hist")
-    pca = _save(ML.fit_pca(MK.hist_vectors(hist), p.pca_k), f"{out_dir}/hist_pca")
-    shares = _save(ML.type_shares(MK.mask_diag_counts(hist), st.candidates), f"{out_dir}/type_shares")
+    k = FT.FEATURE_SETS[p.feature_set].pca or p.pca_k
+    pca = _save(ML.fit_pca(MK.hist_vectors(hist), k), f"{out_dir}/hist_pca")
+    shares = _save(ML.type_shares(MK.mask_diag_counts(hist), st.candidates, p.divide_type_counts),
+                   f"{out_dir}/type_shares")
     return hist, pca, shares
 
 
 def twohop_job(st: Stages, out_dir: str) -> DataFrame:
-    """Z3: 2-hop statistics, parquet plus the text layout (K4)."""
-    th = _save(TH.twohop_stats(C.pair_rows(st.kept), st.candidates, TH.candidate_ratios(st.labelled)),
-               f"{out_dir}/twohop")
+    """Z3: 2-hop statistics of every pair, parquet plus the text layout (K4)."""
+    pairs = st.lists.select("p1", "p2", F.explode("common.friend_id").alias("friend_id"))
+    th = _save(TH.twohop_stats(pairs, TH.candidate_ratios(st.labelled)), f"{out_dir}/twohop")
     X.write_lines(X.render_twohop(th), f"{out_dir}/twohop_text")
     return th
 
@@ -99,7 +105,9 @@ def feature_vectors(st: Stages, profile: DataFrame, twohop: DataFrame, pca: Data
     """M5 over all candidates, written once (read by fit, metrics, scoring)."""
     attrs = FT.user_attributes(st.degree, profile)
     ft = FT.feature_table(st.labelled, attrs, twohop, p.count_unknown_sex)
-    return _save(ML.full_features(ft, pca, shares, min(p.pca_k, 252)), f"{out_dir}/vectors")
+    fs = FT.FEATURE_SETS[p.feature_set]
+    bits = MK.edge_mask_bits(st.candidates, G.positives(st.edges, with_mask=True)) if fs.edge_bits else None
+    return _save(ML.feature_set_vectors(ft, fs, pca, shares, bits), f"{out_dir}/vectors")
 
 
 def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
@@ -107,7 +115,7 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
     AUC and the F-beta threshold on the validation part, class balance."""
     train, valid = S.train_valid(vectors, p)
     train = _save(train, f"{out_dir}/train")
-    model = ML.fit(train, p.max_iter)
+    model = ML.fit(train, p.max_iter, p.fit_intercept)
     model.write().overwrite().save(f"{out_dir}/model")  # K7
     vs = _save(ML.score(model, valid), f"{out_dir}/valid_scores")
     # K6: (prediction, label) of training (1 file) and validation (4 files)
@@ -122,39 +130,53 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
 
 
 def recommend(vectors: DataFrame, model, threshold: float, out_dir: str, p: Params) -> DataFrame:
-    """Test-group pairs that are not known edges, scored, both
-    directions, target users, top-k, ranked text lists (K3)."""
+    """Test-group pairs that are not known edges, scored once, both
+    directions (K5), target users, top-k, ranked text lists (K3)."""
     pop = vectors.where(S.test_group(p) & (F.col("label") == 0))
-    directed = R.flip_scores(ML.score(model, pop))
+    scored = _save(ML.score(model, pop), f"{out_dir}/test_scores")
+    directed = R.flip_scores(scored)
+    TB.write_probabilities(directed, f"{out_dir}/prediction_proba")
     ranked = R.top_k(R.target_users(directed, p, residue=p.test_residue, threshold=threshold), p.top_k)
     ranked = _save(ranked, f"{out_dir}/prediction_ranked")
     # K6: (prediction, label) of the test group (8 files)
-    TB.write_prediction_labels(ML.score(model, pop).select(F.col("score").alias("prediction"), "label"),
+    TB.write_prediction_labels(scored.select(F.col("score").alias("prediction"), "label"),
                                f"{out_dir}/Model_fin/test", 8)
     X.write_lines(R.ranked_lines(ranked).select(F.col("line").alias("value")), f"{out_dir}/prediction")
     return ranked
 
 
-def holdout_build(vectors: DataFrame, train: DataFrame, model, out_dir: str, p: Params) -> DataFrame:
+def holdout_build(vectors: DataFrame, train: DataFrame, model, threshold: float, out_dir: str,
+                  p: Params) -> DataFrame:
     """Hold-out group minus training pairs, positives thinned; truth
-    (K8), directed probabilities (K5) and ranked lists (K3)."""
+    (K8), directed probabilities (K5) and ranked lists (K3) cut at the fitted
+    threshold."""
     hold = _save(S.thin_positives(S.holdout(vectors, train, p), p), f"{out_dir}/holdout")
     X.write_lines(X.render_pairs(hold.where(F.col("label") == 1).select("p1", "p2")),
                   f"{out_dir}/validPrediction_real")
     directed = R.flip_scores(ML.score(model, hold))
     TB.write_probabilities(directed, f"{out_dir}/validPrediction_proba")
-    ranked = R.top_k(R.target_users(directed, p), p.top_k)
+    proba = TB.read_probabilities(hold.sparkSession, f"{out_dir}/validPrediction_proba")
+    ranked = R.top_k(R.target_users(proba, p, threshold=threshold), p.top_k)
     X.write_lines(R.ranked_lines(ranked).select(F.col("line").alias("value")), f"{out_dir}/validPrediction")
     return hold
 
 
+def offline_lists(spark: SparkSession, proba_path: str, p: Params, residue: int | None = None) -> DataFrame:
+    """Ranked lists of the offline evaluation, from stored probabilities at the
+    offline threshold (0.0): of hold-out users, or with `residue` of that group."""
+    proba = TB.read_probabilities(spark, proba_path)
+    users = R.target_users(proba, p, threshold=p.threshold) if residue is None else \
+        R.target_users(proba, p, residue=residue, threshold=p.threshold)
+    return R.top_k(users, p.top_k)
+
+
 def rank_evaluation(spark: SparkSession, out_dir: str, p: Params) -> DataFrame:
-    """Read the probabilities (S13) and the hidden edges (S15) back,
-    rank (W1) and compute NDCG (A10)."""
-    proba = TB.read_probabilities(spark, f"{out_dir}/validPrediction_proba")
+    """Read the probabilities (S13) and the hidden edges (S15) back, rank
+    (W1), write the test group's offline lists (K3) and compute NDCG (A10)."""
+    test = offline_lists(spark, f"{out_dir}/prediction_proba", p, p.test_residue)
+    X.write_lines(R.ranked_lines(test).select(F.col("line").alias("value")), f"{out_dir}/prediction_offline")
     truth = MT.hidden_neighbours(X.parse_pairs(spark.read.text(f"{out_dir}/validPrediction_real")))
-    ranked = R.top_k(R.target_users(proba, p, threshold=0.0), p.top_k)
-    return MT.ndcg(ranked, truth)
+    return MT.ndcg(offline_lists(spark, f"{out_dir}/validPrediction_proba", p), truth)
 
 
 def exploration(edges: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,28 +188,34 @@ def exploration(edges: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def run(spark: SparkSession, edges: DataFrame, profile: DataFrame, out_dir: str,
-        p: Params = Params()) -> DataFrame:
-    """The production chain; returns the one-row run report (K9) with the
-    class balance (A11), split and hold-out sizes (A12), AUC, threshold and
-    NDCG."""
+        p: Params = Params(), rejects: DataFrame | None = None) -> DataFrame:
+    """The production chain; returns the one-row run report (K9) with the class
+    balance (A11), split and hold-out sizes (A12), AUC, threshold, NDCG, the
+    solver's cap, iterations and convergence, and how many input items the
+    readers rejected (`rejects`: the row of `text.adjacency_rejects`, if the
+    edges came from text)."""
     st = candidate_generation(edges, out_dir, p)
     _, pca, shares = mask_histogram(st, out_dir, p)
     th = twohop_job(st, out_dir)
     vectors = feature_vectors(st, profile, th, pca, shares, out_dir, p)
     model, train, _, auc, threshold, balance = train_and_threshold(vectors, out_dir, p)
     recommend(vectors, model, threshold, out_dir, p)
-    hold = holdout_build(vectors, train, model, out_dir, p)
+    hold = holdout_build(vectors, train, model, threshold, out_dir, p)
     nd = rank_evaluation(spark, out_dir, p).first()
     pos, neg = int(balance.get(1, 0)), int(balance.get(0, 0))
     tot = max(1, pos + neg)
     counts = hold.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
     n_valid = spark.read.parquet(f"{out_dir}/valid_scores").count()
+    used, converged = ML.solver_state(model, p.max_iter)
+    rejected = int(rejects.first()["rejected_items"]) if rejects is not None else 0
     report = spark.createDataFrame([(
-        int(min(p.pca_k, 252)), float(p.row_sample_rate), float(auc) if auc is not None else None,
+        FT.FEATURE_SETS[p.feature_set].pca, float(p.row_sample_rate), float(auc) if auc is not None else None,
         pos, neg, pos / tot, neg / tot, float(threshold),
-        int(counts["n"]), int(counts["n1"] or 0), nd["ndcg_x1000"], pos + neg, int(n_valid))],
+        int(counts["n"]), int(counts["n1"] or 0), nd["ndcg_x1000"], pos + neg, int(n_valid),
+        p.max_iter, used, converged, rejected)],
         "pca_size INT, sample_filter DOUBLE, auc DOUBLE, positives BIGINT, negatives BIGINT, "
         "positive_share DOUBLE, negative_share DOUBLE, threshold DOUBLE, holdout_rows BIGINT, "
-        "holdout_positives BIGINT, ndcg_x1000 DOUBLE, train_rows BIGINT, valid_rows BIGINT")
+        "holdout_positives BIGINT, ndcg_x1000 DOUBLE, train_rows BIGINT, valid_rows BIGINT, "
+        "max_iter INT, iterations INT, converged BOOLEAN, rejected_items BIGINT")
     TB.append_report(report, f"{out_dir}/report")
     return spark.read.parquet(f"{out_dir}/report")

@@ -13,6 +13,9 @@ from linkgraph.functions.hashing import hash_unit_sql
 
 P = FIXTURE
 
+# read several times by later CTEs: computed once
+KEPT = {"edges", "kept", "candidates", "labelled", "train", "hist"}
+
 # name -> (sql, dependencies)
 CTE: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -31,7 +34,7 @@ SELECT c_custkey AS user_id,
   CASE WHEN c_acctbal < 0 THEN NULL ELSE CAST(floor(c_acctbal) AS BIGINT) END AS birth_date,
   CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS gender,
   c_nationkey AS location_id, NULLIF(n_regionkey, 0) AS login_region
-FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 cte("degree", "SELECT user_id, count(*) AS deg FROM edges GROUP BY user_id", "edges")
 cte("dband", f"""
 SELECT e.user_id, e.friend_id, e.mask FROM edges e JOIN degree d ON e.user_id = d.user_id
@@ -87,7 +90,7 @@ def _order(names) -> list[str]:
 
 
 def with_views(body: str, *names: str) -> str:
-    parts = [f"{n} AS (\n{CTE[n][0]}\n)" for n in _order(names)]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}(\n{CTE[n][0]}\n)" for n in _order(names)]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
 
 
@@ -136,6 +139,12 @@ SELECT a.p1, a.p2, max(r.common_cnt) AS max_common, CAST(sum(r.label) AS BIGINT)
 FROM pf a JOIN pf b ON a.p1 = b.p1 AND a.p2 = b.p2 AND a.friend_id < b.friend_id
 JOIN ratios r ON r.p1 = a.friend_id AND r.p2 = b.friend_id
 GROUP BY a.p1, a.p2""", "pf", "ratios")
+cte("twohop_all", """
+SELECT a.p1, a.p2, max(r.common_cnt) AS max_common, CAST(sum(r.label) AS BIGINT) AS linked_pairs,
+  max(r.ratio_max) AS max_ratio_maxdeg, max(r.ratio_min) AS max_ratio_mindeg
+FROM pairs a JOIN pairs b ON a.p1 = b.p1 AND a.p2 = b.p2 AND a.friend_id < b.friend_id
+JOIN ratios r ON r.p1 = a.friend_id AND r.p2 = b.friend_id
+GROUP BY a.p1, a.p2""", "pairs", "ratios")
 cte("attrs", """
 SELECT coalesce(d.user_id, p.user_id) AS user_id, d.deg, p.age, p.sex, p.city, p.region, p.known
 FROM degree d FULL JOIN (
@@ -173,9 +182,8 @@ WHERE {TRAIN_G} AND (label = 1 OR {H1} < {P.negative_fraction!r}) AND {H2} <= {P
 cte("train", f"SELECT * FROM tdata WHERE {H3} < {P.train_fraction!r}", "tdata")
 cte("valid", f"SELECT * FROM tdata WHERE {H3} >= {P.train_fraction!r}", "tdata")
 cte("hanti", f"""
-SELECT l.p1, l.p2, l.label, l.score FROM labelled l
-WHERE {HOLD_G.replace('p1', 'l.p1').replace('p2', 'l.p2')}
-  AND NOT EXISTS (SELECT 1 FROM train t WHERE t.p1 = l.p1 AND t.p2 = l.p2)""", "labelled", "train")
+SELECT l.p1, l.p2, l.label, l.score FROM labelled l ANTI JOIN train t ON t.p1 = l.p1 AND t.p2 = l.p2
+WHERE (l.p1 % {M} <> {T7} OR l.p2 % {M} <> {T7}) AND (l.p1 % {M} = {H6} OR l.p2 % {M} = {H6})""", "labelled", "train")
 cte("hold", f"SELECT * FROM hanti WHERE label = 0 OR {H4} < {P.holdout_positive_fraction!r}", "hanti")
 cte("sc", """
 SELECT CAST(score AS DOUBLE) AS threshold,
@@ -219,6 +227,13 @@ DEG_FEATS = """
        THEN round(common_cnt / CAST(least(coalesce(deg1, 0), coalesce(deg2, 0)) AS DOUBLE), 6)
        ELSE CAST(0.0 AS DOUBLE) END AS share_min,
   round(common_cnt / CAST(coalesce(deg2, 999999) AS DOUBLE), 6) AS share2_default"""
+DEG_ALL = f"""
+  round(ln(CAST(common_cnt AS DOUBLE)), 6) AS log_common,
+  CASE WHEN coalesce(deg1, 0) <> 0 THEN round(common_cnt / CAST(deg1 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share1,
+  CASE WHEN coalesce(deg2, 0) <> 0 THEN round(common_cnt / CAST(deg2 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share2,
+  {DEG_FEATS},
+  CAST(greatest(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_max,
+  CAST(least(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_min"""
 PROF_FEATS = """
   CAST(abs(coalesce(age1, 0) - coalesce(age2, 0)) AS BIGINT) AS age_gap,
   CAST(coalesce(sex1, 0) = coalesce(sex2, 0) AND coalesce(sex1, 0) <> 0 AS INTEGER) AS same_sex,
@@ -240,12 +255,7 @@ oracle("candidate_ratios", "SELECT * FROM ratios", "ratios")
 # ---- features ----------------------------------------------------------------------------
 oracle("degree_features", f"""
 SELECT p1, p2, common_cnt, deg1, deg2,
-  round(ln(CAST(common_cnt AS DOUBLE)), 6) AS log_common,
-  CASE WHEN coalesce(deg1, 0) <> 0 THEN round(common_cnt / CAST(deg1 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share1,
-  CASE WHEN coalesce(deg2, 0) <> 0 THEN round(common_cnt / CAST(deg2 AS DOUBLE), 6) ELSE CAST(0.0 AS DOUBLE) END AS share2,
-  {DEG_FEATS},
-  CAST(greatest(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_max,
-  CAST(least(coalesce(deg1, 0), coalesce(deg2, 0)) AS BIGINT) AS deg_min
+  {DEG_ALL}
 FROM (SELECT c.p1, c.p2, c.common_cnt, d1.deg AS deg1, d2.deg AS deg2 FROM candidates c
       LEFT JOIN degree d1 ON c.p1 = d1.user_id LEFT JOIN degree d2 ON c.p2 = d2.user_id) t""",
        "candidates", "degree")
@@ -253,7 +263,7 @@ oracle("profile_features", f"""
 SELECT x.p1, x.p2, {PROF_FEATS}
 FROM candidates x {ATTR_JOIN}""", "candidates", "attrs")
 oracle("feature_table", f"""
-SELECT p1, p2, label, common_cnt, {DEG_FEATS}, {PROF_FEATS},
+SELECT p1, p2, label, common_cnt, {DEG_ALL}, {PROF_FEATS},
   CAST(coalesce(max_common, 0) AS BIGINT) AS max_common,
   CAST(coalesce(linked_pairs, 0) AS BIGINT) AS linked_pairs,
   coalesce(max_ratio_maxdeg, CAST(0.0 AS DOUBLE)) AS max_ratio_maxdeg,
@@ -280,6 +290,7 @@ SELECT c.p1, c.p2, coalesce(lpad(bin(pm.mask & 2097151), 21, '0'), '000000000000
 FROM candidates c LEFT JOIN pm ON c.p1 = pm.p1 AND c.p2 = pm.p2""", "candidates", "pm")
 # ---- 2-hop ------------------------------------------------------------------------------------
 oracle("twohop_stats", "SELECT * FROM twohop", "twohop")
+oracle("twohop_all_pairs", "SELECT * FROM twohop_all", "twohop_all")
 # ---- groups, samples, splits ----------------------------------------------------------------
 oracle("train_group", f"SELECT p1, p2, label FROM labelled WHERE {TRAIN_G}", "labelled")
 oracle("test_group", f"SELECT p1, p2, label FROM labelled WHERE {TEST_G}", "labelled")
@@ -356,7 +367,7 @@ FROM topk GROUP BY user_id""", "topk")
 oracle("ranked_list_parse", "SELECT user_id, rank, candidate_id FROM topk WHERE user_id <> 0", "topk")
 oracle("twohop_text_roundtrip", """
 SELECT p1, p2, CAST(max_common AS DOUBLE) AS max_common, CAST(linked_pairs AS DOUBLE) AS linked_pairs,
-  max_ratio_maxdeg, max_ratio_mindeg FROM twohop""", "twohop")
+  max_ratio_maxdeg, max_ratio_mindeg FROM twohop_all""", "twohop_all")
 oracle("hidden_edges_text", "SELECT p1, p2 FROM hold WHERE label = 1", "hold")
 oracle("probabilities_roundtrip", "SELECT user_id, candidate_id, score FROM flipped", "flipped")
 
@@ -373,3 +384,59 @@ oracle("scaled_features", "SELECT p1, p2, " + ", ".join(
     f"ELSE round(CAST({c} AS DOUBLE) / sd_{c}, 6) END AS {c}" for c in _FC) +
     "\nFROM ftrain, (SELECT " + ", ".join(f"stddev_samp(CAST({c} AS DOUBLE)) AS sd_{c}" for c in _FC) +
     " FROM ftrain) s", "ftrain")
+
+# ---- vectors of the job generations, ML inputs, run counts ----------------------------------
+cte("fall", f"""
+SELECT x.*, {DEG_ALL},
+  {PROF_FEATS}, coalesce(lpad(bin(pm.mask & 2097151), 21, '0'), '000000000000000000000') AS bits
+FROM (SELECT l.p1, l.p2, l.common_cnt, coalesce(t.max_common, 0) AS max_common,
+        coalesce(t.linked_pairs, 0) AS linked_pairs, coalesce(t.max_ratio_maxdeg, 0.0) AS max_ratio_maxdeg,
+        coalesce(t.max_ratio_mindeg, 0.0) AS max_ratio_mindeg
+      FROM labelled l LEFT JOIN twohop t ON l.p1 = t.p1 AND l.p2 = t.p2) x
+{ATTR_JOIN} LEFT JOIN pm ON x.p1 = pm.p1 AND x.p2 = pm.p2""", "labelled", "twohop", "attrs", "pm")
+from linkgraph.operators.features import FEATURE_SETS as _FS  # noqa: E402
+
+for _name in ("baseline", "extended", "short", "holdout"):
+    _fs = _FS[_name]
+    _cols = [f"CAST({c} AS DOUBLE)" for c in _fs.scalars]
+    _cols += [f"CAST(substr(bits, {i + 1}, 1) AS DOUBLE)" for i in range(21)] if _fs.edge_bits else []
+    oracle(f"vector_{_name}", "SELECT p1, p2, " + ", ".join(f"{c} AS x{i}" for i, c in enumerate(_cols)) + " FROM fall",
+           "fall")
+cte("diag", """
+SELECT h.p1, h.p2, CAST(d.i AS INTEGER) AS type, h.cnt FROM hist h
+JOIN (SELECT range AS i, range + 1 + 22 * range - (range * (range + 1)) // 2 AS cell FROM range(0, 21)) d
+  ON h.cell = d.cell""", "hist")
+oracle("type_shares", """
+SELECT c.p1, c.p2, d.type, CAST(d.cnt AS DOUBLE) AS cnt,
+  round(d.cnt / CAST(greatest(1, c.common_cnt) AS DOUBLE), 6) AS share
+FROM candidates c JOIN diag d ON c.p1 = d.p1 AND c.p2 = d.p2""", "candidates", "diag")
+oracle("mask_covariance", """
+SELECT b.x, b.y, round((b.sxy - o1.s * o2.s / n.n) / (n.n - 1), 6) + 0.0 AS cov
+FROM (SELECT CAST(a.cell AS INTEGER) AS x, CAST(c.cell AS INTEGER) AS y, CAST(sum(a.cnt * c.cnt) AS DOUBLE) AS sxy
+      FROM hist a JOIN hist c ON a.p1 = c.p1 AND a.p2 = c.p2 AND a.cell <= c.cell GROUP BY 1, 2) b
+JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o1 ON b.x = o1.cell
+JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o2 ON b.y = o2.cell,
+(SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT p1, p2 FROM hist) t) n""", "hist")
+oracle("run_counts", """
+SELECT 'train' AS part, count(*) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives FROM train
+UNION ALL SELECT 'valid', count(*), CAST(coalesce(sum(label), 0) AS BIGINT) FROM valid
+UNION ALL SELECT 'holdout', count(*), CAST(coalesce(sum(label), 0) AS BIGINT) FROM hold""", "train", "valid", "hold")
+oracle("model_keys", """
+SELECT DISTINCT 'pca' AS part, p1, p2 FROM hist UNION ALL SELECT 'scores', p1, p2 FROM valid""", "hist", "valid")
+# ---- layouts ---------------------------------------------------------------------------------
+oracle("edges_without_masks", "SELECT user_id, friend_id FROM edges", "edges")
+oracle("edges_from_chunks", "SELECT user_id, friend_id, mask FROM edges", "edges")
+oracle("adjacency_rejects", """
+SELECT count(*) AS items, CAST(count(*) FILTER (friend_id % 10 = 0) AS BIGINT) AS rejected_items,
+  CAST(count(*) FILTER (friend_id % 7 = 0 AND friend_id % 10 <> 0) AS BIGINT) AS unreadable_masks FROM edges""", "edges")
+oracle("reversed_plain_roundtrip", "SELECT user_id, friend_id FROM kept", "kept")
+for _n in ("hist_vectors_roundtrip", "hist_vectors_older_layout"):
+    oracle(_n, "SELECT p1, p2, CAST(cell AS INTEGER) AS cell, cnt FROM hist", "hist")
+oracle("roc_grouped", """
+SELECT run, threshold, pos, neg,
+  CAST(sum(pos) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS tp,
+  CAST(sum(neg) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS fp
+FROM (SELECT CAST((k - 1) // greatest(1, n // 100) AS INTEGER) AS run, max(threshold) AS threshold,
+        CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg
+      FROM (SELECT *, row_number() OVER (ORDER BY threshold DESC) AS k, count(*) OVER () AS n FROM sc) t GROUP BY 1) g""", "sc")
+oracle("offline_lists", "SELECT user_id, rank, candidate_id FROM topk", "topk")

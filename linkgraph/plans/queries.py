@@ -187,7 +187,12 @@ def edge_mask_bits(spark, sf_dir):
 # ---- 2-hop ------------------------------------------------------------------------
 @query
 def twohop_stats(spark, sf_dir):
-    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates'}).twohop
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates', 'labelled'}).twohop
+
+
+@query
+def twohop_all_pairs(spark, sf_dir):
+    return Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'candidates', 'labelled'}).twohop_all
 
 
 # ---- groups, samples, splits -----------------------------------------------------
@@ -397,8 +402,8 @@ def ranked_list_parse(spark, sf_dir):
 @query
 def twohop_text_roundtrip(spark, sf_dir):
     from linkgraph.sources import text as X
-    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates"})
-    return X.parse_twohop(X.roundtrip(X.render_twohop(v.twohop), "twohop"))
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates", "labelled"})
+    return X.parse_twohop(X.roundtrip(X.render_twohop(v.twohop_all), "twohop"))
 
 
 @query
@@ -465,6 +470,163 @@ def link_scores(spark, sf_dir):
     return score(v.model, v.ml_split[1])
 
 
+@query
+def type_shares(spark, sf_dir):
+    """J5 + F15 in long form, divided and undivided, where a count is not 0."""
+    from linkgraph.operators.masks import mask_diag_counts as mdc
+    from linkgraph.operators.model import type_shares as ts
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates", "hist"})
+    diag = mdc(v.hist)
+    both = (ts(diag, v.candidates).join(ts(diag, v.candidates, divide=False)
+                                        .withColumnRenamed("type_shares", "counts"), ["p1", "p2"]))
+    long = both.select("p1", "p2", F.posexplode(F.arrays_zip("type_shares", "counts")).alias("type", "x"))
+    return long.where("x.counts > 0").select("p1", "p2", "type", F.col("x.counts").alias("cnt"),
+                                             F.round("x.type_shares", 6).alias("share"))
+
+
+def _scalar_vectors(feature_set: str):
+    """The scalar and mask-bit entries of a generation's vectors as columns x0, x1, ..."""
+    def run(spark, sf_dir):
+        from dataclasses import replace
+
+        from pyspark.ml.functions import vector_to_array
+
+        from linkgraph.operators.features import FEATURE_SETS
+        from linkgraph.operators.model import feature_set_vectors
+        fs = replace(FEATURE_SETS[feature_set], pca=0, type_counts=False)
+        v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"candidates", "labelled"})
+        vec = feature_set_vectors(v.features, fs, edge_bits=v.edge_bits if fs.edge_bits else None)
+        a = vec.select("p1", "p2", vector_to_array("features").alias("a"))
+        return a.select("p1", "p2", *[F.round(F.col("a").getItem(i), 6).alias(f"x{i}") for i in range(fs.width)])
+    return run
+
+
+# M5: scalars (and the edge's mask bits) of the job generations, as they stand in the vector
+QUERIES["vector_baseline"] = _scalar_vectors("baseline")
+QUERIES["vector_extended"] = _scalar_vectors("extended")
+QUERIES["vector_short"] = _scalar_vectors("short")
+QUERIES["vector_holdout"] = _scalar_vectors("holdout")
+
+
+@query
+def mask_covariance(spark, sf_dir):
+    """The covariance that M1 decomposes: of the cells that occur together in a
+    pair, over all pairs with a histogram (cells x <= y, covariance not 0 by
+    absence alone)."""
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"hist"})
+    h = v.hist
+    n = h.select("p1", "p2").distinct().agg(F.count(F.lit(1)).cast("double"))
+    one = h.groupBy("cell").agg(F.sum("cnt").cast("double").alias("s"))
+    a = h.select("p1", "p2", F.col("cell").alias("x"), F.col("cnt").alias("cx"))
+    b = h.select("p1", "p2", F.col("cell").alias("y"), F.col("cnt").alias("cy"))
+    both = (a.join(b, ["p1", "p2"]).where("x <= y").groupBy("x", "y")
+            .agg(F.sum(F.col("cx") * F.col("cy")).cast("double").alias("sxy")))
+    j = (both.join(one.select(F.col("cell").alias("x"), F.col("s").alias("sx")), "x")
+         .join(one.select(F.col("cell").alias("y"), F.col("s").alias("sy")), "y"))
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n.scalar()) / (n.scalar() - 1)
+    return j.select("x", "y", (F.round(cov, 6) + 0.0).alias("cov"))
+
+
+@query
+def run_counts(spark, sf_dir):
+    """Rows and positives of each part of the run."""
+    v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"labelled"})
+    parts = [("train", v.train), ("valid", v.valid), ("holdout", v.holdout)]
+    out = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("positives"))
+           .select(F.lit(name).alias("part"), "n", "positives") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def model_keys(spark, sf_dir):
+    """Which pairs each end of the ML part has: PCA rows and scored pairs."""
+    from linkgraph.operators.model import score
+    v = Views(spark, sf_dir, stages=ML_STAGES)
+    return v.pca.select(F.lit("pca").alias("part"), "p1", "p2").unionByName(
+        score(v.model, v.ml_split[1]).select(F.lit("scores").alias("part"), "p1", "p2"))
+
+
+# ---- layouts read back -----------------------------------------------------------------------
+@query
+def edges_without_masks(spark, sf_dir):
+    """S2."""
+    from linkgraph.sources import text as X
+    from linkgraph.sources.store import stage_path
+    edges = Views(spark, sf_dir).edges
+    path = stage_path(edges, "adjacency")
+    X.write_lines(X.render_adjacency(edges), path)
+    return X.read_adjacency(spark, path, with_masks=False)
+
+
+@query
+def edges_from_chunks(spark, sf_dir):
+    """The chunked adjacency layout, written and read."""
+    from linkgraph.sources import text as X
+    lines = X.roundtrip(X.render_adjacency(Views(spark, sf_dir).edges, chunk_items=20), "chunks")
+    return X.parse_adjacency(lines, chunked=True)
+
+
+@query
+def adjacency_rejects(spark, sf_dir):
+    """Reject counts over all edges, every tenth friend and seventh mask made unreadable."""
+    from linkgraph.sources import text as X
+    e = Views(spark, sf_dir).edges
+    friend = F.when(F.col("friend_id") % 10 == 0, "x").otherwise(F.col("friend_id").cast("string"))
+    mask = F.when(F.col("friend_id") % 7 == 0, "?").otherwise(F.col("mask").cast("string"))
+    lines = e.groupBy("user_id").agg(F.collect_list(F.concat(F.lit("("), friend, F.lit(","), mask, F.lit(")"))).alias("i"))
+    lines = lines.select(F.concat(F.col("user_id").cast("string"), F.lit("\t{"), F.array_join("i", ","), F.lit("}"))
+                         .alias("value"))
+    return X.adjacency_rejects(X.roundtrip(lines, "rejects"))
+
+
+@query
+def reversed_plain_roundtrip(spark, sf_dir):
+    """S8."""
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    adj = G.reverse_adjacency(Views(spark, sf_dir).kept)
+    path = stage_path(adj, "reversed")
+    TB.write_reversed(adj, path)
+    return TB.read_reversed(spark, path).select("user_id", "friend_id")
+
+
+def _hist_layout(older: bool):
+    def run(spark, sf_dir):
+        from linkgraph.operators.masks import hist_vectors
+        from linkgraph.sources import tables as TB
+        from linkgraph.sources.store import stage_path
+        h = hist_vectors(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"hist"}).hist)
+        path = stage_path(h, "hist_vectors")
+        TB.write_hist_vectors(h, path, older)
+        back = TB.read_hist_vectors(spark, path).select("p1", "p2", F.posexplode("hist").alias("i", "x"))
+        return back.where("x <> 0").select("p1", "p2", (F.col("i") + 1).cast("int").alias("cell"),
+                                           F.col("x").cast("bigint").alias("cnt"))
+    return run
+
+
+QUERIES["hist_vectors_roundtrip"] = _hist_layout(False)      # S10
+QUERIES["hist_vectors_older_layout"] = _hist_layout(True)    # S11
+
+
+@query
+def roc_grouped(spark, sf_dir):
+    from linkgraph.operators.metrics import roc_grouped as rg
+    return rg(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {'labelled'}).valid)
+
+
+@query
+def offline_lists(spark, sf_dir):
+    """The test group's lists at the offline threshold, from stored probabilities."""
+    from linkgraph.plans import jobs
+    from linkgraph.sources import tables as TB
+    from linkgraph.sources.store import stage_path
+    v = Views(spark, sf_dir)
+    scores = R.flip_scores(_score_population(v))
+    path = stage_path(scores, "prediction_proba")
+    TB.write_probabilities(scores, path)
+    return jobs.offline_lists(spark, path, v.p, v.p.test_residue).select("user_id", "rank", "candidate_id")
+
+
 # ---- end-to-end ---------------------------------------------------------------------------
 @query
 def run_report(spark, sf_dir):

@@ -2,7 +2,9 @@
 
 Each property builds a DataFrame once per `Views` object, so a query that
 needs e.g. the candidates twice reuses one logical plan (Spark then reuses
-the identical exchanges).  Nothing here triggers an action.
+the identical exchanges).  The views named in `stages` run a Spark job when
+they are first read (they are written and read back), and so does every pair
+explosion, which counts its rows to size its tasks.
 """
 
 from __future__ import annotations
@@ -79,14 +81,14 @@ class Views:
         user" reduces to "p1 -> p2 is an edge": the label joins the
         canonical edges directly, without the semi join of `positives`."""
         lab = C.label_candidates(self.candidates, C.canonical_edges(self.edges))
-        return self._stage(C.with_degrees(lab, self.degree, "inner")
+        return self._stage(C.with_degrees(lab, self.degree)
                            .withColumn("score", C.jaccard_score()), "labelled")
 
     # -- masks, 2-hop, features ----------------------------------------------
     @cached_property
     def hist(self) -> DataFrame:
         from linkgraph.operators.masks import mask_pair_hist
-        return self._stage(mask_pair_hist(self.kept, self.p.hist_min_support), "hist")
+        return self._stage(mask_pair_hist(C.pair_lists(self.kept), self.p.hist_min_support), "hist")
 
     @cached_property
     def ratios(self) -> DataFrame:
@@ -96,7 +98,12 @@ class Views:
     @cached_property
     def twohop(self) -> DataFrame:
         from linkgraph.operators.twohop import twohop_stats
-        return twohop_stats(self.pairs, self.candidates, self.ratios)
+        return twohop_stats(self.pairs, self.ratios, self.candidates)
+
+    @cached_property
+    def twohop_all(self) -> DataFrame:
+        from linkgraph.operators.twohop import twohop_stats
+        return twohop_stats(self.pairs, self.ratios)
 
     @cached_property
     def attrs(self) -> DataFrame:
@@ -132,21 +139,33 @@ class Views:
     def pca(self) -> DataFrame:
         from linkgraph.operators.masks import hist_vectors
         from linkgraph.operators.model import fit_pca
-        return fit_pca(hist_vectors(self.hist), self.p.pca_k)
+        return fit_pca(hist_vectors(self.hist), self.feature_set.pca or self.p.pca_k)
 
     @cached_property
     def shares(self) -> DataFrame:
         from linkgraph.operators.masks import mask_diag_counts
         from linkgraph.operators.model import type_shares
-        return type_shares(mask_diag_counts(self.hist), self.candidates)
+        return type_shares(mask_diag_counts(self.hist), self.candidates, self.p.divide_type_counts)
+
+    @property
+    def feature_set(self):
+        from linkgraph.operators.features import FEATURE_SETS
+        return FEATURE_SETS[self.p.feature_set]
+
+    @cached_property
+    def edge_bits(self) -> DataFrame:
+        from linkgraph.operators.masks import edge_mask_bits
+        return edge_mask_bits(self.candidates, G.positives(self.edges, with_mask=True))
 
     @cached_property
     def vectors(self) -> DataFrame:
         """Full feature vectors of all candidates (staged when asked: the
         PCA fit, the scaler, L-BFGS and scoring all read it)."""
-        from linkgraph.operators.model import full_features
-        return self._stage(full_features(self.features, self.pca, self.shares, min(self.p.pca_k, 252)),
-                           "vectors")
+        from linkgraph.operators.model import feature_set_vectors
+        fs = self.feature_set
+        return self._stage(feature_set_vectors(
+            self.features, fs, self.pca if fs.pca else None, self.shares if fs.type_counts else None,
+            self.edge_bits if fs.edge_bits else None), "vectors")
 
     @cached_property
     def ml_split(self) -> tuple[DataFrame, DataFrame]:
@@ -156,4 +175,4 @@ class Views:
     @cached_property
     def model(self):
         from linkgraph.operators.model import fit
-        return fit(self.ml_split[0], self.p.max_iter)
+        return fit(self.ml_split[0], self.p.max_iter, self.p.fit_intercept)

@@ -53,6 +53,14 @@ def read_hist_vectors(spark: SparkSession, path: str) -> DataFrame:
     return df.select("p1", "p2", F.col("hist").cast("array<double>").alias("hist"))
 
 
+def write_hist_vectors(vectors: DataFrame, path: str, older: bool = False) -> None:
+    """Histogram vectors in the named or the older layout."""
+    if older:
+        vectors = vectors.select(F.struct(F.col("p1").alias("_1"), F.col("p2").alias("_2")).alias("_1"),
+                                 F.col("hist").alias("_2"))
+    vectors.write.mode("overwrite").parquet(path)
+
+
 def write_probabilities(scores: DataFrame, path: str) -> None:
     """K5: directed probabilities (person1, person2, proba)."""
     (scores.select(F.col("user_id").alias("person1"), F.col("candidate_id").alias("person2"),
@@ -68,8 +76,9 @@ def read_probabilities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_prediction_labels(df: DataFrame, path: str, files: int) -> None:
-    """K6: (prediction, label) pairs with a fixed number of files."""
-    df.select("prediction", "label").coalesce(files).write.mode("overwrite").parquet(path)
+    """K6: (prediction, label) pairs with a fixed number of files.  The rows are
+    dealt out after scoring, which keeps its own parallelism."""
+    df.select("prediction", "label").repartition(files).write.mode("overwrite").parquet(path)
 
 
 def append_report(report: DataFrame, path: str) -> None:

@@ -2,8 +2,9 @@
 writers (K3, K4, K8), with the string functions of X7 (split, regexp_replace,
 trim, try_cast, concat_ws, slice).  Parsing is column expressions over `spark.read.text`
 lines (splittable for plain text; one task per .gz file, as any gzip);
-malformed numbers become NULL through try_cast and are dropped or counted,
-instead of failing the job.
+malformed numbers become NULL through try_cast instead of failing the job; the
+rows they would have given are left out and counted (`adjacency_rejects`,
+`line_rejects`, also in the run report).
 """
 
 from __future__ import annotations
@@ -20,46 +21,78 @@ def _try(c, t: str):
 
 
 # ---- S1 / S2 / S16: adjacency lists --------------------------------------------------
-def parse_adjacency(lines: DataFrame, col: str = "value", dedupe: bool = True) -> DataFrame:
-    """`user<TAB>{(friend,mask),(friend,mask),...}` -> edges(user_id, friend_id, mask).
-
-    Items are split on `),(` (spaces tolerated).  With `dedupe`, repeated
-    (user, friend) items are merged with bit_or of their masks."""
-    parts = F.split(F.col(col), "\t", 2)
-    body = F.regexp_replace(F.regexp_replace(parts.getItem(1), r"^\s*\{\s*\(", ""), r"\)\s*\}\s*$", "")
+def _adjacency_items(lines: DataFrame, col: str, chunked: bool) -> DataFrame:
+    """One row per item: user_id, friend_id, mask, each NULL where unreadable
+    (a line without a list gives one row of that kind)."""
+    parts = F.split(F.col(col), "\t", 3 if chunked else 2)
+    body = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(2 if chunked else 1)), r"^\s*\{\s*\(", ""),
+                            r"\)\s*\}\s*$", "")
     items = F.split(body, r"\)\s*,\s*\(")
-    rows = (lines.select(_try(parts.getItem(0), "bigint").alias("user_id"), F.explode(items).alias("_it"))
+    return (lines.select(_try(parts.getItem(0), "bigint").alias("user_id"), F.explode_outer(items).alias("_it"))
             .select("user_id", F.split("_it", ",").alias("_kv"))
-            .select("user_id", _try(F.col("_kv").getItem(0), "bigint").alias("friend_id"),
-                    F.coalesce(_try(F.col("_kv").getItem(1), "bigint"), F.lit(0)).cast("bigint").alias("mask"))
+            .select("user_id", _try(F.get("_kv", F.lit(0)), "bigint").alias("friend_id"),
+                    _try(F.get("_kv", F.lit(1)), "bigint").alias("mask")))
+
+
+def parse_adjacency(lines: DataFrame, col: str = "value", dedupe: bool = True, chunked: bool = False) -> DataFrame:
+    """`user<TAB>{(friend,mask),(friend,mask),...}` -> edges(user_id, friend_id, mask);
+    `chunked` reads `user<TAB>chunk<TAB>{...}`.
+
+    Items are split on `),(` (spaces tolerated).  With `dedupe`, repeated
+    (user, friend) items are merged with bit_or of their masks.  Items without
+    a readable user or friend are left out; `adjacency_rejects` counts them."""
+    rows = (_adjacency_items(lines, col, chunked).withColumn("mask", F.coalesce("mask", F.lit(0)).cast("bigint"))
             .where(F.col("user_id").isNotNull() & F.col("friend_id").isNotNull()))
     if dedupe:
         rows = rows.groupBy("user_id", "friend_id").agg(F.bit_or("mask").cast("bigint").alias("mask"))
     return rows
 
 
-def read_adjacency(spark: SparkSession, path: str, with_masks: bool = True) -> DataFrame:
+def adjacency_rejects(lines: DataFrame, col: str = "value", chunked: bool = False) -> DataFrame:
+    """One row: items, rejected_items (no readable user or friend), unreadable_masks
+    (read as 0)."""
+    r = _adjacency_items(lines, col, chunked)
+    bad = F.col("user_id").isNull() | F.col("friend_id").isNull()
+    return r.agg(F.count(F.lit(1)).alias("items"), F.count_if(bad).alias("rejected_items"),
+                 F.count_if(~bad & F.col("mask").isNull()).alias("unreadable_masks"))
+
+
+def line_rejects(lines: DataFrame, parsed: DataFrame, col: str = "value") -> DataFrame:
+    """One row: non-empty lines of a one-row-per-line layout (pairs, demography)
+    and how many of them gave no row."""
+    n = lines.where(F.length(F.trim(F.col(col))) > 0).agg(F.count(F.lit(1)).alias("lines"))
+    got = parsed.agg(F.count(F.lit(1))).scalar()
+    return n.select("lines", (F.col("lines") - got).alias("rejected_lines"))
+
+
+def read_adjacency(spark: SparkSession, path: str, with_masks: bool = True, chunked: bool = False) -> DataFrame:
     """S1 (S2 without masks): adjacency text files, .gz included."""
-    e = parse_adjacency(spark.read.text(path))
+    e = parse_adjacency(spark.read.text(path), chunked=chunked)
     return e if with_masks else e.select("user_id", "friend_id")
 
 
-def render_adjacency(edges: DataFrame, max_items: int = 1000) -> DataFrame:
-    """Adjacency lines for `edges`.  A user's list is cut into chunks of
-    about `max_items` by a hash of the friend, so even a user holding a
-    large share of all edges never becomes one giant group or line; the
-    parser reads any number of lines per user."""
+def render_adjacency(edges: DataFrame, chunk_items: int | None = None) -> DataFrame:
+    """Adjacency lines for `edges`, one line per user (the native layout: as long
+    as the user's list).
+
+    With `chunk_items`, the chunked layout instead: every line is
+    `user<TAB>chunk<TAB>{...}` with about that many items, whatever the size of
+    the list, so no user becomes one giant group or line.  The two layouts have
+    their own readers (`parse_adjacency(chunked=...)`)."""
+    item = F.concat(F.lit("("), F.col("friend_id").cast("string"), F.lit(","),
+                    F.col("mask").cast("string"), F.lit(")"))
+    items = F.array_sort(F.collect_list(F.struct("friend_id", item.alias("s")))).alias("_l")
+    body = F.concat(F.lit("{"), F.array_join(F.col("_l.s"), ","), F.lit("}"))
+    user = F.col("user_id").cast("string")
+    if chunk_items is None:
+        return edges.groupBy("user_id").agg(items).select(F.concat_ws("\t", user, body).alias("value"))
     from linkgraph.operators.skew import join_per_key
     deg = edges.groupBy("user_id").agg(F.count(F.lit(1)).alias("_deg"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("_deg") / F.lit(max_items)))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("_deg") / F.lit(chunk_items)))
     keyed = join_per_key(edges, deg, "user_id", "inner", counts=deg).withColumn(
         "_chunk", F.pmod(F.xxhash64("friend_id"), chunks))
-    item = F.concat(F.lit("("), F.col("friend_id").cast("string"), F.lit(","),
-                    F.col("mask").cast("string"), F.lit(")"))
-    lists = keyed.groupBy("user_id", "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct("friend_id", item.alias("s")))).alias("_l"))
-    return lists.select(F.concat(F.col("user_id").cast("string"), F.lit("\t{"),
-                                 F.array_join(F.col("_l.s"), ","), F.lit("}")).alias("value"))
+    lists = keyed.groupBy("user_id", "_chunk").agg(items)
+    return lists.select(F.concat_ws("\t", user, F.col("_chunk").cast("string"), body).alias("value"))
 
 
 # ---- S3 / S4 / S5: demography TSV -------------------------------------------------------
@@ -107,8 +140,8 @@ def render_twohop(twohop: DataFrame) -> DataFrame:
 def parse_twohop(lines: DataFrame, col: str = "value") -> DataFrame:
     """Strip parentheses, split on commas: pair ids, then 4 doubles."""
     v = F.split(F.regexp_replace(F.col(col), r"[()]", ""), ",")
-    return lines.select(_try(v.getItem(0), "bigint").alias("p1"), _try(v.getItem(1), "bigint").alias("p2"),
-                        *[_try(v.getItem(i + 2), "double").alias(c) for i, c in enumerate(TWOHOP_STATS)])
+    return lines.select(_try(F.get(v, F.lit(0)), "bigint").alias("p1"), _try(F.get(v, F.lit(1)), "bigint").alias("p2"),
+                        *[_try(F.get(v, F.lit(i + 2)), "double").alias(c) for i, c in enumerate(TWOHOP_STATS)])
 
 
 # ---- S14 / K3: ranked lists --------------------------------------------------------------------

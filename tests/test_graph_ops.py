@@ -4,6 +4,8 @@ import itertools
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from linkgraph.config import Params
 from linkgraph.operators import candidates as C
 from linkgraph.operators import graph as G
@@ -93,7 +95,7 @@ def brute_hist(kept, min_support):
 def test_mask_pair_hist(spark):
     kept = brute_kept(random_edges(seed=3))
     kdf = spark.createDataFrame(kept, "user_id BIGINT, friend_id BIGINT, mask BIGINT")
-    got = sorted(tuple(r) for r in MK.mask_pair_hist(kdf, 2).select("p1", "p2", "cell", "cnt").collect())
+    got = sorted(tuple(r) for r in MK.mask_pair_hist(C.pair_lists(kdf), 2).select("p1", "p2", "cell", "cnt").collect())
     assert got == brute_hist(kept, 2)
 
 
@@ -106,19 +108,42 @@ def test_twohop(spark):
     lab = C.with_degrees(cands.withColumn("label", (cands.p1 % 2).cast("int")), deg, "inner")
     ratios = TH.candidate_ratios(lab)
     got = {(r["p1"], r["p2"]): (r["max_common"], r["linked_pairs"]) for r in
-           TH.twohop_stats(pairs, cands, ratios).collect()}
+           TH.twohop_stats(pairs, ratios, cands).collect()}
     cand = {(r["p1"], r["p2"]): r["common_cnt"] for r in cands.collect()}
     common = defaultdict(set)
     for r in pairs.collect():
         common[(r["p1"], r["p2"])].add(r["friend_id"])
-    exp = {}
+    everything = {(r["p1"], r["p2"]): (r["max_common"], r["linked_pairs"]) for r in
+                  TH.twohop_stats(pairs, ratios).collect()}
+    exp, exp_all = {}, {}
     for pr, fs in common.items():
+        hits = [(cand[(a, b)], a % 2) for a, b in itertools.combinations(sorted(fs), 2) if (a, b) in cand]
+        if hits:
+            exp_all[pr] = (max(h[0] for h in hits), sum(h[1] for h in hits))
         if pr not in cand:
             continue
         hits = [(cand[(a, b)], a % 2) for a, b in itertools.combinations(sorted(fs), 2) if (a, b) in cand]
         if hits:
             exp[pr] = (max(h[0] for h in hits), sum(h[1] for h in hits))
     assert got == exp
+    assert everything == exp_all and set(exp) <= set(exp_all)
+
+
+def test_long_friend_lists_meet_in_blocks(spark, monkeypatch):
+    """A friend of 20,000 users (band widened): cut into blocks, no pair is lost or
+    met twice; and with small blocks against brute force."""
+    big = spark.range(20_000).selectExpr("id AS user_id", "7 AS friend_id", "0 AS mask")
+    n, d = C.pair_rows(big, partitions=8).agg(F.count(F.lit(1)), F.sum(F.col("p1") * 3 + F.col("p2") * 5)).first()
+    assert n == 20_000 * 19_999 // 2
+    assert d == sum(3 * i * (19_999 - i) + 5 * i * i for i in range(20_000))
+    monkeypatch.setattr(C, "FRIEND_BLOCK", 3)
+    kept = brute_kept(random_edges(seed=9))
+    kdf = spark.createDataFrame(kept, "user_id BIGINT, friend_id BIGINT, mask BIGINT")
+    by = defaultdict(dict)
+    for u, f, m in kept:
+        by[f][u] = m
+    exp = sorted((a, b, f, us[a], us[b]) for f, us in by.items() for a, b in itertools.combinations(sorted(us), 2))
+    assert sorted(tuple(r) for r in C.pair_rows(kdf, with_masks=True).collect()) == exp
 
 
 def test_join_per_key_hot_key(spark):

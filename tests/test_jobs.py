@@ -43,6 +43,24 @@ def test_run_writes_readable_artifacts(spark, tmpdir_path):
     truth = X.parse_pairs(spark.read.text(out + "/validPrediction_real"))
     assert truth.count() == hold.where("label = 1").count()
 
+    # the hold-out lists are cut at the fitted threshold
+    listed = X.parse_ranked_lists(spark.read.text(out + "/validPrediction"))
+    low = listed.join(proba.withColumnRenamed("score", "s"), ["user_id", "candidate_id"]).where(
+        F.col("s") < report["threshold"])
+    assert listed.count() > 0 and low.count() == 0
+
+    # K5 and the offline lists of the test group
+    test = TB.read_probabilities(spark, out + "/prediction_proba")
+    assert test.count() == 2 * spark.read.parquet(out + "/test_scores").count()
+    offline = X.parse_ranked_lists(spark.read.text(out + "/prediction_offline"))
+    exp = jobs.offline_lists(spark, out + "/prediction_proba", FIXTURE, FIXTURE.test_residue)
+    assert sorted(tuple(r) for r in offline.collect()) == \
+        sorted(tuple(r) for r in exp.select("user_id", "rank", "candidate_id").where("user_id <> 0").collect())
+
+    # the report tells how the solver ended
+    assert report["max_iter"] == 6000 and report["converged"] == (report["iterations"] < 6000)
+    assert report["rejected_items"] == 0
+
     # K6: prediction / label files with the reference's file counts
     for part, files in (("training", 1), ("validation", 4), ("test", 8)):
         df = spark.read.parquet(f"{out}/Model_fin/{part}")

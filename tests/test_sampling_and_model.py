@@ -60,13 +60,78 @@ def test_pca_and_lr(spark):
     assert var[0] >= var[1] >= var[2]
 
 
-def test_feature_sets_and_edge_bits(spark):
+WIDTHS = {"baseline": 3, "extended": 30, "short": 31, "short_pca": 41, "production": 81, "holdout": 83}
+
+
+def test_feature_sets_have_the_widths_of_the_jobs(spark):
+    from dataclasses import replace
+
+    from linkgraph.config import FIXTURE
     from linkgraph.operators.features import FEATURE_SETS
-    feats = spark.createDataFrame([(1, 2, 1, 3, 0.5, 0.25, 0.1, 4, 1, 0, 1, 0, 0, 0.0, 0.0)],
-                                  "p1 BIGINT, p2 BIGINT, label INT, common_cnt BIGINT, share_max DOUBLE, "
-                                  "share_min DOUBLE, share2_default DOUBLE, age_gap BIGINT, same_sex INT, "
-                                  "same_city INT, same_region INT, max_common BIGINT, linked_pairs BIGINT, "
-                                  "max_ratio_maxdeg DOUBLE, max_ratio_mindeg DOUBLE")
+    from linkgraph.plans.views import Views
+    from tests.conftest import SF_SMALL
+    assert {k: v.width for k, v in FEATURE_SETS.items()} == WIDTHS
+    base = Views(spark, SF_SMALL, FIXTURE, stages=Views.DEFAULT_STAGES | {"candidates", "labelled", "hist"})
+    for name in ("baseline", "short_pca", "holdout"):
+        v = Views(spark, SF_SMALL, replace(FIXTURE, feature_set=name, divide_type_counts=name != "holdout"), stages=frozenset())
+        for part in ("edges", "kept", "candidates", "labelled", "hist"):  # one set of stage tables
+            v.__dict__[part] = getattr(base, part)
+        assert len(v.vectors.first()["features"].toArray()) == WIDTHS[name]
+
+
+def test_edge_bits_in_the_vector(spark):
+    feats = spark.createDataFrame([(1, 2, 1, 3, 4, 1)], "p1 BIGINT, p2 BIGINT, label INT, common_cnt BIGINT, "
+                                  "age_gap BIGINT, same_sex INT")
     bits = spark.createDataFrame([(1, 2, "0" * 20 + "1")], "p1 BIGINT, p2 BIGINT, bits STRING")
-    v = ML.full_features(feats, None, None, 0, FEATURE_SETS["baseline"], bits).first()["features"]
+    v = ML.full_features(feats, None, None, 0, ["common_cnt", "age_gap", "same_sex"], bits).first()["features"]
     assert list(v.toArray()) == [3.0, 4.0, 1.0] + [0.0] * 20 + [1.0]
+
+
+def test_draws_take_any_bigint_and_are_jointly_uniform(spark):
+    big = spark.createDataFrame([(2 ** 62 + 5, 2 ** 63 - 1), (4_000_000_000, 2 ** 32), (-3, -2 ** 63)],
+                                "p1 BIGINT, p2 BIGINT")
+    assert all(0 <= r[0] < 1 for r in big.select(hash_unit("p1", "p2", 2)).collect())
+    df = spark.range(200_000).select((F.col("id") % 400).alias("p1"), (F.col("id") / 400).cast("bigint").alias("p2"))
+    u = df.select(*[hash_unit("p1", "p2", s).alias(f"u{s}") for s in (1, 2, 3, 4)]).toPandas().to_numpy()
+    cells = np.zeros(5 ** 4)
+    np.add.at(cells, (u * 5).astype(int) @ np.array([125, 25, 5, 1]), 1)
+    chi = ((cells - 320) ** 2 / 320).sum()
+    assert abs(chi - 624) < 6 * np.sqrt(2 * 624)
+
+
+def test_draw_sql_is_the_same_function(spark):
+    import duckdb
+
+    from linkgraph.functions.hashing import hash_unit_sql
+    rows = [(1, 2), (-5, 7), (2 ** 62, 3), (4_000_000_000, 2 ** 32)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p1 BIGINT, p2 BIGINT").select(hash_unit("p1", "p2", 3)).collect()]
+    vals = ", ".join(f"({a}, {b})" for a, b in rows)
+    assert got == [r[0] for r in duckdb.sql(f"SELECT {hash_unit_sql('p1', 'p2', 3)} FROM (VALUES {vals}) t(p1, p2)").fetchall()]
+
+
+def test_pca_follows_the_covariance(spark):
+    """M1 on the fixture: components are eigenvectors of the covariance."""
+    from pyspark.ml.feature import PCA
+
+    from linkgraph.operators.masks import hist_vectors
+    from linkgraph.plans.views import Views
+    from tests.conftest import SF_SMALL
+    v = Views(spark, SF_SMALL, stages=Views.DEFAULT_STAGES | {"hist"})
+    x = hist_vectors(v.hist).select(array_to_vector("hist").alias("h"))
+    pc = PCA(k=5, inputCol="h", outputCol="o").fit(x).pc.toArray()
+    cov = np.cov(np.array([r["h"].toArray() for r in x.collect()]).T)
+    top = np.linalg.eigh(cov)[0][::-1][:5]
+    for i in range(5):
+        assert np.allclose(cov @ pc[:, i], top[i] * pc[:, i], atol=1e-6)
+
+
+def test_model_without_intercept(spark):
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(200, 2)) + 1
+    y = (x[:, 0] + rnd.normal(size=200) > 1).astype(float)
+    df = spark.createDataFrame([(i, i + 1, float(y[i]), [float(v) for v in x[i]]) for i in range(200)],
+                               "p1 BIGINT, p2 BIGINT, label DOUBLE, f ARRAY<DOUBLE>") \
+        .select("p1", "p2", "label", array_to_vector("f").alias("features"))
+    m = ML.fit(df, fit_intercept=False)
+    used, converged = ML.solver_state(m, 6000)
+    assert m.stages[-1].intercept == 0 and 0 < used < 6000 and converged

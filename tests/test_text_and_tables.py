@@ -19,11 +19,55 @@ def test_adjacency_parse(spark):
 def test_adjacency_roundtrip_chunks(spark, tmpdir_path):
     edges = spark.range(0, 2500).select(F.lit(1).cast("bigint").alias("user_id"),
                                         F.col("id").alias("friend_id"), (F.col("id") % 3).alias("mask"))
-    out = X.render_adjacency(edges, max_items=1000)
+    out = X.render_adjacency(edges, chunk_items=1000)
     assert out.count() >= 3  # a big list is cut into bounded lines
     X.write_lines(out, tmpdir_path + "/adj")
-    back = X.read_adjacency(spark, tmpdir_path + "/adj")
+    back = X.read_adjacency(spark, tmpdir_path + "/adj", chunked=True)
     assert back.count() == 2500 and back.exceptAll(edges).count() == 0
+    # the native layout has one line per user, whatever its length
+    assert X.render_adjacency(edges).count() == 1
+    assert X.parse_adjacency(X.render_adjacency(edges)).exceptAll(edges).count() == 0
+
+
+def test_rejects_are_counted(spark):
+    df = lines(spark, ["7\t{(1,0),(z,5),(3,?)}", "x\t{(1,1)}", "9"])
+    assert tuple(X.adjacency_rejects(df).first()) == (5, 3, 1)
+    assert X.parse_adjacency(df).count() == 2
+    pairs = lines(spark, ["(1,2)", "(3,x)", "", "nothing"])
+    assert tuple(X.line_rejects(pairs, X.parse_pairs(pairs)).first()) == (3, 2)
+
+
+def test_checkpoint_folder_must_be_shared_off_local_masters():
+    import pytest
+
+    from linkgraph.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_stage_tables_are_removed(spark):
+    import os
+
+    from linkgraph.sources.store import drop_stage, materialize
+    df = materialize(spark.range(3), "drop-me")
+    path = df._stage_path.removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 3
+    drop_stage(df)
+    assert not os.path.exists(path)
 
 
 def test_demography_six_and_seven_columns(spark, tmpdir_path):
