@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.text import chunks
+from linkgraph.llm.text import chunks, in_small_batches
 
 DOCS_PER_LANG = 64
 DOC_BYTES = 16 << 10
@@ -63,7 +63,7 @@ def learn(train: DataFrame) -> dict[str, bytes]:
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005) -> DataFrame:
     """row (the document's columns), lang_pred, score, rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    held = in_small_batches(docs).sparkSession.sparkContext.broadcast(dictionaries)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.when(F.col("row.text").rlike(r"\p{L}"), F.lower("row.text")).alias("_text"))
     schema = rows.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"),

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.text import SPACE, Words, chunks, mix, words
+from linkgraph.llm.text import SPACE, Words, chunks, in_small_batches, mix, words
 from linkgraph.sources.store import materialize
 
 TOP = 768            # tokens with a class of their own
@@ -327,7 +327,7 @@ def normalised(params: Parameters, vocab: Vocabulary) -> Model:
 
 def learn(docs: DataFrame, seed: int = 1) -> tuple[Model, DataFrame]:
     """(model, counts table (key, n)) from all training texts."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     text = docs.select("text")
     counts = materialize(counted(text, token_keys), "lm-counts")
     vocab = vocabulary(counts)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm.folds import thin
-from linkgraph.llm.text import SPACE, chunks, prefix_hash, range_hash, words
+from linkgraph.llm.text import chunks, in_small_batches, prefix_hash, range_hash, words, SPACE
 
 MAX_BAD = 4_000
 MAX_GOOD = 8_000
@@ -263,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 6) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """row (the document's columns), score double."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = in_small_batches(docs).sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.text").alias("_text"))
     schema = rows.select("row", F.lit(0.0).alias("score")).schema

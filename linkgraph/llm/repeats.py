@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.text import SPACE, Words, chunks, prefix_hash, range_hash, spread, words
+from linkgraph.llm.text import SPACE, Words, chunks, in_small_batches, prefix_hash, range_hash, spread, words
 from linkgraph.sources.store import materialize, stage_path
 
 HOT = 256
+SHARD_BYTES = 2 << 20
 PERIODIC = np.uint64(1 << 63)
 
 
@@ -147,7 +148,7 @@ def text_key(text: Column) -> Column:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(j, k, m, text): one row of each text, bucketed by j; k is the hash of the
     text, m the number of its rows."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     rows = docs.select(text_key(F.col("text")).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     j = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k")
     rows = rows.select(j.alias("j"), "k", "text")
@@ -263,7 +264,7 @@ def repeated_spans(texts: DataFrame, units: Units_of, window: int, gram: int, sh
         for batch in batches:
             t = pa.Table.from_batches([batch])
             rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.nbytes < (6 << 20):
+            if rest.nbytes < SHARD_BYTES:
                 continue
             key = np.asarray(rest.column("key"), np.int64)
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on

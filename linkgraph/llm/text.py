@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+BATCH_ROWS = 1_000
 
 # Fixed byte classes.  SPACE: [\x20\x09-\x0D] separates, all else is a word.
 # ALNUM: [\x00-\x2F\x3A-\x60\x7B-\x7F] separates (after lower-casing A-Z).
@@ -107,6 +109,15 @@ def words(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACE, lower: bo
     return Words(b, start, end, np.searchsorted(start, offs), h)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table; Arrow batches to Python hold at most BATCH_ROWS rows from
+    now on, as a batch of whole texts is held at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK) \
         -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of whole rows with about `limit` bytes of text: (rows, bytes, offsets)."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.text import ALNUM, chunks, mix, raw, spread, words
+from linkgraph.llm.text import ALNUM, chunks, in_small_batches, mix, raw, spread, words
 from linkgraph.sources.store import materialize
 
 BLOCK_WORDS = 1 << 20
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs (a `text` column and any others) plus n_words long, spans
     array<int> (first, after-last word of each maximal run of hit words) and
     items array<string> (ids of the items with occurring windows)."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     out = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.lit(None).cast("long")
                       .alias("_wm_words"), F.array().cast("array<int>").alias("_wm_spans"),
                       F.array().cast("array<string>").alias("_wm_items"))
