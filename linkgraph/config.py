@@ -49,6 +49,6 @@ class Params:
 
 
 # Parameters of the derived test fixture (FIXTURES.md part B): support "> 1"
-# (histograms too) so that sf0.01 and sf0.1 have candidates and histogram rows,
+# ("> 2" for histograms) so that sf0.01 and sf0.1 have candidates and histograms,
 # thinning 0.5 so NDCG has truth.
-FIXTURE = Params(min_support=1, hist_min_support=1, holdout_positive_fraction=0.5)
+FIXTURE = Params(min_support=1, hist_min_support=2, holdout_positive_fraction=0.5)
