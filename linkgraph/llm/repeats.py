@@ -12,7 +12,8 @@ Grams that repeat one word come last in the order, or a run of one word would
 give an anchor at every place.  A window of nothing but such grams, and the
 windows of anchors with more than `HOT` occurrences (a passage that very many
 documents hold), count by the hash of their whole content instead, which
-spreads them over all tasks.
+spreads them over all tasks; equal ones of one chunk of texts meet there and
+send one of them on.
 
 Equal texts are one text here, with the number of its rows; every window of a
 text with two rows is repeated.  Texts are dealt once, by a row identity, into
@@ -37,6 +38,7 @@ from linkgraph.sources.store import materialize, stage_path
 
 HOT = 256
 SHARD_BYTES = 2 << 20
+SEGMENT, SOLO, SPAN = 0, 1, 2  # kinds of pieces
 PERIODIC = np.uint64(1 << 63)
 
 
@@ -220,6 +222,8 @@ def repeated_spans(texts: DataFrame, units: Units_of, window: int, gram: int, sh
     per = placed.groupBy("j").agg(F.sort_array(F.collect_list("s")).alias("s"))  # bounded by the text's length
     per = per.select("j", F.col("s.at").alias("at"), F.col("s.hot").alias("hot"))
 
+    names = ["key", "j", "at", "kind", "n", "content"]
+
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
             u = units(buf, offs, gram)
@@ -239,24 +243,35 @@ def repeated_spans(texts: DataFrame, units: Units_of, window: int, gram: int, sh
                 b0, b1 = u.begin[b0], u.end[b1 - 1]
             data = buf.tobytes()
             body = [data[x:y] for x, y in zip(b0.tolist(), b1.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.key[seg].view(np.int64)), pa.array(j[s.doc[seg]]), pa.array(s.start[seg].astype(np.int64)),
-                 pa.array(np.zeros(len(seg), bool)), pa.array(body, pa.binary())],
-                names=["key", "j", "at", "solo", "content"])
+
+            def out(key, who, first, kind, n, body, j=j):
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(j[who]), pa.array(first.astype(np.int64)),
+                     pa.array(np.full(len(key), kind, np.int32)), pa.array(n.astype(np.int64)), body], names=names)
+            yield out(s.key[seg], s.doc[seg], s.start[seg], SEGMENT, s.count[seg], pa.array(body, pa.binary()))
             seg, base = mine[is_hot], base[is_hot]
-            if len(seg):
-                win = spread(base, s.count[seg])
-                who = np.repeat(s.doc[seg], s.count[seg])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range_hash(u.hash, win, win + window).view(np.int64)), pa.array(j[who]),
-                     pa.array((win - u.first[who]).astype(np.int64)), pa.array(np.ones(len(win), bool)),
-                     pa.nulls(len(win), pa.binary())], names=["key", "j", "at", "solo", "content"])
+            if not len(seg):
+                continue
+            win = spread(base, s.count[seg])
+            who = np.repeat(s.doc[seg], s.count[seg])
+            h = range_hash(u.hash, win, win + window)
+            _, one, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            # one of equal windows goes on to meet those of other chunks
+            yield out(h[one], who[one], win[one] - u.first[who[one]], SOLO, np.ones(len(one)),
+                      pa.nulls(len(one), pa.binary()))
+            # those that are equal here are repeated: their runs are decided
+            hit = np.flatnonzero(times[back] > 1)
+            new = np.ones(len(hit), bool)
+            new[1:] = (win[hit][1:] != win[hit][:-1] + 1) | (who[hit][1:] != who[hit][:-1])
+            head = np.flatnonzero(new)
+            yield out(h[hit][head], who[hit][head], win[hit][head] - u.first[who[hit][head]], SPAN,
+                      np.diff(np.append(head, len(hit))), pa.nulls(len(head), pa.binary()))
 
     pieces = texts.select("j", "text").join(per, "j").mapInArrow(
-        contents, "key long, j long, at long, solo boolean, content binary")
+        contents, "key long, j long, at long, kind int, n long, content binary")
     pieces = materialize(pieces, "repeat-pieces")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.where("not solo").select("key", "j", "at", "content").repartition(n, "key") \
+    dealt = pieces.where(F.col("kind") == SEGMENT).select("key", "j", "at", "content").repartition(n, "key") \
         .sortWithinPartitions("key", "j", "at")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +299,12 @@ def repeated_spans(texts: DataFrame, units: Units_of, window: int, gram: int, sh
                                           names=["j", "at", "n"])
 
     spans = dealt.mapInArrow(decide, "j long, at long, n long")
-    whole = several(pieces.where("solo").select("key", "j", "at", "solo"))
+    whole = several(pieces.where(F.col("kind") == SOLO).select("key", "j", "at", F.lit(True).alias("solo")))
     whole = materialize(whole.unionByName(found.where("solo")), "repeat-whole")
     more = whole.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     solo = whole.join(more, "key").select("j", "at", F.lit(1).cast("long").alias("n"))
-    every = materialize(spans.unionByName(solo), "repeat-spans")
+    here = pieces.where(F.col("kind") == SPAN).select("j", "at", "n")
+    every = materialize(spans.unionByName(solo).unionByName(here), "repeat-spans")
     return every.groupBy("j").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 

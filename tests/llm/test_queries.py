@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as E
+from linkgraph.llm import repeats
 from linkgraph.llm.oracle import ORACLE
 from linkgraph.llm.queries import QUERIES
 
@@ -49,12 +50,20 @@ def test_query_on_empty_tables(spark, nothing, name):
     assert QUERIES[name](spark, nothing).collect() == []
 
 
+def test_op2_with_hot_anchors_only(spark, nasty, monkeypatch):
+    want = canon(["a"], [(repr(r),) for r in QUERIES["op2_substring_dedup"](spark, nasty).collect()])
+    monkeypatch.setattr(repeats, "HOT", 1)
+    assert canon(["a"], [(repr(r),) for r in QUERIES["op2_substring_dedup"](spark, nasty).collect()]) == want
+
+
 def test_every_query_is_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
-def test_op9_against_brute_force(spark, nasty):
+@pytest.mark.parametrize("hot", [1, 256])
+def test_op9_against_brute_force(spark, nasty, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)  # 1: every shared anchor counts as hot
     rows = [(d, (t or "").encode()) for d, t, _ in texts(nasty)]
     seen = Counter(b[i: i + 400] for _, b in rows for i in range(len(b) - 399))
     want = []
