@@ -19,9 +19,10 @@ pieces gives all it has and takes part again with another hash; after `LEVELS`
 hashes it gives every piece.
 
 Documents with one set are one node.  The keys are sorted by range, so a key
-with a third of all rows spreads over tasks, and each node meets the one
-before it (a chain, not all pairs).  Verified links give components; only keys
-that still hold two components are searched further, for pairs of different
+with a third of all rows spreads over tasks.  In each of a few rounds every node
+is verified against a few nodes of other components that stand next to it under
+most keys, which soon joins groups of copies without all their pairs.  Only keys
+that still hold two components after that are searched further, for pairs of different
 components: small groups by a join, large ones in blocks of `BLOCK` nodes,
 whose sketches are compared as bit vectors before anything is emitted.  Every
 link between components is found that way, so components are exact; pairs
@@ -44,7 +45,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.llm.components import components
-from linkgraph.llm.text import SPACE, chunks, mix, ngram_hash, prefix_hash, range_hash, spread, words
+from linkgraph.llm.text import (SPACE, chunks, in_small_batches, mix, ngram_hash, prefix_hash, range_hash, spread,
+                                words)
 from linkgraph.sources.store import drop_stage, materialize
 
 PIECE_BITS = 512
@@ -52,6 +54,9 @@ LEVELS = 8
 BLOCK = 1024
 SMALL_GROUP = 32
 BROADCAST_IDS = 500_000
+ROUNDS = 3
+TRIES = 4
+FLUSH = 100_000
 
 
 def bands(t: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,17 +195,16 @@ def described(docs: DataFrame, width: int, t: int) -> DataFrame:
         run, f"doc_id {kind}, n long, node long, keys array<bigint>, sketch binary")
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """(key, node, prev) of the keys that more than one node holds.  prev is the
-    node before it under that key.  Rows at a partition's edge are kept in any
-    case, as the next partition may go on with their key."""
-    dealt = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+def shared(rows: DataFrame) -> DataFrame:
+    """The distinct (key, node) whose key more than one node holds.  Rows at a
+    partition's edge are kept in any case, as the next partition may go on with
+    their key."""
+    dealt = rows.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, node, prev, same):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(prev, mask=~same)],
-                                              names=["key", "node", "prev"])
-        last = None  # last distinct row: key, node, prev, whether prev has its key, whether it began the partition
+        def out(key, node):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+        last = None  # last distinct row: key, node, whether the row before has its key, whether it began the partition
         for batch in batches:
             key, node = (np.asarray(batch.column(c), np.int64) for c in ("key", "node"))
             if not len(key):
@@ -210,19 +214,47 @@ def groups(rows: DataFrame) -> DataFrame:
             new[0] = last is None or (key[0], node[0]) != last[:2]
             key, node = key[new], node[new]
             if last is None:
-                prev, same, begins = np.append(0, node[:-1]), np.append(False, key[1:] == key[:-1]), True
+                same, begins = np.append(False, key[1:] == key[:-1]), True
             else:
                 key, node = np.append(last[0], key), np.append(last[1], node)
-                prev, same, begins = np.append(last[2], node[:-1]), np.append(last[3], key[1:] == key[:-1]), last[4]
+                same, begins = np.append(last[2], key[1:] == key[:-1]), last[3]
             keep = same[:-1] | same[1:]  # the last row waits for the next batch
             keep[:1] |= begins
-            at = np.flatnonzero(keep)
-            if len(at):
-                yield out(key[at], node[at], prev[at], same[at])
-            last = (key[-1], node[-1], prev[-1], same[-1], begins and len(key) == 1)
+            if keep.any():
+                yield out(key[:-1][keep], node[:-1][keep])
+            last = (key[-1], node[-1], same[-1], begins and len(key) == 1)
         if last is not None:
-            yield out(*(np.array([x]) for x in last[:4]))
-    return dealt.mapInArrow(run, "key long, node long, prev long")
+            yield out(np.array([last[0]]), np.array([last[1]]))
+    return dealt.mapInArrow(run, "key long, node long")
+
+
+def partners(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each node b at most TRIES nodes a of other components to verify.
+
+    Under every key the nodes are ordered by a min-hash of their shared keys, so
+    similar ones stand together; a node's candidates are those just before it,
+    and the ones met under most keys are taken."""
+    sign = members.groupBy("node").agg(F.min(F.xxhash64(F.lit(turn), "key")).alias("sign"))
+    about = sign.join(comp.withColumnRenamed("id", "node"), "node", "left") \
+        .select("node", "sign", F.coalesce("component", "node").alias("comp"))
+    order = ["key", "sign", "node"]
+    dealt = members.join(about, "node").select("key", "sign", "node", "comp") \
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            key, node, c = (np.asarray(batch.column(x), np.int64) for x in ("key", "node", "comp"))
+            if not len(key):
+                continue
+            if last is not None:
+                key, node, c = np.append(last[0], key), np.append(last[1], node), np.append(last[2], c)
+            at = np.flatnonzero((key[1:] == key[:-1]) & (c[1:] != c[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], names=["a", "b"])
+            last = key[-1], node[-1], c[-1]
+    met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    return met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b")
 
 
 def near(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
@@ -281,9 +313,9 @@ def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, width: int, t:
 
 def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> DataFrame:
     """Distinct (a, b) of different components under one key that may link."""
-    m = members.select("key", "node").distinct().join(comp.withColumnRenamed("id", "node"), "node", "left")
+    m = members.join(comp.withColumnRenamed("id", "node"), "node", "left")
     m = m.select("key", "node", F.coalesce("component", "node").alias("comp"))
-    m = materialize(m, "jaccard-members")
+    m = materialize(m, "jaccard-placed")
     seen = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
     open_ = m.join(seen.where("x <> y").select("key", "size"), "key")
     open_ = open_.join(info.select("node", "n"), "node")
@@ -304,22 +336,32 @@ def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> Da
     dealt = big.repartition(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, found = None, []
+
+        def gather(pairs):
+            """A pair of nodes meets under many keys: once in each flush is enough."""
+            if pairs is not None:
+                found.append(pairs)
+            if found and (pairs is None or sum(len(x) for x in found) > FLUSH):
+                got = np.unique(np.concatenate(found), axis=0)
+                found.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
         for batch in batches:
             tab = pa.Table.from_batches([batch])
             rest = tab if rest is None else pa.concat_tables([rest, tab])
             key, i, j = (np.asarray(rest.column(c)) for c in order)
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for x, y in zip(np.append(0, cut)[:-1], cut, strict=True):
-                yield compared(rest.slice(x, y - x), t)
+                yield from gather(compared(rest.slice(x, y - x), t))
             rest = rest.slice(int(cut[-1])) if len(cut) else rest
         if rest is not None and rest.num_rows:
-            yield compared(rest, t)
+            yield from gather(compared(rest, t))
+        yield from gather(None)
     large = dealt.mapInArrow(run, "a long, b long")
     return pairs.unionByName(large).distinct()
 
 
-def compared(rows: pa.Table, t: int) -> pa.RecordBatch:
+def compared(rows: pa.Table, t: int) -> np.ndarray:
     """Pairs of one pair of blocks (i, j) that pass the size and Hamming bounds."""
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     own, node, comp, n = (np.asarray(rows.column(c)) for c in ("own", "node", "comp", "n"))
@@ -346,9 +388,7 @@ def compared(rows: pa.Table, t: int) -> pa.RecordBatch:
                 far = np.bitwise_count(x[q] ^ x[p]).sum(1)
                 q = q[far <= hamming_bound(n[at[q]], n[at[p]], t)]
                 out.append(np.stack([np.full(len(q), node[at[p]]), node[at[q]]], 1))
-    got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(got.min(1) if len(got) else got[:, 0]),
-                                       pa.array(got.max(1) if len(got) else got[:, 1])], names=["a", "b"])
+    return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
 
 
 def joined(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -356,20 +396,22 @@ def joined(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     t = threshold
     if not 67 <= t <= 100:
         raise ValueError("the bands serve thresholds from 67 to 100 percent")
-    docs = docs.select("doc_id", "text")
+    docs = in_small_batches(docs).select("doc_id", "text")
     all_ = materialize(described(docs, width, t), "jaccard-docs")
     pieces = all_.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
-    members = materialize(groups(pieces), "jaccard-groups")
+    members = materialize(shared(pieces), "jaccard-members")
     held = members.select("node").distinct()
     info = materialize(all_.where("doc_id is not null").select("node", "n", "sketch", "doc_id")
                        .join(held, "node", "left_semi").dropDuplicates(["node"]), "jaccard-info")
-    chain = members.where("prev is not null").select(F.least("prev", "node").alias("a"),
-                                                     F.greatest("prev", "node").alias("b")).distinct()
-    close = near(chain, info, t)
-    # one partner for each node: the nearest
-    first = close.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = verified(first, info, docs, width, t)
-    more = near(crossing(members, components(links), info, t), info, t)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    comp = components(links)
+    for turn in range(ROUNDS):
+        found = verified(near(partners(members, comp, turn), info, t), info, docs, width, t)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comp = components(links)
+    more = near(crossing(members, comp, info, t), info, t)
     links = links.unionByName(verified(more, info, docs, width, t))
     comp = components(links).withColumnRenamed("id", "node")
     node_comp = F.when(F.col("n") > 0, F.coalesce("component", "node"))
