@@ -54,7 +54,7 @@ LEVELS = 8
 BLOCK = 1024
 SMALL_GROUP = 32
 BROADCAST_IDS = 500_000
-ROUNDS = 3
+ROUNDS = 2
 TRIES = 4
 FLUSH = 100_000
 
