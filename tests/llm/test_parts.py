@@ -224,6 +224,43 @@ def test_vector_passes_reach_the_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 500
 
 
+def linked_rows(x, threshold=0.93):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return u @ u.T >= threshold
+
+
+def test_vector_group_larger_than_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_ROWS", 100)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=32)
+    x = np.concatenate([rng.normal(size=(300, 32)), base + rng.normal(size=(300, 32)) * 1e-3,
+                        base * np.arange(1, 601)[:, None]])
+    reps = spark.createDataFrame([(i, 1, 0, v.tolist()) for i, v in enumerate(x)],
+                                 "rep long, copies long, label int, embedding array<double>")
+    got = {(r.a, r.b) for r in vectors.links(reps, 0.93, passes=2).collect()}
+    a, b = np.nonzero(np.triu(linked_rows(x), 1))
+    assert len(a) >= 900 * 899 // 2 and got == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_scaled_copies_are_one_cell(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.normal(size=(3, 32))
+    b -= a * (a @ b) / (a @ a)
+    b *= np.linalg.norm(a) / np.linalg.norm(b)
+    edge = [k * a + np.sqrt(1 - k * k) * b for k in (0.93 - 1e-3, 0.93 - 5e-7, 0.93 + 5e-7, 0.93 + 1e-3)]
+    x = np.concatenate([v * np.arange(1, n + 1)[:, None] for v, n in ((a, 2000), (c, 500), *((e, 7) for e in edge))])
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)],
+                                 "vec_id long, embedding array<float>, label int")
+    _, reps = vectors.classes(rows)
+    assert vectors.cells(reps).select("cell").distinct().count() < 100
+    want = linked_rows(x.astype(np.float64)).sum(1) - 1
+    got = {r.vec_id: r for r in vectors.near_duplicates(rows).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert {got[i].component_id for i in range(2000)} == {0} and {got[i].component_id for i in range(2000, 2500)} == {2000}
+    assert sum(r.kept for r in got.values()) == len({r.component_id for r in got.values()})
+
+
 def test_mix_targets_and_copies(spark):
     rows = [(i, "w " * (1 + i % 50), ("a", "b", "c", None)[i % 4] if i % 3 else "a") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
