@@ -9,9 +9,11 @@ bytes, so that the dictionary keeps its weight in long texts; every byte of
 the text takes part.  Results with a margin below `min_margin` are marked as
 rejected.
 
-Scale: the dictionaries are a bounded sample (`DOCS_PER_LANG` whole texts of
-at most `DOC_BYTES` bytes per language, cut to `DICT_BYTES`); prediction is a
-map over the documents without any shuffle.
+Scale: the dictionaries are a bounded sample: `DOCS_PER_LANG` texts of any
+length per language share `DICT_BYTES`, each with as many first bytes as the
+others or whole if it is shorter; so every language with a training text that
+has a letter is learned.  Prediction is a map over the documents without any
+shuffle.
 
 Defined results: a null text or one without a letter gives `und` with score 0
 and is rejected; ties go to the language that sorts first; null languages and
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from linkgraph.llm.text import chunks, in_small_batches
 
 DOCS_PER_LANG = 64
-DOC_BYTES = 16 << 10
 DICT_BYTES = 96 << 10
 PIECE = 4096
 LEVEL = 3
 
 
-# Fixed byte map: ASCII letters and non-ASCII bytes stay, the rest is a space.
+# ASCII letters and non-ASCII bytes stay, the rest is a space; as patterns, and as a fixed byte map.
+LETTER = r"[A-Za-z]|[^\x00-\x7f]"
+OTHERS = r"[\x00-\x40\x5b-\x60\x7b-\x7f]+"
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
@@ -50,15 +53,24 @@ def normal(text: bytes) -> bytes:
 def learn(train: DataFrame) -> dict[str, bytes]:
     """Language -> dictionary, from rows with doc_id, text and lang (texts rank by
     a hash of doc_id; equal texts that were drawn count once)."""
-    rows = (train.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)
-                        & (F.octet_length("text") <= DOC_BYTES))
+    rows = (train.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
             .select("lang", "text", F.xxhash64("doc_id").alias("h")))
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= DOCS_PER_LANG)
-    out: dict[str, dict[str, None]] = {}
+    plain = F.trim(F.regexp_replace(F.lower("text"), OTHERS, " "))
+    rows = rows.select("lang", "k", F.encode(plain, "UTF-8").alias("text")).groupBy("lang", "text").agg(
+        F.min("k").alias("k")).withColumn("n", F.length("text"))
+    # Shortest first, a text gets an even part of what the ones before it left; the largest part bounds the others.
+    lang = Window.partitionBy("lang")
+    before = lang.orderBy("n", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = DICT_BYTES - DOCS_PER_LANG - (F.sum("n").over(before) - F.col("n"))
+    part = left / (F.count("*").over(lang) - F.count("*").over(before) + 1)
+    rows = rows.withColumn("part", part).withColumn("part", F.floor(F.max("part").over(lang)).cast("int"))
+    rows = rows.select("lang", "k", F.substring("text", F.lit(1), F.least("n", "part")).alias("text"))
+    out: dict[str, list[bytes]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["k"])):
-        out.setdefault(r["lang"], {})[r["text"]] = None
-    return {k: normal("\n".join(v).lower().encode())[:DICT_BYTES] for k, v in sorted(out.items())}
+        out.setdefault(r["lang"], []).append(bytes(r["text"]))
+    return {k: b" ".join(v) for k, v in out.items()}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005) -> DataFrame:

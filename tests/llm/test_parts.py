@@ -203,6 +203,31 @@ def test_language_normal_form():
     assert langid.normal("HE%% llo\n42 é".lower().encode()) == "he llo é".encode()
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rng = np.random.default_rng(9)
+
+    def text(letters):
+        words = ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+        return lambda n: " ".join(rng.choice(words, n // 6 + 1))[:n]
+
+    a, b, c = text("abcdefgh"), text("ijklmnop"), text("qrstuvwx")
+    rows = [(i, a(20_000 + i), "long") for i in range(5)] + [(10 + i, b(12_000), "mid") for i in range(64)]
+    rows += [(100 + i, c(300), "short") for i in range(3)] + [(200, "7 " * 50_000 + a(50), "odd")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.learn(train)
+    assert list(got) == ["long", "mid", "odd", "short"]
+    assert all(len(d) <= langid.DICT_BYTES for d in got.values())
+    own = {lang: [langid.normal(t.encode()) for _, t, x in rows if x == lang] for lang in got}
+    share = (langid.DICT_BYTES - langid.DOCS_PER_LANG) // 64
+    assert all(t[:share] in got["mid"] for t in own["mid"])
+    assert all(t[: 19_000] in got["long"] for t in own["long"])
+    assert all(t in got["short"] for t in own["short"]) and got["odd"] == own["odd"][0]
+    docs = spark.createDataFrame([(1, a(900)), (2, b(900)), (3, c(900))], "doc_id long, text string")
+    del got["odd"]
+    pred = {r.row.doc_id: r.lang_pred for r in langid.predict(docs, got).collect()}
+    assert pred == {1: "long", 2: "mid", 3: "short"}
+
+
 def test_components_on_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 4000), (4000, 4000)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
