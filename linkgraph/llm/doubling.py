@@ -1,11 +1,11 @@
-"""Suffix-array dedup by distributed prefix doubling over bytes.
+"""Dedup of repeated byte strings by anchored window hashes.
 
-The rank of a place is the identity of the bytes that begin there.  Ranks of
+This replaces rounds of prefix doubling in Spark (see README): there are no
+rounds over growing offsets.  The rank of a place is the identity of the bytes that begin there.  Ranks of
 `GRAM` = 200 bytes are sorted by Spark over the anchors of all windows (see
 `repeats`; an anchor is a place chosen by content, so equal windows choose
 equally), and places whose rank is unique leave.  Segments around the places
-that are left are sorted by rank again and meet in shards, where ranks double
-once more: the windows of a segment sort by the pair (rank of the first 200
+that are left are sorted by rank again and meet in shards: the windows of a segment sort by the pair (rank of the first 200
 bytes, rank of the 200 bytes from offset `window` - 200), which is the rank of
 the whole window, past the threshold.  Windows with an equal neighbour in that
 order are repeated.
