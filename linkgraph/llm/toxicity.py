@@ -6,8 +6,9 @@ l(+), l(-) of a linear scorer and averages over the sets P and U, the risk is
     p * P[l(+)] + max(0, U[l(-)] - p * P[l(-)])
 and a step that finds the second part negative climbs it instead, so the
 unlabelled positives are not fitted as negatives.  The scorer reads word
-presence (lower-cased words, hashed); words are chosen by how much more often
-positives hold them.
+presence (lower-cased words, hashed): every word in at least `LEAST` positives
+that positives hold more often than the unlabelled by at least `Z` standard
+errors.  There is no bound on the number of words; weights decay.
 
 Scale: the classifier is fitted on the driver on a bounded sample
 (`MAX_POSITIVE`, `MAX_UNLABELLED` texts, of which only hashed word numbers
@@ -35,8 +36,8 @@ from linkgraph.llm.text import chunks, in_small_batches, words, ALNUM
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 DIMS = 1 << 20
-MAX_FEATURES = 300
-MIN_RATIO = 3.0  # a feature is so many times as frequent among positives
+LEAST = 3  # positives that hold a feature
+Z = 3.0
 
 
 @dataclass
@@ -65,44 +66,60 @@ def _collect_sets(rows: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in sorted(sets)]  # equal texts once
 
 
-def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1,
+@dataclass
+class Presence:
+    """A 0/1 matrix with a last column of ones, by the places of its ones."""
+    row: np.ndarray
+    col: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(sets: list[np.ndarray], chosen: np.ndarray) -> Presence:
+        size = np.array([len(x) for x in sets])
+        word = np.concatenate(sets).astype(np.int64)
+        row = np.repeat(np.arange(len(sets)), size)
+        col = np.full(DIMS, -1)
+        col[chosen] = np.arange(len(chosen))
+        keep = col[word] >= 0
+        return Presence(row[keep], col[word[keep]], (len(sets), len(chosen) + 1))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.shape[0]) + w[-1]
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.col, g[self.row], self.shape[1] - 1), g.sum())
+
+
+def nnpu(p: Presence, u: Presence, prior: float, steps: int = 300, rate: float = 0.1,
          decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear scorer by full-batch Adam on the PU risk."""
-    w = np.zeros(p.shape[1] + 1, np.float32)
+    n_p, n_u = p.shape[0], u.shape[0]
+    w = np.zeros(p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    p1, u1 = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (p, u))
     w[-1] = -2.0
     for t in range(1, steps + 1):
-        fp, fu = p1 @ w, u1 @ w
+        fp, fu = p.dot(w), u.dot(w)
         sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        g_pos = p1.T @ (sp - 1) * (prior / len(p1))          # of prior * P[l(+)]
-        g_neg = u1.T @ su / len(u1) - p1.T @ sp * (prior / len(p1))
+        g_pos = p.sums(sp - 1) * (prior / n_p)          # of prior * P[l(+)]
+        g_neg = u.sums(su) / n_u - p.sums(sp) * (prior / n_p)
         neg = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g = g_pos + g_neg if neg >= 0 else -g_neg
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= (rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)).astype(np.float32)
-    return w[:-1].astype(np.float64), float(w[-1])
+        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
+    n_p, n_u = len(positive), len(unlabelled)
     df_p = np.bincount(np.concatenate(positive), minlength=DIMS)
     df_u = np.bincount(np.concatenate(unlabelled), minlength=DIMS)
-    ratio = np.log((df_p + 0.5) / (len(positive) + 1)) - np.log((df_u + 0.5) / (len(unlabelled) + 1))
-    least = max(3, len(positive) // 80)
-    strength = np.where((df_p >= least) & (ratio > np.log(MIN_RATIO)), ratio * np.sqrt(df_p), 0.0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[strength[chosen] > 0]
-
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(chosen)), np.float32)
-        for i, s in enumerate(sets):
-            out[i, np.flatnonzero(np.isin(chosen, s, assume_unique=True))] = 1
-        return out
-
-    w, b = nnpu(matrix(positive), matrix(unlabelled), prior)
+    both = (df_p + df_u) / (n_p + n_u)
+    error = np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    chosen = np.flatnonzero((df_p >= LEAST) & (df_p / n_p - df_u / n_u > Z * error))
+    w, b = nnpu(Presence.of(positive, chosen), Presence.of(unlabelled, chosen), prior)
     return Model(chosen.astype(np.int64), w, b)
 
 

@@ -199,6 +199,18 @@ def test_nnpu_learns_from_positives_and_unlabelled():
     assert np.mean([f(s) > 0 for s in sets(300, 0)]) < 0.05
 
 
+def test_rare_marked_words_are_features():
+    rng = np.random.default_rng(2)
+    text = lambda *marked: np.unique(np.append(rng.integers(1000, 3000, 30), marked)).astype(np.int64)
+    positive = [text(i // 16) for i in range(4000)]  # 250 words, each in 0.4% of them
+    unlabelled = [text(*(rng.integers(0, 250, 1) if rng.random() < 0.1 else ())) for _ in range(12_000)]
+    model = toxicity.fit(positive, unlabelled, 0.1)
+    dense = np.zeros(toxicity.DIMS)
+    dense[model.features] = model.weights
+    assert np.mean([dense[text(i)].sum() + model.bias > 0 for i in range(250)]) > 0.9
+    assert np.mean([dense[text()].sum() + model.bias > 0 for _ in range(500)]) < 0.05
+
+
 def test_language_normal_form():
     assert langid.normal("HE%% llo\n42 é".lower().encode()) == "he llo é".encode()
 
