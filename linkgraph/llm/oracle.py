@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 ORACLE: dict[str, str] = {}
 
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -99,3 +101,68 @@ n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed,
   sha256(coalesce(k.t, '')) AS kept_sha256
 FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN kept k ON w.r = k.r"""
+
+ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+
+# every order walked step by step, its removals summed order by order
+ORACLE["op11_filter_audit"] = f"""WITH
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+    coalesce(regexp_extract_all(text, '{SPACE_WORDS}'), []) AS w FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY x) < doc_id THEN 16 ELSE 0 END AS m FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (l.good) AS good, count(*) FILTER (l.toxic) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, m),
+o AS (SELECT o, unnest(range(1, 6)) AS step FROM (VALUES {ORDERS}) v(o)),
+s AS (SELECT o, step, substr(o, step, 1) AS name, list_sum(list_transform(range(1, step), lambda i:
+    (1 << (ascii(substr(o, i, 1)) - 65)))) AS bits FROM o),
+b AS (SELECT o, step, name, coalesce(bits, 0)::INTEGER AS before, (1 << (ascii(name) - 65))::INTEGER AS bit FROM s),
+r AS (SELECT c.part, b.o AS filter_order, b.step::INTEGER AS step, b.name,
+    coalesce(sum(n) FILTER (m & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (m & before <> 0 AND m & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (m & before = 0 AND m & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, b GROUP BY c.part, b.o, b.step, b.name)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM r"""
+
+
+def _crc32_table() -> str:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)  # the reflected CRC-32 polynomial
+        out.append(f"{x}::BIGINT")
+    return "[" + ", ".join(out) + "]"
+
+
+ORACLE["op13_importance_resampling"] = f"""WITH
+d AS (SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all({lower('text')}, '{ALNUM_WORDS}'), []) AS w FROM documents),
+i AS (SELECT coalesce(regexp_extract_all({lower('text')}, '{ALNUM_WORDS}'), []) AS w FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+iw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM i) GROUP BY ALL),
+tab AS (SELECT {_crc32_table()} AS tab),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM iw)),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce([4294967295] || list_transform(range(0, len(h) // 2),
+    lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])),
+    4294967295) % 10000 AS b FROM words, tab),
+s AS (SELECT b, sum(n) AS n FROM dw JOIN hashed USING (w) GROUP BY b),
+t AS (SELECT b, sum(n) AS n FROM iw JOIN hashed USING (w) GROUP BY b),
+tot AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t),
+g AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (tot.s + 10000)
+    / ((s.n + 1)::DOUBLE * (tot.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON s.b = t.b, tot),
+w AS (SELECT r, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM dw JOIN hashed USING (w) JOIN g USING (b) GROUP BY r),
+sc AS (SELECT d.r, doc_id, len(d.w)::BIGINT AS n_features, CASE WHEN w.n IS NULL THEN 0
+      ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE)))::BIGINT AS noise FROM d LEFT JOIN w ON d.r = w.r),
+able AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST) AS k,
+    count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank
+FROM sc LEFT JOIN able ON sc.r = able.r"""

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.llm import doubling, fmindex, jaccard, langid, lm, mixing, quality, toxicity, vectors, wumanber
+from linkgraph.llm import (audit, doubling, fmindex, jaccard, langid, lm, mixing, packing, quality, resample, toxicity,
+                           vectors, wumanber)
 from linkgraph.llm.folds import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,27 @@ def op10_jaccard_join(spark, sf_dir):
 @query
 def op9_suffix_array_dedup(spark, sf_dir):
     return doubling.per_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")).drop("filter")
+
+
+def tokenizer_file() -> str:
+    """The path of the public tokenizer that op12 names; `packing` takes any."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    out = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
