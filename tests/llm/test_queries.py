@@ -57,7 +57,7 @@ def test_op2_with_hot_anchors_only(spark, nasty, monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 
 
