@@ -9,8 +9,8 @@ slots by their rank among the pieces of their length.
 
 Rows: a null text is empty, an empty text is its end id alone; repeated rows are
 packed each for itself.  Empty tables give an empty result; other columns are not
-looked at.  Texts of any length are cut, but before spaces that follow a word, where
-no token of a byte-level vocabulary reaches across, so ids are those of the whole text.
+looked at.  A text of any length is tokenised in parts that no token spans, so its ids
+are those of the whole text; a task holds the ids of one text beside its chunk.
 
 Scale: texts are tokenised once and never shuffled; the written pieces are narrow.
 The driver sees the histogram, at most `capacity` rows.  The plan is as small: a
@@ -23,6 +23,7 @@ that a third of all pieces have spreads over many tasks.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -38,40 +39,90 @@ from linkgraph.sources.store import materialize
 
 CAPACITY = 2048
 GROUP = 2_000
-CACHE_BYTES = 32 << 20
-
-# White space that regular expression libraries do not agree on; a text with any is
-# given to the tokenizer whole.
+CACHE_BYTES = 48 << 20
+
+# The public splitting rule of byte-level vocabularies, written out for Latin-1 texts,
+# whose letters, digits and spaces are these in every version of Unicode (fixed values).
+_LETTER, _DIGIT, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+"
+                    f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+# Other texts are cut before white space that follows a word, every 1,000 words; a text with white space
+# that regular expression libraries do not agree on is not cut.
+_WORDS = re.compile(r"(?:\s*\S+){1,1000}|\s+")
 _UNSURE = re.compile("[^\\S\\t-\\r ]|[\\u180e\\u200b\\u2060\\ufeff]")
-_WORD = re.compile(r"\s*\S+|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write byte b as the letter b if it is visible, else as
+    the next letter from U+0100 on (fixed values)."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
+class Pieces(dict):
+    """Ids of pieces of text, made by the tokenizer's model when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenize, self.held = tokenizer.model.tokenize, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(_LETTERS)
+        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(written)])
+        self.held += 4 * len(piece) + len(ids)
+        return ids
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.  Words are looked
-    up in a table of those seen, which is emptied when it holds CACHE_BYTES; only new
-    ones go through the tokenizer."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer in
+    the file `path` gives them for the whole text.
+
+    With a byte-level vocabulary no token spans two pieces of the splitting rule, so a
+    Latin-1 text is cut into pieces and only new pieces go through the tokenizer; the
+    table of pieces is emptied when it holds CACHE_BYTES.  Other texts are cut only
+    between words, and with any other tokenizer texts go through whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen: dict[str, bytes] = {}
-        self.held = 0
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        self.byte_level = (split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
+                           and split.get("use_regex", True) and not made.get("normalizer"))
+        self.pieces = Pieces(self.tokenizer)
+
+    def whole(self, texts: list[str]) -> bytes:
+        done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return b"".join([np.array(e.ids, "<u4").tobytes() for e in done])
 
     def encode(self, text: str) -> bytes:
-        words = [text] if _UNSURE.search(text) else _WORD.findall(text)
-        new = list(set(words) - self.seen.keys())
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4").tobytes()
-                self.seen[w] = ids
-                self.held += 4 * len(w) + len(ids)
-        out = b"".join(map(self.seen.__getitem__, words))
-        if self.held > CACHE_BYTES:
-            self.seen, self.held = {}, 0
+        if not self.byte_level:
+            return self.whole([text])
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole([text] if _UNSURE.search(text) else _WORDS.findall(text))
+        out = b"".join(map(self.pieces.__getitem__, _LATIN.findall(text)))
+        if self.pieces.held > CACHE_BYTES:
+            self.pieces = Pieces(self.tokenizer)
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This Python worker's encoder; tasks that follow in it find its table."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids."""
     first = n % capacity or capacity
@@ -89,11 +140,11 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: in
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for rows, _, _ in chunks(batches, "text"):
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(rows.column("text").to_pylist()):
-                data = (encoder.encode(text) if text else b"") + tail
+                data = (encode(text) if text else b"") + tail
                 for k, (s, n) in enumerate(pieces(len(data) // 4, capacity)):
                     cut = data[4 * s: 4 * (s + n)]
                     of.append(i)
