@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkgraph.config import Params
+from linkgraph.sources.store import materialize
 
 
 # Pair rows one explosion task should emit (they stream into a partial
@@ -20,6 +23,15 @@ MAX_TASKS = 20_000
 FRIEND_BLOCK = 2_000
 
 
+# Support first: the masked explosion is filtered by the supported pairs when
+# these hold at most this share of all pair rows, else one pass is cheaper.
+SUPPORTED_SHARE = 0.5
+
+# Supported pairs that are broadcast at most (two ids each, 32 MB in all); more
+# of them meet the explosion in a shuffled semi join behind a Bloom filter.
+BROADCAST_PAIRS = 2_000_000
+
+
 def pair_explosion_size(kept: DataFrame) -> int:
     """Exact number of (p1, p2, friend) rows of the self join:
     sum over friends of C(n_f, 2), from a per-friend count (one number
@@ -30,8 +42,9 @@ def pair_explosion_size(kept: DataFrame) -> int:
     return int(tot or 0)
 
 
-def explosion_partitions(kept: DataFrame) -> int:
-    """Partition count for the pair explosion of `kept`.
+def explosion_partitions(kept: DataFrame, size: int | None = None) -> int:
+    """Partition count for the pair explosion of `kept` (of `size` rows, counted
+    if not given).
 
     The explosion multiplies rows (sum of C(n, 2) per friend), so its
     parallelism must follow the output, not the small input: one task per core
@@ -39,7 +52,8 @@ def explosion_partitions(kept: DataFrame) -> int:
     explosion size needs them, MAX_TASKS at most.  Being explicit, the count
     keeps AQE from coalescing the input into a few tasks."""
     base = kept.sparkSession.sparkContext.defaultParallelism
-    return max(base, min(MAX_TASKS, -(-pair_explosion_size(kept) // PAIR_ROWS_PER_TASK)))
+    size = pair_explosion_size(kept) if size is None else size
+    return max(base, min(MAX_TASKS, -(-size // PAIR_ROWS_PER_TASK)))
 
 
 def pair_rows(kept: DataFrame, with_masks: bool = False, partitions: int | None = None) -> DataFrame:
@@ -76,13 +90,61 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("common_cnt"))
 
 
-def pair_lists(kept: DataFrame, least: int = 1, partitions: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Supported:
+    """The pairs with at least `least` common friends, as a stage table
+    (p1, p2, common_cnt), with what its write counted."""
+    pairs: DataFrame
+    least: int
+    n_pairs: int
+    n_rows: int  # pair rows that belong to them: the sum of common_cnt
+
+
+def supported_pairs(kept: DataFrame, least: int, partitions: int | None = None) -> Supported:
+    """Phase one: A2 + P10 without masks.  Counts combine on the map side and
+    nothing but two ids and a number is shuffled; the survivors are written once
+    and counted by that write."""
+    counts = pair_counts(pair_rows(kept, partitions=partitions)).where(F.col("common_cnt") >= least)
+    seen = Observation()
+    counts = counts.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("common_cnt").alias("rows"))
+    pairs = materialize(counts, "supported_pairs")
+    return Supported(pairs, least, int(seen.get["n"] or 0), int(seen.get["rows"] or 0))
+
+
+def only_supported(rows: DataFrame, s: Supported) -> DataFrame:
+    """Phase two: the pair rows of supported pairs, with `pair`, a hash of both
+    ids, by which they are grouped on.
+
+    Few survivors are broadcast, so rows of other pairs end where they are made.
+    More meet the rows in a shuffled semi join on (pair, p1, p2): `pair` is one
+    key for Spark's runtime Bloom filter, which drops nearly all other rows
+    before the shuffle, and the groups that follow need no second one."""
+    pair = F.xxhash64("p1", "p2").alias("pair")
+    # the comparison holds for every row; it tells the planner the side is selective
+    keys = s.pairs.where(F.col("common_cnt") >= s.least).select(pair, "p1", "p2")
+    keys = F.broadcast(keys) if s.n_pairs <= BROADCAST_PAIRS else keys
+    return rows.select(pair, *rows.columns).join(keys, ["pair", "p1", "p2"], "left_semi")
+
+
+def pair_lists(kept: DataFrame, least: int = 1, size: int | None = None) -> DataFrame:
     """(p1, p2, common_cnt, common ARRAY<STRUCT<friend_id, mask1, mask2>>) of the
     pairs with at least `least` common friends: one masked explosion from which
     candidates, histograms and 2-hop statistics all follow.  A list holds at most
-    max_degree entries (the degree band of its users)."""
+    max_degree entries (the degree band of its users).
+
+    collect_list can't combine on the map side, so every row that reaches it is
+    shuffled with its masks.  With least > 1 the pairs are therefore counted
+    first; if the supported ones hold at most SUPPORTED_SHARE of the pair rows,
+    only their rows go on.  `size` is the number of pair rows, counted if not given."""
+    size = pair_explosion_size(kept) if size is None else size
+    partitions = explosion_partitions(kept, size)
     rows = pair_rows(kept, with_masks=True, partitions=partitions)
-    lists = rows.groupBy("p1", "p2").agg(F.collect_list(F.struct("friend_id", "mask1", "mask2")).alias("common"))
+    keys = ["p1", "p2"]
+    if least > 1:
+        supported = supported_pairs(kept, least, partitions)
+        if supported.n_rows <= SUPPORTED_SHARE * size:
+            rows, keys = only_supported(rows, supported), ["pair", "p1", "p2"]
+    lists = rows.groupBy(*keys).agg(F.collect_list(F.struct("friend_id", "mask1", "mask2")).alias("common"))
     return (lists.select("p1", "p2", F.size("common").cast("bigint").alias("common_cnt"), "common")
             .where(F.col("common_cnt") >= least))
 

@@ -16,7 +16,7 @@ def mask_pair_hist(lists: DataFrame, min_support: int = 5) -> DataFrame:
     """X4 + A3 + X5 + P10: (p1, p2, cell, cnt) for cells 1..252 of the pairs with
     more than `min_support` common friends, from `candidates.pair_lists`.
 
-    Pairs without support leave before anything is expanded; the survivors
+    `lists` made with least = min_support + 1 hold no other pairs.  The survivors
     expand the cells of each distinct mask pair once, weighted by how often it
     occurs.  All counts stay on the lists' (p1, p2) partitioning, so beyond the
     explosion nothing is shuffled."""

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.config import Params
@@ -49,6 +50,23 @@ def _save(df: DataFrame, path: str, reuse: bool | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _save_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`_save`, with the aggregates `counts` as its own write observed them (the
+    rows `n` and positives `n1` of a labelled table if none are given); a stage
+    that is reused is counted by a job."""
+    spark = df.sparkSession
+    counts = counts or {"n": F.count(F.lit(1)), "n1": F.sum("label")}
+    named = [c.alias(name) for name, c in counts.items()]
+    if REUSE_STAGES and stage_exists(spark, path):
+        out = spark.read.parquet(path)
+        seen = out.agg(*named).first().asDict()
+    else:
+        observed = Observation()
+        out = _save(df.observe(observed, *named), path, reuse=False)
+        seen = observed.get
+    return out, {name: int(seen[name] or 0) for name in counts}
+
+
 @dataclass
 class Stages:
     edges: DataFrame
@@ -57,6 +75,7 @@ class Stages:
     lists: DataFrame
     candidates: DataFrame
     labelled: DataFrame
+    n_listed: int  # rows of the pairs with a histogram
 
 
 def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
@@ -70,23 +89,27 @@ def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
     kept = _save(G.kept_edges(edges, p, degree), f"{out_dir}/kept")
     TB.write_reversed(G.reverse_adjacency(kept), f"{out_dir}/reversed")
     least = min(2, p.min_support + 1, p.hist_min_support + 1)
-    lists = _save(C.pair_lists(kept, least), f"{out_dir}/pair_lists")
-    cands = lists.where(F.col("common_cnt") > p.min_support).select("p1", "p2", "common_cnt")
-    TB.write_candidates(cands, f"{out_dir}/candidates", p.n_buckets)
+    supported = F.col("common_cnt") > p.min_support
+    listed = F.when(F.col("common_cnt") > p.hist_min_support, F.col("common_cnt"))
+    lists, n = _save_counted(C.pair_lists(kept, least), f"{out_dir}/pair_lists",
+                             candidates=F.count(F.when(supported, 1)), listed=F.sum(listed))
+    cands = lists.where(supported).select("p1", "p2", "common_cnt")
+    TB.write_candidates(cands, f"{out_dir}/candidates", p.n_buckets, n["candidates"])
     cands = TB.read_candidates(edges.sparkSession, f"{out_dir}/candidates")
     # candidates' ends are users, so the canonical edges label them (see views)
     lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree)
     lab = _save(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
-    return Stages(edges, degree, kept, lists, cands, lab)
+    return Stages(edges, degree, kept, lists, cands, lab, n["listed"])
 
 
 def mask_histogram(st: Stages, out_dir: str, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Histogram (long form), PCA projection (M1) and per-type shares."""
     # K2: the histogram is written bucketed like the candidates
-    TB.write_candidates(MK.mask_pair_hist(st.lists, p.hist_min_support), f"{out_dir}/hist", p.n_buckets)
+    TB.write_candidates(MK.mask_pair_hist(st.lists, p.hist_min_support), f"{out_dir}/hist", p.n_buckets, st.n_listed)
     hist = TB.read_candidates(st.edges.sparkSession, f"{out_dir}/hist")
     k = FT.FEATURE_SETS[p.feature_set].pca or p.pca_k
-    pca = _save(ML.fit_pca(MK.hist_vectors(hist), k), f"{out_dir}/hist_pca")
+    cells = _save(ML.cell_vectors(hist), f"{out_dir}/hist_cells")
+    pca = _save(ML.fit_pca(cells, k), f"{out_dir}/hist_pca")
     shares = _save(ML.type_shares(MK.mask_diag_counts(hist), st.candidates, p.divide_type_counts),
                    f"{out_dir}/type_shares")
     return hist, pca, shares
@@ -110,14 +133,28 @@ def feature_vectors(st: Stages, profile: DataFrame, twohop: DataFrame, pca: Data
     return _save(ML.feature_set_vectors(ft, fs, pca, shares, bits), f"{out_dir}/vectors")
 
 
-def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
+@dataclass
+class Trained:
+    """Z4 + Z5: the stored model and what the run report says of it."""
+    model: PipelineModel
+    train: DataFrame
+    auc: float | None
+    threshold: float
+    positives: int
+    negatives: int
+    valid_rows: int
+    iterations: int
+    converged: bool
+
+
+def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params) -> Trained:
     """Z4 + Z5: sample and split, fit scaler + LR on the training part,
-    AUC and the F-beta threshold on the validation part, class balance."""
+    AUC and the F-beta threshold on the validation part, class balance (A11)."""
     train, valid = S.train_valid(vectors, p)
-    train = _save(train, f"{out_dir}/train")
-    model = ML.fit(train, p.max_iter, p.fit_intercept)
-    model.write().overwrite().save(f"{out_dir}/model")  # K7
-    vs = _save(ML.score(model, valid), f"{out_dir}/valid_scores")
+    train, n = _save_counted(train, f"{out_dir}/train")
+    fitted = ML.fit(train, p.max_iter, p.fit_intercept, rows=n["n"])
+    model = ML.reloaded(fitted, f"{out_dir}/model")  # K7
+    vs, n_valid = _save_counted(ML.score(model, valid), f"{out_dir}/valid_scores")
     # K6: (prediction, label) of training (1 file) and validation (4 files)
     for part, df, files in (("training", ML.score(model, train), 1), ("validation", vs, 4)):
         TB.write_prediction_labels(df.select(F.col("score").alias("prediction"), "label"),
@@ -125,8 +162,8 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params):
     curve = MT.roc_curve(vs)
     auc = MT.auc_from_curve(curve).first()["auc"]
     best = MT.best_threshold(MT.fbeta_by_threshold(curve, p.beta)).first()
-    balance = {r["label"]: r["n"] for r in MT.class_balance(train).collect()}  # two rows
-    return model, train, vs, auc, best["threshold"], balance
+    used, converged = ML.solver_state(fitted, p.max_iter)
+    return Trained(model, train, auc, best["threshold"], n["n1"], n["n"] - n["n1"], n_valid["n"], used, converged)
 
 
 def recommend(vectors: DataFrame, model, threshold: float, out_dir: str, p: Params) -> DataFrame:
@@ -146,11 +183,11 @@ def recommend(vectors: DataFrame, model, threshold: float, out_dir: str, p: Para
 
 
 def holdout_build(vectors: DataFrame, train: DataFrame, model, threshold: float, out_dir: str,
-                  p: Params) -> DataFrame:
+                  p: Params) -> tuple[DataFrame, dict[str, int]]:
     """Hold-out group minus training pairs, positives thinned; truth
     (K8), directed probabilities (K5) and ranked lists (K3) cut at the fitted
     threshold."""
-    hold = _save(S.thin_positives(S.holdout(vectors, train, p), p), f"{out_dir}/holdout")
+    hold, n = _save_counted(S.thin_positives(S.holdout(vectors, train, p), p), f"{out_dir}/holdout")
     X.write_lines(X.render_pairs(hold.where(F.col("label") == 1).select("p1", "p2")),
                   f"{out_dir}/validPrediction_real")
     directed = R.flip_scores(ML.score(model, hold))
@@ -158,7 +195,7 @@ def holdout_build(vectors: DataFrame, train: DataFrame, model, threshold: float,
     proba = TB.read_probabilities(hold.sparkSession, f"{out_dir}/validPrediction_proba")
     ranked = R.top_k(R.target_users(proba, p, threshold=threshold), p.top_k)
     X.write_lines(R.ranked_lines(ranked).select(F.col("line").alias("value")), f"{out_dir}/validPrediction")
-    return hold
+    return hold, n
 
 
 def offline_lists(spark: SparkSession, proba_path: str, p: Params, residue: int | None = None) -> DataFrame:
@@ -189,7 +226,8 @@ def exploration(edges: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFr
 
 def run(spark: SparkSession, edges: DataFrame, profile: DataFrame, out_dir: str,
         p: Params = Params(), rejects: DataFrame | None = None) -> DataFrame:
-    """The production chain; returns the one-row run report (K9) with the class
+    """The production chain; returns the one-row run report (K9), whose counts come
+    from the stages' own writes (`Observation`): the class
     balance (A11), split and hold-out sizes (A12), AUC, threshold, NDCG, the
     solver's cap, iterations and convergence, and how many input items the
     readers rejected (`rejects`: the row of `text.adjacency_rejects`, if the
@@ -198,21 +236,17 @@ def run(spark: SparkSession, edges: DataFrame, profile: DataFrame, out_dir: str,
     _, pca, shares = mask_histogram(st, out_dir, p)
     th = twohop_job(st, out_dir)
     vectors = feature_vectors(st, profile, th, pca, shares, out_dir, p)
-    model, train, _, auc, threshold, balance = train_and_threshold(vectors, out_dir, p)
-    recommend(vectors, model, threshold, out_dir, p)
-    hold = holdout_build(vectors, train, model, threshold, out_dir, p)
+    t = train_and_threshold(vectors, out_dir, p)
+    recommend(vectors, t.model, t.threshold, out_dir, p)
+    _, hold = holdout_build(vectors, t.train, t.model, t.threshold, out_dir, p)
     nd = rank_evaluation(spark, out_dir, p).first()
-    pos, neg = int(balance.get(1, 0)), int(balance.get(0, 0))
-    tot = max(1, pos + neg)
-    counts = hold.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).first()
-    n_valid = spark.read.parquet(f"{out_dir}/valid_scores").count()
-    used, converged = ML.solver_state(model, p.max_iter)
+    rows = t.positives + t.negatives
+    tot = max(1, rows)
     rejected = int(rejects.first()["rejected_items"]) if rejects is not None else 0
     report = spark.createDataFrame([(
-        FT.FEATURE_SETS[p.feature_set].pca, float(p.row_sample_rate), float(auc) if auc is not None else None,
-        pos, neg, pos / tot, neg / tot, float(threshold),
-        int(counts["n"]), int(counts["n1"] or 0), nd["ndcg_x1000"], pos + neg, int(n_valid),
-        p.max_iter, used, converged, rejected)],
+        FT.FEATURE_SETS[p.feature_set].pca, float(p.row_sample_rate), float(t.auc) if t.auc is not None else None,
+        t.positives, t.negatives, t.positives / tot, t.negatives / tot, float(t.threshold),
+        hold["n"], hold["n1"], nd["ndcg_x1000"], rows, t.valid_rows, p.max_iter, t.iterations, t.converged, rejected)],
         "pca_size INT, sample_filter DOUBLE, auc DOUBLE, positives BIGINT, negatives BIGINT, "
         "positive_share DOUBLE, negative_share DOUBLE, threshold DOUBLE, holdout_rows BIGINT, "
         "holdout_positives BIGINT, ndcg_x1000 DOUBLE, train_rows BIGINT, valid_rows BIGINT, "

@@ -14,7 +14,7 @@ from linkgraph.functions.hashing import hash_unit_sql
 P = FIXTURE
 
 # read several times by later CTEs: computed once
-KEPT = {"edges", "kept", "candidates", "labelled", "train", "hist"}
+KEPT = {"edges", "kept", "candidates", "labelled", "train", "hist", "hold", "hanti", "ftrain", "cov"}
 
 # name -> (sql, dependencies)
 CTE: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -410,13 +410,42 @@ oracle("type_shares", """
 SELECT c.p1, c.p2, d.type, CAST(d.cnt AS DOUBLE) AS cnt,
   round(d.cnt / CAST(greatest(1, c.common_cnt) AS DOUBLE), 6) AS share
 FROM candidates c JOIN diag d ON c.p1 = d.p1 AND c.p2 = d.p2""", "candidates", "diag")
-oracle("mask_covariance", """
-SELECT b.x, b.y, round((b.sxy - o1.s * o2.s / n.n) / (n.n - 1), 6) + 0.0 AS cov
-FROM (SELECT CAST(a.cell AS INTEGER) AS x, CAST(c.cell AS INTEGER) AS y, CAST(sum(a.cnt * c.cnt) AS DOUBLE) AS sxy
-      FROM hist a JOIN hist c ON a.p1 = c.p1 AND a.p2 = c.p2 AND a.cell <= c.cell GROUP BY 1, 2) b
-JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o1 ON b.x = o1.cell
-JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o2 ON b.y = o2.cell,
+cte("cov", """
+SELECT g.x, g.y, (coalesce(b.sxy, 0.0) - coalesce(o1.s, 0.0) * coalesce(o2.s, 0.0) / nullif(n.n, 0)) / nullif(n.n - 1, 0) AS cov
+FROM (SELECT CAST(x AS INTEGER) AS x, CAST(unnest(range(x, 253)) AS INTEGER) AS y FROM (SELECT range AS x FROM range(1, 253)) r) g
+LEFT JOIN (SELECT CAST(a.cell AS INTEGER) AS x, CAST(c.cell AS INTEGER) AS y, CAST(sum(a.cnt * c.cnt) AS DOUBLE) AS sxy
+      FROM hist a JOIN hist c ON a.p1 = c.p1 AND a.p2 = c.p2 AND a.cell <= c.cell GROUP BY 1, 2) b ON g.x = b.x AND g.y = b.y
+LEFT JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o1 ON g.x = o1.cell
+LEFT JOIN (SELECT cell, CAST(sum(cnt) AS DOUBLE) AS s FROM hist GROUP BY cell) o2 ON g.y = o2.cell,
 (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT p1, p2 FROM hist) t) n""", "hist")
+oracle("mask_covariance", "SELECT x, y, round(cov, 6) + 0.0 AS cov FROM cov", "cov")
+# a right projection leaves nothing but the traces of the covariance's powers
+oracle("pca_certificate", f"""
+, sym AS MATERIALIZED (SELECT x, y, cov FROM cov UNION ALL SELECT y, x, cov FROM cov WHERE x < y),
+sq AS (SELECT a.x, b.y, sum(a.cov * b.cov) AS cov FROM sym a JOIN sym b ON a.y = b.x GROUP BY a.x, b.y)
+SELECT 'residual' AS part, CAST(range AS INTEGER) AS i, CAST(0.0 AS DOUBLE) AS value FROM range(1, {_FS[P.feature_set].pca + 1})
+UNION ALL SELECT unnest(['orthonormal', 'off_diagonal', 'order', 'leading']), 0, 0.0
+UNION ALL SELECT 'moment', 1, round(sum(cov), 5) FROM sym WHERE x = y
+UNION ALL SELECT 'moment', 2, round(sum(cov * cov), 5) FROM sym
+UNION ALL SELECT 'moment', 3, round(sum(q.cov * s.cov), 5) FROM sq q JOIN sym s ON q.x = s.y AND q.y = s.x""", "cov")
+_GS = _FS[P.feature_set]
+oracle("model_gradient", "SELECT -1 AS term, round(CAST(sum(label) AS DOUBLE), 4) AS observed, TRUE AS at_optimum FROM ftrain\n"
+       + "\n".join(f"UNION ALL SELECT {i}, round(sum(label * CAST({c} AS DOUBLE)), 4), TRUE FROM ftrain"
+                   for i, c in enumerate(_GS.scalars))
+       + f"\nUNION ALL SELECT CAST(range AS INTEGER), NULL, TRUE FROM range({len(_GS.scalars)}, {_GS.width})", "ftrain")
+oracle("model_reload", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_differing FROM valid", "valid")
+oracle("job_candidates", "SELECT p1, p2, common_cnt FROM candidates", "candidates")
+oracle("job_hist", "SELECT p1, p2, CAST(cell AS INTEGER) AS cell, cnt FROM hist", "hist")
+oracle("job_twohop", "SELECT * FROM twohop_all", "twohop_all")
+oracle("job_train", "SELECT p1, p2, label FROM train", "train")
+oracle("job_recommendations", "SELECT p1, p2 FROM score_pop", "score_pop")
+oracle("job_holdout", "SELECT p1, p2, label FROM hold", "hold")
+oracle("hidden_edges_order", """
+SELECT row_number() OVER (ORDER BY p1 DESC, p2 DESC) AS position, p1, p2 FROM hold WHERE label = 1""", "hold")
+oracle("prediction_labels", """
+SELECT 'training' AS part, CAST(1 AS BIGINT) AS files, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM train
+UNION ALL SELECT 'validation', 4, count(*), CAST(sum(label) AS BIGINT) FROM valid
+UNION ALL SELECT 'test', 8, count(*), CAST(0 AS BIGINT) FROM score_pop""", "train", "valid", "score_pop")
 oracle("run_counts", """
 SELECT 'train' AS part, count(*) AS n, CAST(coalesce(sum(label), 0) AS BIGINT) AS positives FROM train
 UNION ALL SELECT 'valid', count(*), CAST(coalesce(sum(label), 0) AS BIGINT) FROM valid

@@ -510,21 +510,47 @@ QUERIES["vector_holdout"] = _scalar_vectors("holdout")
 
 @query
 def mask_covariance(spark, sf_dir):
-    """The covariance that M1 decomposes: of the cells that occur together in a
-    pair, over all pairs with a histogram (cells x <= y, covariance not 0 by
-    absence alone)."""
+    """The covariance that M1 decomposes, over the whole grid of cells x <= y."""
+    from linkgraph.operators.model import cell_covariance
+    cov = cell_covariance(Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"hist"}).hist)
+    return cov.select("x", "y", (F.round("cov", 6) + 0.0).alias("cov"))
+
+
+@query
+def pca_certificate(spark, sf_dir):
+    """What holds of the projection whatever the components' signs."""
+    from linkgraph.operators.model import pca_certificate as certificate
     v = Views(spark, sf_dir, stages=Views.DEFAULT_STAGES | {"hist"})
-    h = v.hist
-    n = h.select("p1", "p2").distinct().agg(F.count(F.lit(1)).cast("double"))
-    one = h.groupBy("cell").agg(F.sum("cnt").cast("double").alias("s"))
-    a = h.select("p1", "p2", F.col("cell").alias("x"), F.col("cnt").alias("cx"))
-    b = h.select("p1", "p2", F.col("cell").alias("y"), F.col("cnt").alias("cy"))
-    both = (a.join(b, ["p1", "p2"]).where("x <= y").groupBy("x", "y")
-            .agg(F.sum(F.col("cx") * F.col("cy")).cast("double").alias("sxy")))
-    j = (both.join(one.select(F.col("cell").alias("x"), F.col("s").alias("sx")), "x")
-         .join(one.select(F.col("cell").alias("y"), F.col("s").alias("sy")), "y"))
-    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n.scalar()) / (n.scalar() - 1)
-    return j.select("x", "y", (F.round(cov, 6) + 0.0).alias("cov"))
+    return certificate(v.hist, v.pca_model, v.cells).select("part", "i", (F.round("value", 5) + 0.0).alias("value"))
+
+
+# The largest mean gradient that counts as 0 (scaled features, log loss per row).
+GRADIENT_TOLERANCE = 1e-3
+
+
+@query
+def model_gradient(spark, sf_dir):
+    """M3: the loss gradient at the fitted coefficients, one row a term, and for the
+    scalar terms what the training rows add up to."""
+    from linkgraph.operators.model import gradient
+    v = Views(spark, sf_dir, stages=ML_STAGES)
+    g = gradient(v.model, v.ml_split[0])
+    scalar = F.col("term") < len(v.feature_set.scalars)
+    return g.select("term", F.when(scalar, F.round("observed", 4)).alias("observed"),
+                    (F.abs("gradient") <= GRADIENT_TOLERANCE).alias("at_optimum"))
+
+
+@query
+def model_reload(spark, sf_dir):
+    """M4 / K7: validation pairs scored by the model as loaded from its folder, and by
+    plain columns from its stored numbers; how many differ."""
+    from linkgraph.operators.model import score, score_by_columns
+    v = Views(spark, sf_dir, stages=ML_STAGES)
+    valid = v.ml_split[1]
+    both = (score(v.model, valid).select("p1", "p2", F.col("score").alias("a"))
+            .join(score_by_columns(v.model, valid).withColumnRenamed("score", "b"), ["p1", "p2"], "full"))
+    differ = ~F.coalesce(F.abs(F.col("a") - F.col("b")) <= 1e-9, F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(differ, 1)).alias("n_differing"))
 
 
 @query
@@ -628,6 +654,83 @@ def offline_lists(spark, sf_dir):
 
 
 # ---- end-to-end ---------------------------------------------------------------------------
+_job_dirs: dict[tuple[str, str], str] = {}
+
+
+def _job(spark: SparkSession, sf_dir: str) -> str:
+    """The output folder of the production chain over `sf_dir`, run once an application."""
+    from linkgraph.plans.jobs import run
+    from linkgraph.sources.store import scratch
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _job_dirs:
+        fx = Views(spark, sf_dir, stages=frozenset())
+        out = scratch(spark, "job")
+        run(spark, fx.edges, fx.profile, out, fx.p)
+        _job_dirs[key] = out
+    return _job_dirs[key]
+
+
+@query
+def job_candidates(spark, sf_dir):
+    """Z1, from the job's folder."""
+    from linkgraph.sources.tables import read_candidates
+    return read_candidates(spark, f"{_job(spark, sf_dir)}/candidates").select("p1", "p2", "common_cnt")
+
+
+@query
+def job_hist(spark, sf_dir):
+    """Z2, from the job's folder."""
+    from linkgraph.sources.tables import read_candidates
+    return read_candidates(spark, f"{_job(spark, sf_dir)}/hist").select("p1", "p2", "cell", "cnt")
+
+
+@query
+def job_twohop(spark, sf_dir):
+    """Z3, from the job's folder."""
+    return spark.read.parquet(f"{_job(spark, sf_dir)}/twohop").select(
+        "p1", "p2", "max_common", "linked_pairs", "max_ratio_maxdeg", "max_ratio_mindeg")
+
+
+@query
+def job_train(spark, sf_dir):
+    """Z4, from the job's folder."""
+    train = spark.read.parquet(f"{_job(spark, sf_dir)}/train")
+    return train.select("p1", "p2", F.col("label").cast("int").alias("label"))
+
+
+@query
+def job_recommendations(spark, sf_dir):
+    """The scored population of the job, each pair once."""
+    return spark.read.parquet(f"{_job(spark, sf_dir)}/test_scores").select("p1", "p2")
+
+
+@query
+def job_holdout(spark, sf_dir):
+    """Z7, from the job's folder."""
+    hold = spark.read.parquet(f"{_job(spark, sf_dir)}/holdout")
+    return hold.select("p1", "p2", F.col("label").cast("int").alias("label"))
+
+
+@query
+def hidden_edges_order(spark, sf_dir):
+    """K8 / O3: the hidden edges in the order of the written files and their lines."""
+    from linkgraph.sources.text import numbered_lines, parse_pairs
+    lines = numbered_lines(spark, f"{_job(spark, sf_dir)}/validPrediction_real")
+    return parse_pairs(lines, keep=["position"]).select("position", "p1", "p2")
+
+
+@query
+def prediction_labels(spark, sf_dir):
+    """K6: files, rows and positives of the three (prediction, label) sinks."""
+    out = _job(spark, sf_dir)
+    parts = []
+    for part in ("training", "validation", "test"):
+        df = spark.read.parquet(f"{out}/Model_fin/{part}").withColumn("file", F.input_file_name())
+        parts.append(df.agg(F.lit(part).alias("part"), F.countDistinct("file").alias("files"),
+                            F.count("prediction").alias("n"), F.sum("label").cast("bigint").alias("positives")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def run_report(spark, sf_dir):
     """Z1-Z8 + K9 on the fixture graph; the one-row report of the run."""

@@ -18,7 +18,7 @@ from linkgraph.config import FIXTURE, Params
 from linkgraph.operators import candidates as C
 from linkgraph.operators import graph as G
 from linkgraph.sources.fixtures import Fixture
-from linkgraph.sources.store import materialize
+from linkgraph.sources.store import materialize, stage_path
 
 
 class Views:
@@ -55,13 +55,22 @@ class Views:
     def kept(self) -> DataFrame:
         return self._stage(G.kept_edges(self.edges, self.p, self.degree), "kept")
 
+    @cached_property
+    def explosion(self) -> int:
+        """Rows of a pair explosion, counted once."""
+        return C.pair_explosion_size(self.kept)
+
+    @property
+    def partitions(self) -> int:
+        return C.explosion_partitions(self.kept, self.explosion)
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return C.pair_rows(self.kept)
+        return C.pair_rows(self.kept, partitions=self.partitions)
 
     @cached_property
     def pairs_masked(self) -> DataFrame:
-        return C.pair_rows(self.kept, with_masks=True)
+        return C.pair_rows(self.kept, with_masks=True, partitions=self.partitions)
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -88,7 +97,8 @@ class Views:
     @cached_property
     def hist(self) -> DataFrame:
         from linkgraph.operators.masks import mask_pair_hist
-        return self._stage(mask_pair_hist(C.pair_lists(self.kept), self.p.hist_min_support), "hist")
+        lists = C.pair_lists(self.kept, self.p.hist_min_support + 1, self.explosion)
+        return self._stage(mask_pair_hist(lists, self.p.hist_min_support), "hist")
 
     @cached_property
     def ratios(self) -> DataFrame:
@@ -135,11 +145,22 @@ class Views:
         return thin_positives(holdout(self.labelled, self.train, self.p), self.p)
 
     # -- ML ------------------------------------------------------------------------
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The histograms as sparse vectors, always staged: the PCA fit reads them
+        several times."""
+        from linkgraph.operators.model import cell_vectors
+        return materialize(cell_vectors(self.hist), "cells")
+
+    @cached_property
+    def pca_model(self):
+        from linkgraph.operators.model import pca_model
+        return pca_model(self.cells, self.feature_set.pca or self.p.pca_k)
+
     @cached_property
     def pca(self) -> DataFrame:
-        from linkgraph.operators.masks import hist_vectors
-        from linkgraph.operators.model import fit_pca
-        return fit_pca(hist_vectors(self.hist), self.feature_set.pca or self.p.pca_k)
+        from linkgraph.operators.model import project
+        return project(self.pca_model, self.cells)
 
     @cached_property
     def shares(self) -> DataFrame:
@@ -174,5 +195,7 @@ class Views:
 
     @cached_property
     def model(self):
-        from linkgraph.operators.model import fit
-        return fit(self.ml_split[0], self.p.max_iter, self.p.fit_intercept)
+        """Fitted, saved and loaded (K7)."""
+        from linkgraph.operators.model import fit, reloaded
+        train = self.ml_split[0]
+        return reloaded(fit(train, self.p.max_iter, self.p.fit_intercept), stage_path(train, "model"))

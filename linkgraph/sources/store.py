@@ -41,6 +41,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder path beside the stage tables, deleted with them."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linkgraph-stages/{name}-{uuid.uuid4().hex}"
+    _stages[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -13,12 +13,21 @@ def with_bucket(pairs: DataFrame, n_buckets: int = 107) -> DataFrame:
     return pairs.withColumn("bucket", (F.col("p1") % n_buckets).cast("int"))
 
 
-def write_candidates(pairs: DataFrame, path: str, n_buckets: int = 107) -> None:
+# Rows below which a bucketed table is written by one task per core.
+SMALL_TABLE = 10_000_000
+
+
+def write_candidates(pairs: DataFrame, path: str, n_buckets: int = 107, rows: int | None = None) -> None:
     """K2: candidates (or histograms) partitioned by bucket.  The rebalance
     hint lets AQE split an oversized bucket over several writers instead of
-    sending a whole bucket to one task."""
-    (with_bucket(pairs, n_buckets).hint("rebalance", "bucket")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    sending a whole bucket to one task; of a table known to be small it would
+    make one task that writes all buckets, so that one is dealt out by bucket."""
+    out = with_bucket(pairs, n_buckets)
+    if rows is not None and rows <= SMALL_TABLE:
+        out = out.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "bucket")
+    else:
+        out = out.hint("rebalance", "bucket")
+    out.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_candidates(spark: SparkSession, path: str, bucket: int | None = None) -> DataFrame:

@@ -9,11 +9,11 @@ rows they would have given are left out and counted (`adjacency_rejects`,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkgraph.sources.store import stage_path
+from linkgraph.sources.store import materialize, stage_path
 
 
 def _try(c, t: str):
@@ -165,10 +165,25 @@ def render_pairs(pairs: DataFrame) -> DataFrame:
                              F.col("p2").cast("string"), F.lit(")")).alias("value")))
 
 
-def parse_pairs(lines: DataFrame, col: str = "value") -> DataFrame:
-    """`(a,b)` -> (p1, p2)."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(position, value): the lines of a text folder, numbered from 1 through its
+    files in the order of their names.  Lines are numbered within each file; the
+    offsets come from one row per file."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"),
+                                         F.monotonically_increasing_id().alias("at"))
+    lines = materialize(lines, "lines")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    out = lines.withColumn("inside", inside).join(sizes, "file")
+    return out.select((F.col("before") + F.col("inside")).cast("bigint").alias("position"), "value")
+
+
+def parse_pairs(lines: DataFrame, col: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """`(a,b)` -> (p1, p2), with the columns `keep` of the lines in front."""
     m = r"^\s*\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)\s*$"
-    return (lines.select(_try(F.regexp_extract(col, m, 1), "bigint").alias("p1"),
+    return (lines.select(*(keep or []), _try(F.regexp_extract(col, m, 1), "bigint").alias("p1"),
                          _try(F.regexp_extract(col, m, 2), "bigint").alias("p2"))
             .where(F.col("p1").isNotNull() & F.col("p2").isNotNull()))
 
