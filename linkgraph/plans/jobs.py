@@ -28,6 +28,7 @@ from linkgraph.operators import twohop as TH
 from linkgraph.operators.explore import column_summary, log_degree_hist
 from linkgraph.sources import tables as TB
 from linkgraph.sources import text as X
+from linkgraph.sources.store import write_bucketed
 
 
 # When True, a stage whose output folder is complete (_SUCCESS present) is
@@ -50,6 +51,17 @@ def _save(df: DataFrame, path: str, reuse: bool | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+PAIR = ["p1", "p2"]
+
+
+def _save_pairs(df: DataFrame, path: str) -> DataFrame:
+    """`_save` bucketed by the pair, for the tables that meet in a feature vector.
+    A stage that is reused is read as plain files and exchanged again."""
+    if REUSE_STAGES and stage_exists(df.sparkSession, path):
+        return df.sparkSession.read.parquet(path)
+    return write_bucketed(df, path, PAIR)
+
+
 def _save_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """`_save`, with the aggregates `counts` as its own write observed them (the
     rows `n` and positives `n1` of a labelled table if none are given); a stage
@@ -98,7 +110,7 @@ def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
     cands = TB.read_candidates(edges.sparkSession, f"{out_dir}/candidates")
     # candidates' ends are users, so the canonical edges label them (see views)
     lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree)
-    lab = _save(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
+    lab = _save_pairs(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
     return Stages(edges, degree, kept, lists, cands, lab, n["listed"])
 
 
@@ -109,16 +121,16 @@ def mask_histogram(st: Stages, out_dir: str, p: Params) -> tuple[DataFrame, Data
     hist = TB.read_candidates(st.edges.sparkSession, f"{out_dir}/hist")
     k = FT.FEATURE_SETS[p.feature_set].pca or p.pca_k
     cells = _save(ML.cell_vectors(hist), f"{out_dir}/hist_cells")
-    pca = _save(ML.fit_pca(cells, k), f"{out_dir}/hist_pca")
-    shares = _save(ML.type_shares(MK.mask_diag_counts(hist), st.candidates, p.divide_type_counts),
-                   f"{out_dir}/type_shares")
+    pca = _save_pairs(ML.fit_pca(cells, k), f"{out_dir}/hist_pca")
+    shares = _save_pairs(ML.type_shares(MK.mask_diag_counts(hist), st.candidates, p.divide_type_counts),
+                         f"{out_dir}/type_shares")
     return hist, pca, shares
 
 
 def twohop_job(st: Stages, out_dir: str) -> DataFrame:
     """Z3: 2-hop statistics of every pair, parquet plus the text layout (K4)."""
     pairs = st.lists.select("p1", "p2", F.explode("common.friend_id").alias("friend_id"))
-    th = _save(TH.twohop_stats(pairs, TH.candidate_ratios(st.labelled)), f"{out_dir}/twohop")
+    th = _save_pairs(TH.twohop_stats(pairs, TH.candidate_ratios(st.labelled)), f"{out_dir}/twohop")
     X.write_lines(X.render_twohop(th), f"{out_dir}/twohop_text")
     return th
 
@@ -127,7 +139,7 @@ def feature_vectors(st: Stages, profile: DataFrame, twohop: DataFrame, pca: Data
                     shares: DataFrame, out_dir: str, p: Params) -> DataFrame:
     """M5 over all candidates, written once (read by fit, metrics, scoring)."""
     attrs = FT.user_attributes(st.degree, profile)
-    ft = FT.feature_table(st.labelled, attrs, twohop, p.count_unknown_sex)
+    ft = _save_pairs(FT.feature_table(st.labelled, attrs, twohop, p.count_unknown_sex), f"{out_dir}/features")
     fs = FT.FEATURE_SETS[p.feature_set]
     bits = MK.edge_mask_bits(st.candidates, G.positives(st.edges, with_mask=True)) if fs.edge_bits else None
     return _save(ML.feature_set_vectors(ft, fs, pca, shares, bits), f"{out_dir}/vectors")

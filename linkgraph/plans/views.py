@@ -18,14 +18,16 @@ from linkgraph.config import FIXTURE, Params
 from linkgraph.operators import candidates as C
 from linkgraph.operators import graph as G
 from linkgraph.sources.fixtures import Fixture
-from linkgraph.sources.store import materialize, stage_path
+from linkgraph.sources.store import materialize, materialize_bucketed, stage_path
 
 
 class Views:
     """Stages named in `stages` are written to the checkpoint folder the
     first time they are needed (edges and banded edges by default: every
     later plan reads them several times).  Queries that read candidates or
-    labelled pairs more than once add those."""
+    labelled pairs more than once add those.  With "pairs" among them, the
+    pair-keyed tables that meet in a feature vector are stages bucketed by
+    (p1, p2), so that they meet without an exchange."""
 
     DEFAULT_STAGES = frozenset({"edges", "kept"})
 
@@ -38,6 +40,12 @@ class Views:
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if name in self.stages else df
 
+    def _pair_stage(self, df: DataFrame, name: str) -> DataFrame:
+        """A table with one row per pair: bucketed by the pair if asked."""
+        if "pairs" in self.stages:
+            return materialize_bucketed(df, name, ["p1", "p2"])
+        return self._stage(df, name)
+
     # -- base tables -------------------------------------------------------
     @cached_property
     def edges(self) -> DataFrame:
@@ -90,8 +98,8 @@ class Views:
         user" reduces to "p1 -> p2 is an edge": the label joins the
         canonical edges directly, without the semi join of `positives`."""
         lab = C.label_candidates(self.candidates, C.canonical_edges(self.edges))
-        return self._stage(C.with_degrees(lab, self.degree)
-                           .withColumn("score", C.jaccard_score()), "labelled")
+        return self._pair_stage(C.with_degrees(lab, self.degree)
+                                .withColumn("score", C.jaccard_score()), "labelled")
 
     # -- masks, 2-hop, features ----------------------------------------------
     @cached_property
@@ -108,7 +116,7 @@ class Views:
     @cached_property
     def twohop(self) -> DataFrame:
         from linkgraph.operators.twohop import twohop_stats
-        return twohop_stats(self.pairs, self.ratios, self.candidates)
+        return self._pair_stage(twohop_stats(self.pairs, self.ratios, self.candidates), "twohop")
 
     @cached_property
     def twohop_all(self) -> DataFrame:
@@ -123,7 +131,8 @@ class Views:
     @cached_property
     def features(self) -> DataFrame:
         from linkgraph.operators.features import feature_table
-        return feature_table(self.labelled, self.attrs, self.twohop, self.p.count_unknown_sex)
+        return self._pair_stage(feature_table(self.labelled, self.attrs, self.twohop, self.p.count_unknown_sex),
+                                "features")
 
     # -- sampling and splits ---------------------------------------------------
     @cached_property
@@ -160,13 +169,14 @@ class Views:
     @cached_property
     def pca(self) -> DataFrame:
         from linkgraph.operators.model import project
-        return project(self.pca_model, self.cells)
+        return self._pair_stage(project(self.pca_model, self.cells), "pca")
 
     @cached_property
     def shares(self) -> DataFrame:
         from linkgraph.operators.masks import mask_diag_counts
         from linkgraph.operators.model import type_shares
-        return type_shares(mask_diag_counts(self.hist), self.candidates, self.p.divide_type_counts)
+        return self._pair_stage(type_shares(mask_diag_counts(self.hist), self.candidates, self.p.divide_type_counts),
+                                "shares")
 
     @property
     def feature_set(self):
@@ -176,7 +186,7 @@ class Views:
     @cached_property
     def edge_bits(self) -> DataFrame:
         from linkgraph.operators.masks import edge_mask_bits
-        return edge_mask_bits(self.candidates, G.positives(self.edges, with_mask=True))
+        return self._pair_stage(edge_mask_bits(self.candidates, G.positives(self.edges, with_mask=True)), "edge_bits")
 
     @cached_property
     def vectors(self) -> DataFrame:

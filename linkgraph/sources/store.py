@@ -7,7 +7,8 @@ join/aggregate chain), gives the planner real size statistics, and stops
 Catalyst from inlining the same aggregate into many branches of a plan.
 
 Stage tables belong to the application: they are deleted when it ends, or
-earlier by `drop_stage`, which takes the DataFrame that `materialize` gave.
+earlier by `drop_stage`, which takes the DataFrame that `materialize` or
+`materialize_bucketed` gave.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linkgraph.session import ensure_checkpoint_dir
 
 _stages: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def stage_path(df: DataFrame, name: str) -> str:
@@ -41,6 +43,33 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write `df` to the folder `path`, bucketed and sorted by `keys`, and return a
+    scan that knows it: joins and groups by all of `keys` need no exchange of tables
+    with equally many buckets (the number of shuffle partitions unless given).
+
+    One shuffle by the bucket hash comes first, so a bucket is one file.  The catalog
+    entry that carries the layout is dropped when the application ends; the files stay."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"linkgraph_{uuid.uuid4().hex}"
+    _tables[table] = spark
+    dealt = df.repartition(n, *keys).write.format("parquet").mode("overwrite")
+    dealt.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._stage_table = table
+    return out
+
+
+def materialize_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """`materialize` as a bucketed stage table."""
+    path = stage_path(df, name)
+    _stages[path] = df.sparkSession
+    out = write_bucketed(df, path, keys, buckets)
+    out._stage_path = path
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder path beside the stage tables, deleted with them."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linkgraph-stages/{name}-{uuid.uuid4().hex}"
@@ -56,7 +85,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop_stage(df: DataFrame) -> None:
     """Delete a stage table that no later plan reads."""
-    path = getattr(df, "_stage_path", None)
+    table, path = getattr(df, "_stage_table", None), getattr(df, "_stage_path", None)
+    if table and _tables.pop(table, None) is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     if path and _stages.pop(path, None) is not None:
         _delete(df.sparkSession, path)
 
@@ -64,10 +95,16 @@ def drop_stage(df: DataFrame) -> None:
 @atexit.register
 def drop_all_stages() -> None:
     """Delete what is left when the application ends."""
-    for path, spark in list(_stages.items()):
-        _stages.pop(path)
-        try:
-            if spark._jsc is not None and not spark._jsc.sc().isStopped():
+    def alive(spark: SparkSession) -> bool:
+        return spark._jsc is not None and not spark._jsc.sc().isStopped()
+    try:
+        for table, spark in list(_tables.items()):
+            _tables.pop(table)
+            if alive(spark):
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path, spark in list(_stages.items()):
+            _stages.pop(path)
+            if alive(spark):
                 _delete(spark, path)
-        except Exception:  # the JVM may be gone already at interpreter exit
-            return
+    except Exception:  # the JVM may be gone already at interpreter exit
+        return

@@ -202,3 +202,35 @@ def test_vector_parts(spark, cells):
     v = ML.project(ML.pca_model(MK.hist_vectors(cells), 2), MK.hist_vectors(cells))
     assert v.select(F.size("pca")).distinct().first()[0] == 2
     assert vector_to_array is not None
+
+
+def test_feature_vectors_meet_without_an_exchange_by_pair(spark):
+    """Labels, 2-hop, projection and shares are bucketed by (p1, p2)."""
+    from linkgraph.plans.queries import ML_STAGES
+    from linkgraph.plans.views import Views
+    from tests.conftest import SF_SMALL
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    v = Views(spark, SF_SMALL, stages=ML_STAGES - {"vectors"})
+    plain = Views(spark, SF_SMALL, stages=ML_STAGES - {"vectors", "pairs"})
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        plan = v.vectors._jdf.queryExecution().executedPlan().toString()
+        joins = v.labelled.join(v.twohop, ["p1", "p2"], "left")._jdf.queryExecution().executedPlan().toString()
+        other = plain.vectors._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    assert "SortMergeJoin" in joins and "Exchange" not in joins
+    assert "Exchange hashpartitioning(p1" in other
+
+
+def test_bucketed_stages_are_dropped(spark):
+    from linkgraph.sources import store
+    df = store.materialize_bucketed(spark.range(20).select("id", (F.col("id") % 3).alias("k")), "b", ["k"], 4)
+    table, path = df._stage_table, df._stage_path
+    assert df.count() == 20 and spark.catalog.tableExists(table) and table in store._tables and path in store._stages
+    store.drop_stage(df)
+    assert not spark.catalog.tableExists(table) and not jobs.stage_exists(spark, path)
+    assert table not in store._tables and path not in store._stages
