@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +93,20 @@ def drop_stage(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def stages_freed(*, but: list[DataFrame]):
+    """Delete the stage tables made inside the block when it ends, but those of the
+    DataFrames that the block put on the list `but`; what the block returns may read
+    only these.  If the block fails, nothing is deleted early."""
+    paths, tables = set(_stages), set(_tables)
+    yield
+    spared = {getattr(df, a, None) for df in but for a in ("_stage_path", "_stage_table")}
+    for table in set(_tables) - tables - spared:
+        _tables.pop(table).sql(f"DROP TABLE IF EXISTS {table}")
+    for path in set(_stages) - paths - spared:
+        _delete(_stages.pop(path), path)
+
+
 @atexit.register
 def drop_all_stages() -> None:
     """Delete what is left when the application ends."""

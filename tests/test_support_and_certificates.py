@@ -234,3 +234,20 @@ def test_bucketed_stages_are_dropped(spark):
     store.drop_stage(df)
     assert not spark.catalog.tableExists(table) and not jobs.stage_exists(spark, path)
     assert table not in store._tables and path not in store._stages
+
+
+def test_stages_of_a_block_are_freed(spark):
+    from linkgraph.sources import store
+    before, keep = set(store._stages), []
+    with store.stages_freed(but=keep):
+        a = store.materialize(spark.range(5), "a")
+        b = store.materialize_bucketed(a.withColumn("k", F.col("id") % 2), "b", ["k"], 2)
+        c = store.materialize(b.groupBy("k").count(), "c")
+        keep.append(c)
+    assert set(store._stages) - before == {c._stage_path} and b._stage_table not in store._tables
+    assert c.count() == 2 and not jobs.stage_exists(spark, a._stage_path)
+    with pytest.raises(ValueError), store.stages_freed(but=[]):
+        d = store.materialize(spark.range(5), "d")
+        raise ValueError
+    assert d.count() == 5
+    store.drop_stage(d)
