@@ -38,10 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
     if not levels:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    root = levels.pop()
-    for m in reversed(levels):
+    root = levels[-1]
+    for m in reversed(levels[:-1]):
         root = m.join(root.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up", "left") \
             .select("id", F.coalesce("upper", "up").alias("up"))
     root = materialize(root, "cc-roots")
+    for old in [e, *levels]:
+        drop_stage(old)
     small = root.groupBy("up").agg(F.min("id").alias("component"))
     return root.join(small, "up").select("id", "component")

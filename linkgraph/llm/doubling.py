@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.llm.repeats import byte_units, covered, distinct_texts, repeated_spans, text_key
 from linkgraph.llm.text import chunks, prefix_hash, range_hash, raw, spread
-from linkgraph.sources.store import materialize
+from linkgraph.sources.store import materialize, stages_freed
 
 GRAM = 200
 
@@ -64,12 +64,10 @@ def double_ranks(window: int, gram: int):
 
 def dedup(docs: DataFrame, window: int = 400, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """(k, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each distinct text,
-    k being `text_key` of it."""
+    k being `text_key` of it.  Its own stage tables are gone when it returns."""
     if window > 2 * gram:
         raise ValueError("two grams must cover a window")
-    texts = distinct_texts(docs.select("doc_id", "text"))
-    spans = repeated_spans(texts, byte_units, window, gram, double_ranks(window, gram))
-    schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary" if with_bytes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +91,13 @@ def dedup(docs: DataFrame, window: int = 400, gram: int = GRAM, with_bytes: bool
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = texts.select("j", "k", "m", "text").join(spans, "j", "left").select("k", "m", "text", "spans")
-    return materialize(out.mapInArrow(run, schema), "dedup-bytes")
+    done = []
+    with stages_freed(but=done):
+        texts = distinct_texts(docs.select("doc_id", "text"))
+        spans = repeated_spans(texts, byte_units, window, gram, double_ranks(window, gram))
+        out = texts.select("j", "k", "m", "text").join(spans, "j", "left").select("k", "m", "text", "spans")
+        done.append(materialize(out.mapInArrow(run, schema), "dedup-bytes"))
+    return done[0]
 
 
 def per_document(docs: DataFrame, window: int = 400, gram: int = GRAM) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.llm.repeats import covered, distinct_texts, repeated_spans, text_key, word_units
 from linkgraph.llm.text import chunks, prefix_hash, range_hash, raw, words
-from linkgraph.sources.store import materialize
+from linkgraph.sources.store import materialize, stages_freed
 
 GRAM = 18
 SHARD_WORDS = 300_000
@@ -199,10 +199,9 @@ def search_shard(window: int):
 
 def dedup(docs: DataFrame, window: int = 35, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """(k, n_words, n_removed, kept_sha256[, kept]) for each distinct text, k being
-    `text_key` of it; kept has the words left, joined by one space."""
-    texts = distinct_texts(docs.select("doc_id", "text"))
-    spans = repeated_spans(texts, word_units, window, gram, search_shard(window))
-    schema = "k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    `text_key` of it; kept has the words left, joined by one space, of texts that
+    lose words (null otherwise).  Its own stage tables are gone when it returns."""
+    schema = "k binary, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
@@ -220,7 +219,7 @@ def dedup(docs: DataFrame, window: int = 35, gram: int = GRAM, with_text: bool =
                 else:
                     body = b" ".join(data[offs[i]: offs[i + 1]].split())
                 digest.append(hashlib.sha256(body).hexdigest())
-                kept.append(body)
+                kept.append(body if removed[i] else None)
             cols = [part.column("k"), pa.array(np.diff(u.first).astype(np.int64)), pa.array(removed), pa.array(digest)]
             names = ["k", "n_words", "n_removed", "kept_sha256"]
             if with_text:
@@ -228,8 +227,13 @@ def dedup(docs: DataFrame, window: int = 35, gram: int = GRAM, with_text: bool =
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = texts.select("j", "k", "m", "text").join(spans, "j", "left").select("k", "m", "text", "spans")
-    return materialize(out.mapInArrow(run, schema), "dedup-words")
+    done = []
+    with stages_freed(but=done):
+        texts = distinct_texts(docs.select("doc_id", "text"))
+        spans = repeated_spans(texts, word_units, window, gram, search_shard(window))
+        out = texts.select("j", "k", "m", "text").join(spans, "j", "left").select("k", "m", "text", "spans")
+        done.append(materialize(out.mapInArrow(run, schema), "dedup-words"))
+    return done[0]
 
 
 def per_document(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from linkgraph.llm.components import components
 from linkgraph.llm.text import (SPACE, chunks, in_small_batches, mix, ngram_hash, prefix_hash, range_hash, spread,
                                 words)
-from linkgraph.sources.store import drop_stage, materialize
+from linkgraph.sources.store import drop_stage, materialize, stages_freed
 
 PIECE_BITS = 512
 LEVELS = 8
@@ -280,6 +280,13 @@ def near(pairs: DataFrame, info: DataFrame, t: int) -> DataFrame:
 
 def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     """The pairs (a, b) whose sets really link."""
+    links = []
+    with stages_freed(but=links):
+        links.append(_verified(pairs, info, docs, width, t))
+    return links[0]
+
+
+def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = materialize(info.join(wanted, "node", "left_semi").select("doc_id").distinct(), "jaccard-ids")
@@ -391,18 +398,16 @@ def compared(rows: pa.Table, t: int) -> np.ndarray:
     return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
 
 
-def joined(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
-    t = threshold
-    if not 67 <= t <= 100:
-        raise ValueError("the bands serve thresholds from 67 to 100 percent")
-    docs = in_small_batches(docs).select("doc_id", "text")
+def _labelled(docs: DataFrame, width: int, t: int) -> DataFrame:
+    """(doc_id, n, c): every row with its component's least node (null: no words)."""
     all_ = materialize(described(docs, width, t), "jaccard-docs")
     pieces = all_.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
     members = materialize(shared(pieces), "jaccard-members")
     held = members.select("node").distinct()
     info = materialize(all_.where("doc_id is not null").select("node", "n", "sketch", "doc_id")
                        .join(held, "node", "left_semi").dropDuplicates(["node"]), "jaccard-info")
+    own = materialize(all_.select("doc_id", "n", "node"), "jaccard-nodes")
+    drop_stage(all_)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     comp = components(links)
     for turn in range(ROUNDS):
@@ -415,8 +420,19 @@ def joined(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     links = links.unionByName(verified(more, info, docs, width, t))
     comp = components(links).withColumnRenamed("id", "node")
     node_comp = F.when(F.col("n") > 0, F.coalesce("component", "node"))
-    labelled = materialize(all_.select("doc_id", "n", "node").join(comp, "node", "left")
-                           .select("doc_id", "n", node_comp.alias("c")), "jaccard-labels")
+    return materialize(own.join(comp, "node", "left").select("doc_id", "n", node_comp.alias("c")), "jaccard-labels")
+
+
+def joined(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    t = threshold
+    if not 67 <= t <= 100:
+        raise ValueError("the bands serve thresholds from 67 to 100 percent")
+    docs = in_small_batches(docs).select("doc_id", "text")
+    kept = []
+    with stages_freed(but=kept):
+        kept.append(_labelled(docs, width, t))
+    labelled = kept[0]
     small = labelled.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component"))
     return labelled.join(small, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

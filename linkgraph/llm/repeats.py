@@ -24,7 +24,6 @@ hot anchor alone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.llm.text import SPACE, Words, chunks, in_small_batches, prefix_hash, range_hash, spread, words
-from linkgraph.sources.store import materialize, stage_path
+from linkgraph.sources.store import drop_stage, materialize, materialize_bucketed
 
 HOT = 256
 SHARD_BYTES = 2 << 20
@@ -144,7 +143,8 @@ def first_of_equals(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """128 bits that stand for the whole text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -154,13 +154,11 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(text_key(F.col("text")).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     j = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k")
     rows = rows.select(j.alias("j"), "k", "text")
-    reps = rows.select("j", "k").groupBy("k").agg(F.min("j").alias("j"), F.count(F.lit(1)).alias("m")).select("j", "m")
+    # texts whose j agree by chance stay two rows, told apart by k
+    reps = rows.select("j", "k").groupBy("k").agg(F.min("j").alias("j"), F.count(F.lit(1)).alias("m"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = rows.repartition(n, "j").join(reps, "j").dropDuplicates(["j"])
-    name = f"linkgraph_texts_{uuid.uuid4().hex}"
-    path = stage_path(docs, "texts")
-    one.write.format("parquet").bucketBy(n, "j").sortBy("j").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    one = rows.repartition(n, "j").join(reps, ["j", "k"]).dropDuplicates(["j", "k"])
+    return materialize_bucketed(one.select("j", "k", "m", "text"), "texts", ["j"], n)
 
 
 def several(rows: DataFrame) -> DataFrame:
@@ -301,10 +299,13 @@ def repeated_spans(texts: DataFrame, units: Units_of, window: int, gram: int, sh
     spans = dealt.mapInArrow(decide, "j long, at long, n long")
     whole = several(pieces.where(F.col("kind") == SOLO).select("key", "j", "at", F.lit(True).alias("solo")))
     whole = materialize(whole.unionByName(found.where("solo")), "repeat-whole")
+    drop_stage(found)
     more = whole.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     solo = whole.join(more, "key").select("j", "at", F.lit(1).cast("long").alias("n"))
     here = pieces.where(F.col("kind") == SPAN).select("j", "at", "n")
     every = materialize(spans.unionByName(solo).unionByName(here), "repeat-spans")
+    drop_stage(pieces)
+    drop_stage(whole)
     return every.groupBy("j").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
