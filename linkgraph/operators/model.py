@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions.masks import MASK_BITS
 from linkgraph.operators.features import FEATURE_COLS, FeatureSet
+from linkgraph.sources.store import scratch
 
 N_TYPES = MASK_BITS + 1  # 22 per-type counts; the last one stays 0 (X6)
 
@@ -174,30 +175,32 @@ def link_model_stages(max_iter: int = 6000, fit_intercept: bool = True) -> Pipel
 ROWS_PER_GRADIENT_TASK = 100_000
 
 
+def reloaded(model: PipelineModel, path: str) -> PipelineModel:
+    """K7: the model saved at `path` and loaded from there."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def fit(train: DataFrame, max_iter: int = 6000, fit_intercept: bool = True,
-        rows: int | None = None) -> PipelineModel:
-    """M2 + M3 fitted.  The solver runs a job per step, hundreds of them, whose
-    cost on a small training set is the scheduling of its tasks; with `rows`, the
+        rows: int | None = None, path: str | None = None) -> PipelineModel:
+    """M2 + M3 fitted, saved at `path` (a scratch folder if not given) and loaded (K7).
+
+    What scores is the stored model: one fresh from the solver also carries its training
+    summary and with it the session, which is shipped to every task and can't be once
+    the session has observed a query.  The solver runs a job per step, hundreds of them,
+    whose cost on a small training set is the scheduling of its tasks; with `rows`, the
     set's size, it is read in no more tasks than ROWS_PER_GRADIENT_TASK asks for."""
     if rows is not None:
         train = train.coalesce(max(1, -(-rows // ROWS_PER_GRADIENT_TASK)))
-    return link_model_stages(max_iter, fit_intercept).fit(train)
-
-
-def reloaded(model: PipelineModel, path: str) -> PipelineModel:
-    """K7: the model saved at `path` and loaded from there.
-
-    What scores from here on is the stored model.  A model fresh from `fit` also
-    carries its training summary and with it the session, which is shipped to
-    every task (and fails there once the session has observed a query)."""
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
+    fitted = link_model_stages(max_iter, fit_intercept).fit(train)
+    model = reloaded(fitted, path or scratch(train.sparkSession, "model"))
+    model._iterations = int(fitted.stages[-1].summary.totalIterations)
+    return model
 
 
 def solver_state(model: PipelineModel, max_iter: int) -> tuple[int, bool]:
-    """(iterations used, converged before the cap) of a model fitted here."""
-    used = int(model.stages[-1].summary.totalIterations)
-    return used, used < max_iter
+    """(iterations used, converged before the cap) of a model from `fit`."""
+    return model._iterations, model._iterations < max_iter
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -164,8 +164,7 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params) -> Trained:
     AUC and the F-beta threshold on the validation part, class balance (A11)."""
     train, valid = S.train_valid(vectors, p)
     train, n = _save_counted(train, f"{out_dir}/train")
-    fitted = ML.fit(train, p.max_iter, p.fit_intercept, rows=n["n"])
-    model = ML.reloaded(fitted, f"{out_dir}/model")  # K7
+    model = ML.fit(train, p.max_iter, p.fit_intercept, n["n"], f"{out_dir}/model")  # K7
     vs, n_valid = _save_counted(ML.score(model, valid), f"{out_dir}/valid_scores")
     # K6: (prediction, label) of training (1 file) and validation (4 files)
     for part, df, files in (("training", ML.score(model, train), 1), ("validation", vs, 4)):
@@ -174,7 +173,7 @@ def train_and_threshold(vectors: DataFrame, out_dir: str, p: Params) -> Trained:
     curve = MT.roc_curve(vs)
     auc = MT.auc_from_curve(curve).first()["auc"]
     best = MT.best_threshold(MT.fbeta_by_threshold(curve, p.beta)).first()
-    used, converged = ML.solver_state(fitted, p.max_iter)
+    used, converged = ML.solver_state(model, p.max_iter)
     return Trained(model, train, auc, best["threshold"], n["n1"], n["n"] - n["n1"], n_valid["n"], used, converged)
 
 

@@ -18,7 +18,7 @@ from linkgraph.config import FIXTURE, Params
 from linkgraph.operators import candidates as C
 from linkgraph.operators import graph as G
 from linkgraph.sources.fixtures import Fixture
-from linkgraph.sources.store import materialize, materialize_bucketed, stage_path
+from linkgraph.sources.store import materialize, materialize_bucketed
 
 
 class Views:
@@ -206,6 +206,5 @@ class Views:
     @cached_property
     def model(self):
         """Fitted, saved and loaded (K7)."""
-        from linkgraph.operators.model import fit, reloaded
-        train = self.ml_split[0]
-        return reloaded(fit(train, self.p.max_iter, self.p.fit_intercept), stage_path(train, "model"))
+        from linkgraph.operators.model import fit
+        return fit(self.ml_split[0], self.p.max_iter, self.p.fit_intercept)
