@@ -20,14 +20,16 @@ hashes it gives every piece.
 
 Documents with one set are one node.  The keys are sorted by range, so a key
 with a third of all rows spreads over tasks.  In each of a few rounds every node
-is verified against a few nodes of other components that stand next to it under
-most keys, which soon joins groups of copies without all their pairs.  Only keys
-that still hold two components after that are searched further, for pairs of different
-components: small groups by a join, large ones in blocks of `BLOCK` nodes,
-whose sketches are compared as bit vectors before anything is emitted.  Every
-link between components is found that way, so components are exact; pairs
-inside a component need no check.  Candidates pass the size bound, then the
-Hamming bound of a whole-document sketch, and are verified on the sets.
+meets, under each key, the node that shares most keys with others (the original
+of a group of edited copies shares all it has, a copy loses some by each edit)
+and a few neighbours; the partners met under most keys are verified.  That joins
+groups of copies without all their pairs.  Only keys that still hold two
+components after that are searched further, for pairs of different components,
+in blocks of `BLOCK` nodes at most.  Every link between components is found that
+way, so components are exact; pairs inside a component need no check.  Rows under
+a key carry a brief whole-document sketch, and a pair leaves a task only if its
+sizes and the Hamming distance of these sketches allow a link.  It then passes
+the Hamming bound of the full sketches and is verified on the sets.
 
 Defined results: a null, empty or wordless text has an empty set and is its
 own component; equal sets link whatever their size; repeated rows belong to
@@ -56,6 +58,8 @@ SMALL_GROUP = 32
 BROADCAST_IDS = 500_000
 ROUNDS = 2
 TRIES = 4
+NEIGHBOURS = 4
+BRIEF_BITS = 4096
 FLUSH = 100_000
 
 
@@ -154,9 +158,15 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1) * 4.0)).astype(np.int64))
 
 
-def sketches(first: np.ndarray, h: np.ndarray) -> list[bytes]:
+def brief_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketch that travels with the keys: a quarter, 4096 at most, so
+    that the many keys of a long text stay narrow."""
+    return np.clip(sketch_bits(n) // 4, 64, BRIEF_BITS)
+
+
+def sketches(first: np.ndarray, h: np.ndarray, bits_of=sketch_bits) -> list[bytes]:
     n = np.diff(first)
-    bits = sketch_bits(n)
+    bits = bits_of(n)
     size = bits // 64
     base = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint64)
@@ -179,8 +189,43 @@ def hamming_bound(na, nb, t: int):
     return (na + nb) * (100 - t) // (100 + t)
 
 
+class Rows:
+    """Nodes of a batch with their brief sketches, for comparisons of many pairs at once."""
+
+    def __init__(self, tab: pa.Table, t: int):
+        tab = tab.combine_chunks()
+        self.key, self.node, self.comp, self.n = (np.asarray(tab.column(c), np.int64)
+                                                  for c in ("key", "node", "comp", "n"))
+        raw = tab.column("brief").to_pylist()
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.at = np.cumsum(self.words) - self.words
+        self.flat = np.frombuffer(b"".join(raw), np.uint64)
+        self.t = t
+
+    def _folded(self, i: np.ndarray, w: int) -> np.ndarray:
+        place = self.at[i][:, None] + np.arange(w)
+        x = self.flat[place]
+        wide = np.flatnonzero(self.words[i] > w)  # twice as wide: sizes differ by less than a factor of 2
+        x[wide] ^= self.flat[place[wide] + w]
+        return x
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of rows (a, b) of different components that pass the bounds."""
+        na, nb = self.n[a], self.n[b]
+        ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(na, nb) >= self.t * np.maximum(na, nb))
+        a, b = a[ok], b[ok]
+        most = hamming_bound(self.n[a], self.n[b], self.t)
+        least = np.minimum(self.words[a], self.words[b])
+        near_ = np.zeros(len(a), bool)
+        for w in np.unique(least).tolist():
+            q = np.flatnonzero(least == w)
+            far = np.bitwise_count(self._folded(a[q], w) ^ self._folded(b[q], w)).sum(1)
+            near_[q] = far <= most[q]
+        return a[near_], b[near_]
+
+
 def described(docs: DataFrame, width: int, t: int) -> DataFrame:
-    """(doc_id, n, node, keys, sketch) for every document."""
+    """(doc_id, n, node, keys, sketch, brief) for every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
             first, h = sets(buf, offs, width)
@@ -189,10 +234,12 @@ def described(docs: DataFrame, width: int, t: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(first)), pa.array(nodes(first, h).view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key.view(np.int64))),
-                 pa.array(sketches(first, h), pa.binary())], names=["doc_id", "n", "node", "keys", "sketch"])
+                 pa.array(sketches(first, h), pa.binary()),
+                 pa.array(sketches(first, h, brief_bits), pa.binary())],
+                names=["doc_id", "n", "node", "keys", "sketch", "brief"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n long, node long, keys array<bigint>, sketch binary")
+        run, f"doc_id {kind}, n long, node long, keys array<bigint>, sketch binary, brief binary")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -228,32 +275,57 @@ def shared(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long")
 
 
-def partners(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+def placed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, comp): members with the component of each node, itself if it has no link."""
+    m = members.join(comp.withColumnRenamed("id", "node"), "node", "left")
+    return m.select("key", "node", F.coalesce("component", "node").alias("comp"))
+
+
+def still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The (key, node) whose key holds two components."""
+    m = placed(members, comp)
+    seen = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    return members.join(seen.select("key"), "key", "left_semi")
+
+
+def partners(members: DataFrame, comp: DataFrame, info: DataFrame, t: int, turn: int) -> DataFrame:
     """(a, b): for each node b at most TRIES nodes a of other components to verify.
 
     Under every key the nodes are ordered by a min-hash of their shared keys, so
-    similar ones stand together; a node's candidates are those just before it,
-    and the ones met under most keys are taken."""
-    sign = members.groupBy("node").agg(F.min(F.xxhash64(F.lit(turn), "key")).alias("sign"))
-    about = sign.join(comp.withColumnRenamed("id", "node"), "node", "left") \
-        .select("node", "sign", F.coalesce("component", "node").alias("comp"))
-    order = ["key", "sign", "node"]
-    dealt = members.join(about, "node").select("key", "sign", "node", "comp") \
+    similar ones stand together, in the first turn by the number of their shared
+    keys before that.  A node's candidates are the first of the key (in its task)
+    and those just before it that may link; the ones met under most keys are taken."""
+    held = F.count(F.lit(1)) if turn == 0 else F.lit(0)
+    sign = members.groupBy("node").agg((-held).alias("held"), F.min(F.xxhash64(F.lit(turn), "key")).alias("sign"))
+    about = sign.join(comp.withColumnRenamed("id", "node"), "node", "left").join(info, "node") \
+        .select("node", "held", "sign", F.coalesce("component", "node").alias("comp"), "n", "brief")
+    order = ["key", "held", "sign", "node"]
+    dealt = members.join(about, "node").select(*order, "comp", "n", "brief") \
         .repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        rest = None  # of the last key: its first row and the last NEIGHBOURS rows
         for batch in batches:
-            key, node, c = (np.asarray(batch.column(x), np.int64) for x in ("key", "node", "comp"))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            if last is not None:
-                key, node, c = np.append(last[0], key), np.append(last[1], node), np.append(last[2], c)
-            at = np.flatnonzero((key[1:] == key[:-1]) & (c[1:] != c[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], names=["a", "b"])
-            last = key[-1], node[-1], c[-1]
-    met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+            tab = pa.Table.from_batches([batch])
+            old = 0 if rest is None else rest.num_rows
+            tab = tab if rest is None else pa.concat_tables([rest, tab])
+            rows = Rows(tab, t)
+            new = np.arange(old, tab.num_rows)
+            first = np.flatnonzero(np.append(True, rows.key[1:] != rows.key[:-1]))
+            hub = first[np.searchsorted(first, new, side="right") - 1]
+            a, b = [hub[new - hub > NEIGHBOURS]], [new[new - hub > NEIGHBOURS]]
+            for step in range(1, NEIGHBOURS + 1):
+                some = new[new - hub >= step]
+                a.append(some - step)
+                b.append(some)
+            a, b = rows.may_link(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.node[a]), pa.array(rows.node[b])], names=["a", "b"])
+            start, end = int(first[-1]), tab.num_rows
+            rest = tab.take(np.unique(np.append(start, np.arange(max(start, end - NEIGHBOURS), end))))
+    met = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    best = Window.partitionBy("b").orderBy(F.desc("met"), "a")
     return met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b")
 
 
@@ -320,27 +392,17 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, width: int, t:
 
 def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> DataFrame:
     """Distinct (a, b) of different components under one key that may link."""
-    m = members.join(comp.withColumnRenamed("id", "node"), "node", "left")
-    m = m.select("key", "node", F.coalesce("component", "node").alias("comp"))
-    m = materialize(m, "jaccard-placed")
+    m = materialize(placed(members, comp), "jaccard-placed")
     seen = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
-    open_ = m.join(seen.where("x <> y").select("key", "size"), "key")
-    open_ = open_.join(info.select("node", "n"), "node")
-    open_ = materialize(open_, "jaccard-open")
-    few = open_.where(F.col("size") <= SMALL_GROUP).select("key", "node", "comp", "n")
-    a = few.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    b = few.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                   & (100 * F.least("na", "nb") >= t * F.greatest("na", "nb"))).select("a", "b")
-    # large groups: rows meet in pairs of blocks, compared as bit vectors
-    big = open_.where(F.col("size") > SMALL_GROUP).join(info.select("node", "sketch"), "node")
+    open_ = m.join(seen.where("x <> y").select("key", "size"), "key").join(info.select("node", "n", "brief"), "node")
+    # rows meet in pairs of blocks; a group of up to BLOCK nodes is one
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    big = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    big = big.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                     "node", "comp", "n", "sketch")
+    met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                     "node", "comp", "n", "brief")
     order = ["key", "i", "j"]
-    dealt = big.repartition(*order).sortWithinPartitions(*order)
+    dealt = met.repartition(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, found = None, []
@@ -353,26 +415,46 @@ def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> Da
                 got = np.unique(np.concatenate(found), axis=0)
                 found.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        def groups(tab: pa.Table, cut: np.ndarray):
+            """Small groups of a batch are compared together, a large one by itself."""
+            size = np.diff(cut)
+            few = np.flatnonzero(np.repeat(size <= SMALL_GROUP, size))
+            if len(few):
+                yield from gather(compared_small(Rows(tab.take(few), t)))
+            for g in np.flatnonzero(size > SMALL_GROUP).tolist():
+                yield from gather(compared(tab.slice(int(cut[g]), int(size[g])), t))
         for batch in batches:
             tab = pa.Table.from_batches([batch])
             rest = tab if rest is None else pa.concat_tables([rest, tab])
             key, i, j = (np.asarray(rest.column(c)) for c in order)
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for x, y in zip(np.append(0, cut)[:-1], cut, strict=True):
-                yield from gather(compared(rest.slice(x, y - x), t))
-            rest = rest.slice(int(cut[-1])) if len(cut) else rest
+            if len(cut):
+                yield from groups(rest, np.append(0, cut))
+                rest = rest.slice(int(cut[-1]))
         if rest is not None and rest.num_rows:
-            yield from gather(compared(rest, t))
+            yield from groups(rest, np.array([0, rest.num_rows]))
         yield from gather(None)
-    large = dealt.mapInArrow(run, "a long, b long")
-    return pairs.unionByName(large).distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def compared_small(rows: Rows) -> np.ndarray:
+    """Pairs of rows with one key, at most SMALL_GROUP rows apart, that pass the bounds."""
+    out = []
+    for step in range(1, SMALL_GROUP):
+        a = np.flatnonzero(rows.key[step:] == rows.key[:-step])
+        if not len(a):
+            break
+        a, b = rows.may_link(a, a + step)
+        out.append(np.stack([rows.node[a], rows.node[b]], 1))
+    return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
 
 
 def compared(rows: pa.Table, t: int) -> np.ndarray:
     """Pairs of one pair of blocks (i, j) that pass the size and Hamming bounds."""
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     own, node, comp, n = (np.asarray(rows.column(c)) for c in ("own", "node", "comp", "n"))
-    raw = rows.column("sketch").to_pylist()
+    raw = rows.column("brief").to_pylist()
     out = []
     # sketches of one size class are compared at their full width, others folded
     by_width: dict[int, np.ndarray] = {}
@@ -404,18 +486,21 @@ def _labelled(docs: DataFrame, width: int, t: int) -> DataFrame:
     pieces = all_.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
     members = materialize(shared(pieces), "jaccard-members")
     held = members.select("node").distinct()
-    info = materialize(all_.where("doc_id is not null").select("node", "n", "sketch", "doc_id")
+    info = materialize(all_.where("doc_id is not null").select("node", "n", "sketch", "brief", "doc_id")
                        .join(held, "node", "left_semi").dropDuplicates(["node"]), "jaccard-info")
     own = materialize(all_.select("doc_id", "n", "node"), "jaccard-nodes")
     drop_stage(all_)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     comp = components(links)
     for turn in range(ROUNDS):
-        found = verified(near(partners(members, comp, turn), info, t), info, docs, width, t)
+        found = verified(near(partners(members, comp, info, t, turn), info, t), info, docs, width, t)
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comp = components(links)
+        left = materialize(still_open(members, comp), "jaccard-left")
+        drop_stage(members)
+        members = left
     more = near(crossing(members, comp, info, t), info, t)
     links = links.unionByName(verified(more, info, docs, width, t))
     comp = components(links).withColumnRenamed("id", "node")

@@ -98,9 +98,9 @@ def test_large_groups_are_compared_in_blocks():
     sets = [np.unique(np.append(base[: 200 - k % 5], rng.integers(1, 1 << 62, 3 + 60 * (k % 3)).astype(np.uint64)))
             for k in range(30)]
     first = np.append(0, np.cumsum([len(s) for s in sets]))
-    sk = jaccard.sketches(first, np.concatenate(sets))
+    sk = jaccard.sketches(first, np.concatenate(sets), jaccard.brief_bits)
     rows = pa.table({"i": [0] * 30, "j": [1] * 30, "own": [k % 2 for k in range(30)], "node": list(range(30)),
-                     "comp": [k % 7 for k in range(30)], "n": [len(s) for s in sets], "sketch": sk})
+                     "comp": [k % 7 for k in range(30)], "n": [len(s) for s in sets], "brief": sk})
     got = {tuple(x) for x in jaccard.compared(rows, 85).tolist()}
     for a, b in itertools.combinations(range(30), 2):
         both = len(np.intersect1d(sets[a], sets[b]))
