@@ -196,7 +196,7 @@ class Rows:
         tab = tab.combine_chunks()
         self.key, self.node, self.comp, self.n = (np.asarray(tab.column(c), np.int64)
                                                   for c in ("key", "node", "comp", "n"))
-        raw = tab.column("brief").to_pylist()
+        raw = tab.column("sketch").to_pylist()
         self.words = np.array([len(x) // 8 for x in raw], np.int64)
         self.at = np.cumsum(self.words) - self.words
         self.flat = np.frombuffer(b"".join(raw), np.uint64)
@@ -298,9 +298,10 @@ def partners(members: DataFrame, comp: DataFrame, info: DataFrame, t: int, turn:
     held = F.count(F.lit(1)) if turn == 0 else F.lit(0)
     sign = members.groupBy("node").agg((-held).alias("held"), F.min(F.xxhash64(F.lit(turn), "key")).alias("sign"))
     about = sign.join(comp.withColumnRenamed("id", "node"), "node", "left").join(info, "node") \
-        .select("node", "held", "sign", F.coalesce("component", "node").alias("comp"), "n", "brief")
+        .select("node", "held", "sign", F.coalesce("component", "node").alias("comp"), "n",
+                F.col("brief").alias("sketch"))
     order = ["key", "held", "sign", "node"]
-    dealt = members.join(about, "node").select(*order, "comp", "n", "brief") \
+    dealt = members.join(about, "node").select(*order, "comp", "n", "sketch") \
         .repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +401,7 @@ def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> Da
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                     "node", "comp", "n", "brief")
+                     "node", "comp", "n", F.col("brief").alias("sketch"))
     order = ["key", "i", "j"]
     dealt = met.repartition(*order).sortWithinPartitions(*order)
 
@@ -454,7 +455,7 @@ def compared(rows: pa.Table, t: int) -> np.ndarray:
     """Pairs of one pair of blocks (i, j) that pass the size and Hamming bounds."""
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     own, node, comp, n = (np.asarray(rows.column(c)) for c in ("own", "node", "comp", "n"))
-    raw = rows.column("brief").to_pylist()
+    raw = rows.column("sketch").to_pylist()
     out = []
     # sketches of one size class are compared at their full width, others folded
     by_width: dict[int, np.ndarray] = {}
