@@ -4,21 +4,22 @@ A byte covered by a string of `window` bytes that also starts anywhere else
 (same document included) goes; strings are judged on the input and never cross
 documents.
 
-The rounds need a pair of ranks for every place, which for all bytes of a corpus
-is many times its size.  So they begin with the places that can still matter:
-
-1. Every window has an anchor chosen by content (see `repeats`), and consecutive
-   windows with one anchor form a segment.  Spark sorts the segments by (anchor,
-   content).  A segment whose anchor occurs once leaves: its windows are unique.
-   Segments of equal content are repeated as a whole, and one of them stands for
-   the others, if other segments have their anchor.
-2. The places of the segments that are left get a rank for their first `first`
-   bytes: Spark sorts them by the name of these bytes, and unique ones leave.
-3. In round h = first, 2 first, ... the rank at a place meets the rank h bytes
-   further on (dealt by text and stretch of it), Spark sorts the pairs by range,
-   equal neighbours get one new rank and pairs that have no equal leave.  The last
-   offset is the rest of the window.  What is left then is past the threshold: its
-   windows are repeated.
+A pair of ranks for every byte of a corpus is many times its size (rounds over the
+bytes of all shared segments were built and measured, see README).  So a place
+stands for a block of windows that overlap, and its string grows at both ends:
+
+* Every window has an anchor chosen by content (see `repeats`).  A block of size c
+  holds the windows that begin i c to i c + c - 1 bytes before one anchor, for some
+  i, as far as they are there.  Its core, the bytes that all of them share, has
+  `window` + 1 - c bytes; its content is all their bytes.
+* The first round has the windows of one anchor as block and the anchor as core.  In
+  each further round blocks are cut into `RATIO` smaller ones, so the cores grow, up to
+  single windows, which are their own cores.
+* In a round Spark sorts, by range, the pairs (rank of the core so far, name of the
+  longer core) and within these the contents; equal pairs get one new rank.  A core
+  that occurs once leaves: all windows of its block are unique.  A content that occurs
+  twice leaves as well, past the threshold: all windows of it are repeated; one of
+  these goes on for the others if other contents have its core.
 
 Ranks are numbers of distinct pairs in sorted order.  A pair with very many places
 may go on over several tasks; its rank is that of the first, which the driver
@@ -31,8 +32,8 @@ window.
 Defined results: a null or empty text has no bytes and keeps none; texts
 shorter than a window keep all; all rows of repeated texts lose every byte
 (from a window's length on); an empty table gives an empty result.  Texts are
-known by 128 bits; the contents of anchors and segments and the first names are
-64-bit hashes of the bytes; ranks after that are exact.  The kept bytes of a text
+known by 128 bits; anchors, cores and contents are named by 64-bit hashes of their
+bytes.  The kept bytes of a text
 need not be valid UTF-8; `kept` is binary.  Other columns stay untouched, whatever
 their names.
 """
@@ -53,9 +54,10 @@ from linkgraph.llm.text import chunks, prefix_hash, range_hash, spread
 from linkgraph.sources.store import drop_stage, materialize, stages_freed
 
 GRAM = 200
-FIRST = 50
-STRETCH = 1 << 16  # bytes of a text whose ranks meet in one group
-ROWS = 1 << 16     # rows that a task looks at together
+RATIO = 4
+ROWS = 1 << 16  # rows that a task looks at together
+STRETCH = 1 << 16  # bytes of a text whose runs are looked for together
+PAIRS = "x long, y long, w long, j long, at long, n long, a long"
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -76,9 +78,15 @@ def column(t: pa.Table, name: str) -> np.ndarray:
     return np.asarray(t.column(name), np.int64)
 
 
+def named(x, y, w, j, at, n, a) -> pa.RecordBatch:
+    x, y, w = (v.view(np.int64) if v.dtype == np.uint64 else v for v in (x, y, w))
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (x, y, w, j, at, n, a)],
+                                      names=["x", "y", "w", "j", "at", "n", "a"])
+
+
 def anchored(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, seg, j, at, n): every segment of n windows from window `at` of the text
-    j, by its anchor and its content."""
+    """The first round's pairs: the n windows from window `at` of the text j that share
+    the anchor x at byte a, with their content w; y is 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
             u = byte_units(buf, offs, gram)
@@ -87,142 +95,99 @@ def anchored(texts: DataFrame, window: int, gram: int) -> DataFrame:
             own = np.flatnonzero(s.solo)
             keep = np.ones(len(s.key), bool)
             keep[own] = first_of_equals(s.doc[own], s.key[own]) == np.arange(len(own))
-            doc, start, count = s.doc[keep], s.start[keep].astype(np.int64), s.count[keep].astype(np.int64)
+            doc, start, count = s.doc[keep], s.start[keep], s.count[keep]
             base = u.first[doc] + start
-            seg = range_hash(u.hash, base, base + count + window - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.key[keep].view(np.int64)), pa.array(seg.view(np.int64)),
-                 pa.array(np.asarray(part.column("j"), np.int64)[doc]), pa.array(start), pa.array(count)],
-                names=["key", "seg", "j", "at", "n"])
-    return texts.select("j", "text").mapInArrow(run, "key long, seg long, j long, at long, n long")
+            j = np.asarray(part.column("j"), np.int64)[doc]
+            yield named(s.key[keep], np.zeros(len(doc), np.int64),
+                        range_hash(u.hash, base, base + count + window - 1), j, start, count, s.anchor[keep])
+    return texts.select("j", "text").mapInArrow(run, PAIRS)
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """(j, at, n, whole, go): the segments that equal another one (whole), and one of
-    each content whose anchor has several (go).  Rows at the edges of partitions go
-    on in any case, as their neighbours are not seen."""
-    order = ["key", "seg", "j", "at"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(t, whole, go):
-            some = np.flatnonzero(whole | go)
-            t = t.select(["j", "at", "n"]).append_column("whole", pa.array(whole)).append_column("go", pa.array(go))
-            return t.take(pa.array(some)).to_batches()
-        held, alike, leads, begins = None, False, True, True
-        for t in gathered(batches):
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            key, seg = column(t, "key"), column(t, "seg")
-            same_key = key[1:] == key[:-1]
-            same = same_key & (seg[1:] == seg[:-1])
-            group = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(key)), 0))
-            lead = np.append(leads, ~same_key)[group]  # the row's content is the first of its key
-            before = np.append(alike, same)
-            whole = before[:-1] | same
-            go = ~before[:-1] & ~lead[:-1]
-            go |= ~same & same_key & lead[:-1]
-            go[:1] |= begins
-            yield from out(t.slice(0, len(go)), whole, go)
-            begins &= len(go) == 0
-            held, alike, leads = t.slice(len(go)), bool(before[-1]), bool(lead[-1])
-        if held is not None:
-            yield from out(held, np.array([alike]), np.array([True]))
-    return dealt.mapInArrow(run, "j long, at long, n long, whole boolean, go boolean")
-
-
-def places(texts: DataFrame, go: DataFrame, window: int, first: int) -> DataFrame:
-    """(x, y, j, at): the name x of the `first` bytes at each place of the segments
-    `go` (j, at, n) that a round may ask for; y is 0."""
-    per = go.groupBy("j").agg(F.collect_list(F.struct("at", "n")).alias("s"))  # bounded by the text's length
+def grown(texts: DataFrame, go: DataFrame, window: int, size: int) -> DataFrame:
+    """The pairs of a round: the blocks `go` (rank, j, at, n, a) cut into blocks of
+    `size` windows, with the rank so far x, the name y of the longer core and w of the
+    content."""
+    per = go.groupBy("j").agg(F.collect_list(F.struct("rank", "at", "n", "a")).alias("s"))  # bounded by the text's length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
             h = prefix_hash(buf.astype(np.uint16) + np.uint16(1))
             want = part.column("s")
             doc = np.repeat(np.arange(part.num_rows), np.asarray(want.value_lengths(), np.int64))
-            at, n = (np.asarray(want.flatten().field(c), np.int64) for c in ("at", "n"))
-            edge = np.zeros(len(buf) + 1, np.int64)
-            np.add.at(edge, offs[doc] + at, 1)
-            np.add.at(edge, offs[doc] + at + n + window - first, -1)
-            pos = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            who = np.searchsorted(offs, pos, side="right") - 1
-            x = range_hash(h, pos, pos + first).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x), pa.array(np.zeros(len(pos), np.int64)),
-                 pa.array(np.asarray(part.column("j"), np.int64)[who]), pa.array(pos - offs[who])],
-                names=["x", "y", "j", "at"])
-    return texts.select("j", "text").join(per, "j").mapInArrow(run, "x long, y long, j long, at long")
+            rank, at, n, a = (np.asarray(want.flatten().field(c), np.int64) for c in ("rank", "at", "n", "a"))
+            low = (a - at - n + 1) // size
+            many = (a - at) // size - low + 1
+            i, of = spread(low, many), np.repeat(np.arange(len(at)), many)
+            doc, rank, at, n, a = (v[of] for v in (doc, rank, at, n, a))
+            start = np.maximum(at, a - size * i - size + 1)
+            n = np.minimum(at + n - 1, a - size * i) - start + 1
+            base, core = offs[doc] + start, offs[doc] + a - size * i
+            yield named(rank, range_hash(h, core, core + window + 1 - size),
+                        range_hash(h, base, base + n + window - 1), np.asarray(part.column("j"), np.int64)[doc],
+                        start, n, a)
+    return texts.select("j", "text").join(per, "j").mapInArrow(run, PAIRS)
 
 
 def reranked(pairs: DataFrame) -> DataFrame:
-    """(j, at, rank) of the places whose pair (x, y) has an equal: Spark sorts, and
-    distinct pairs are numbered in that order."""
-    order = ["x", "y", "j", "at"]
+    """(j, at, n, a, rank, whole, go): the blocks whose content has an equal (whole), and
+    one block of each content whose core (x, y) has several (go), with the core's rank."""
+    order = ["x", "y", "w", "j", "at"]
     dealt = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(t, rank, sure, edge):
-            some = np.flatnonzero(sure | edge)
+        def out(t, rank, whole, go, edge):
+            some = np.flatnonzero(whole | go | edge)
             hide = ~edge[some]
-            x, y = (pa.array(column(t, c)[some], mask=hide) for c in ("x", "y"))
+            ends = [pa.array(column(t, c)[some], mask=hide) for c in ("x", "y", "w")]
             return pa.RecordBatch.from_arrays(
-                [pa.array(column(t, "j")[some]), pa.array(column(t, "at")[some]), pa.array(rank[some]),
-                 pa.array(sure[some]), x, y], names=["j", "at", "rank", "sure", "x", "y"])
-        number, held, alike, begins = TaskContext.get().partitionId() << 40, None, False, True
+                [pa.array(column(t, c)[some]) for c in ("j", "at", "n", "a")]
+                + [pa.array(v[some]) for v in (rank, whole, go)] + ends,
+                names=["j", "at", "n", "a", "rank", "whole", "go", "x", "y", "w"])
+        number, held, alike, leads, begins = TaskContext.get().partitionId() << 40, None, False, True, True
         for t in gathered(batches):
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            x, y = column(t, "x"), column(t, "y")
-            same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-            rank = number + np.append(0, np.cumsum(~same))
+            x, y, w = (column(t, c) for c in ("x", "y", "w"))
+            core = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            same = core & (w[1:] == w[:-1])
+            rank = number + np.append(0, np.cumsum(~core))
+            group = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(x)), 0))
+            lead = np.append(leads, ~core)[group]  # the row's content is the first of its core
             before = np.append(alike, same)
+            whole = before[:-1] | same
+            go = (~before[:-1] & ~lead[:-1]) | (~same & core & lead[:-1])
             edge = np.zeros(len(same), bool)
             edge[:1] = begins
-            yield out(t.slice(0, len(same)), rank[:-1], before[:-1] | same, edge)
+            yield out(t.slice(0, len(same)), rank[:-1], whole, go, edge)
             begins &= len(same) == 0
-            held, number, alike = t.slice(len(same)), int(rank[-1]), bool(before[-1])
+            held, number, alike, leads = t.slice(len(same)), int(rank[-1]), bool(before[-1]), bool(lead[-1])
         if held is not None:
-            yield out(held, np.array([number]), np.array([alike]), np.array([True]))
-    ranked = materialize(dealt.mapInArrow(run, "j long, at long, rank long, sure boolean, x long, y long"), "ranks")
-    # a pair that goes on in the next task: the edges, at most two rows a task
+            yield out(held, np.array([number]), np.array([alike]), np.array([not alike and not leads]),
+                      np.array([True]))
+    ranked = materialize(dealt.mapInArrow(run, "j long, at long, n long, a long, rank long, whole boolean, go boolean, "
+                                               "x long, y long, w long"), "ranks")
+    # what goes on in the next task is seen at the edges, at most two rows a task
     head: dict[int, int] = {}
+    twice: list[tuple[int, int]] = []
     last = None
-    for r in ranked.where("x is not null").select("rank", "x", "y").distinct().orderBy("rank").collect():
+    for r in ranked.where("x is not null").select("rank", "x", "y", "w", "j", "at").orderBy("rank", "w", "j", "at") \
+            .toLocalIterator():
         if last is not None and (r["x"], r["y"]) == (last["x"], last["y"]):
             head[r["rank"]] = head.setdefault(last["rank"], last["rank"])
+            if r["w"] == last["w"]:
+                twice += [(e["j"], e["at"]) for e in (last, r)]
         last = r
-    over = ranked.sparkSession.createDataFrame(list(head.items()), "rank long, head long")
-    out = ranked.select("j", "at", "rank", "sure").join(F.broadcast(over), "rank", "left") \
-        .where("sure or head is not null").select("j", "at", F.coalesce("head", "rank").alias("rank"))
+    spark = ranked.sparkSession
+    over = spark.createDataFrame(list(head.items()), "rank long, head long")
+    equal = spark.createDataFrame(sorted(set(twice)), "j long, at long").withColumn("equal", F.lit(True))
+    # an edge goes on if its core goes on beyond it
+    out = ranked.join(F.broadcast(over), "rank", "left").join(F.broadcast(equal), ["j", "at"], "left").select(
+        "j", "at", "n", "a", F.coalesce("head", "rank").alias("rank"),
+        (F.col("whole") | F.col("equal").isNotNull()).alias("whole"),
+        (F.col("go") | (F.col("x").isNotNull() & F.col("head").isNotNull())).alias("go"))
     out._stage_path = ranked._stage_path
     return out
 
 
-def paired(ranks: DataFrame, h: int) -> DataFrame:
-    """(x, y, j, at): the rank at each place and the one h bytes further on; places
-    without one leave."""
-    here = F.floor(F.col("at") / STRETCH)
-    there = F.floor(F.greatest(F.col("at") - h, F.lit(0)) / STRETCH)
-    rows = ranks.withColumn("part", F.explode(F.array_distinct(F.array(here, there))))
-    n = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "j", "part").sortWithinPartitions("j", "part", "at")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for t in gathered(batches):
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            j, part, at, rank = (column(t, c) for c in ("j", "part", "at", "rank"))
-            new = np.append(True, (j[1:] != j[:-1]) | (part[1:] != part[:-1]))
-            code = (np.cumsum(new) << 40) + at
-            k = np.minimum(np.searchsorted(code, code + h), len(code) - 1)
-            ok = (code[k] == code + h) & (at // STRETCH == part)
-            yield pa.RecordBatch.from_arrays([pa.array(rank[ok]), pa.array(rank[k[ok]]), pa.array(j[ok]),
-                                              pa.array(at[ok])], names=["x", "y", "j", "at"])
-            # places whose partner may come with the next rows; those answered already must not come again
-            tail = code + h > code[-1]
-            rest = t.filter(pa.array(tail))
-    return dealt.select("j", "part", "at", "rank").mapInArrow(run, "x long, y long, j long, at long")
-
-
 def runs_of(left: DataFrame) -> DataFrame:
     """(j, at, n): the places (j, at) as runs of n neighbours."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -237,37 +202,35 @@ def runs_of(left: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "j long, at long, n long")
 
 
-def offsets(window: int, first: int) -> list[int]:
-    """Offsets of the rounds from strings of `first` bytes to those of `window`."""
-    out, have = [], first
-    while have < window:
-        out.append(min(have, window - have))
-        have += out[-1]
+def sizes(window: int, gram: int) -> list[int]:
+    """Block sizes of the rounds after the first: powers of RATIO below the number of
+    windows that one anchor can have, down to 1."""
+    out = [1]
+    while out[0] * RATIO < window - gram + 1:
+        out.insert(0, out[0] * RATIO)
     return out
 
 
-def repeated_spans(texts: DataFrame, window: int, gram: int, first: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """(j, spans array<struct<at, n>>): runs of n repeated windows from window `at`."""
-    rows = materialize(anchored(texts, window, gram), "doubling-anchors")
-    met = materialize(meeting(rows), "doubling-segments")
-    drop_stage(rows)
-    start = materialize(places(texts, met.where("go").select("j", "at", "n"), window, first), "doubling-places")
-    ranks = reranked(start)
-    drop_stage(start)
-    for h in offsets(window, first):
-        more = reranked(paired(ranks, h))
-        drop_stage(ranks)
-        ranks = more
-    spans = met.where("whole").select("j", "at", "n").unionByName(runs_of(ranks))
+    pairs = materialize(anchored(texts, window, gram), "doubling-pairs")
+    ranks = reranked(pairs)
+    spans = ranks.where("whole").select("j", "at", "n")
+    for size in sizes(window, gram):
+        drop_stage(pairs)
+        pairs = materialize(grown(texts, ranks.where("go"), window, size), "doubling-pairs")
+        ranks = reranked(pairs)
+        found = ranks.where("whole").select("j", "at", "n")
+        spans = spans.unionByName(runs_of(found) if size == 1 else found)
+    drop_stage(pairs)
     return spans.groupBy("j").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
-def dedup(docs: DataFrame, window: int = 400, gram: int = GRAM, with_bytes: bool = False,
-          first: int = FIRST) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 400, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """(k, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each distinct text,
     k being `text_key` of it.  Its own stage tables are gone when it returns."""
-    if not (gram <= window <= STRETCH and first <= window):
-        raise ValueError("an anchor and a first string must fit into a window, a window into a stretch")
+    if gram > window:
+        raise ValueError("an anchor must fit into a window")
     schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary" if with_bytes else ""
 
@@ -295,7 +258,7 @@ def dedup(docs: DataFrame, window: int = 400, gram: int = GRAM, with_bytes: bool
     done = []
     with stages_freed(but=done):
         texts = distinct_texts(docs.select("doc_id", "text"))
-        spans = repeated_spans(texts, window, gram, first)
+        spans = repeated_spans(texts, window, gram)
         out = texts.select("j", "k", "m", "text").join(spans, "j", "left").select("k", "m", "text", "spans")
         done.append(materialize(out.mapInArrow(run, schema), "dedup-bytes"))
     return done[0]

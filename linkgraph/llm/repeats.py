@@ -99,6 +99,7 @@ class Segments:
     count: np.ndarray    # windows
     key: np.ndarray      # hash of the anchor gram, or of the whole window
     solo: np.ndarray     # the key is of a whole window
+    anchor: np.ndarray   # place of the anchor, counted in its text (of a solo one: its first window)
 
 
 def segments(u: Units, window: int, gram: int) -> Segments:
@@ -110,7 +111,7 @@ def segments(u: Units, window: int, gram: int) -> Segments:
     total = len(u.hash) - 1
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Segments(none, none, none, none.astype(np.uint64), none.astype(bool))
+        return Segments(none, none, none, none.astype(np.uint64), none.astype(bool), none)
     at = np.arange(max(0, total - gram + 1))
     g = range_hash(u.hash, at, at + gram)
     order = (g >> np.uint64(33) << np.uint64(32)) | at.astype(np.uint64)  # hash, then place
@@ -129,7 +130,8 @@ def segments(u: Units, window: int, gram: int) -> Segments:
     key, solo = g[anchor[head]], flat[head]
     own = np.flatnonzero(solo)
     key[own] = range_hash(u.hash, start[head[own]], start[head[own]] + window)
-    return Segments(doc[head], start[head] - u.first[doc[head]], count, key, solo)
+    place = np.where(solo, start[head], anchor[head]) - u.first[doc[head]]
+    return Segments(doc[head], start[head] - u.first[doc[head]], count, key, solo, place)
 
 
 def first_of_equals(doc: np.ndarray, key: np.ndarray) -> np.ndarray:

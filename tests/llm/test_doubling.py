@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from linkgraph.llm import doubling
 
 
-@pytest.mark.parametrize("window, first, want", [(400, 50, [50, 100, 200]), (400, 100, [100, 200]),
-                                                 (400, 400, []), (30, 8, [8, 14]), (7, 1, [1, 2, 3])])
-def test_offsets_end_at_the_window(window, first, want):
-    assert doubling.offsets(window, first) == want
-    assert first + sum(want) == window
+def test_sizes_end_at_single_windows():
+    assert doubling.sizes(400, 200) == [64, 16, 4, 1]
+    assert doubling.sizes(40, 20) == [16, 4, 1]
+    assert doubling.sizes(40, 40) == [1]
 
 
 def plain(rows, window):
@@ -32,12 +31,13 @@ def plain(rows, window):
     return out
 
 
-@pytest.mark.parametrize("first, rows", [(5, 1 << 16), (10, 3), (8, 7), (40, 1 << 16)])
-def test_rounds_against_plain_windows(spark, monkeypatch, first, rows):
+@pytest.mark.parametrize("ratio, rows, gram", [(4, 1 << 16, 20), (2, 3, 20), (8, 7, 12), (64, 1 << 16, 33)])
+def test_rounds_against_plain_windows(spark, monkeypatch, ratio, rows, gram):
     """Passages with different neighbours, periods of several words, a passage in most
     texts and repeats inside one text, looked at a few rows at a time."""
     monkeypatch.setattr(doubling, "ROWS", rows)
-    rng = random.Random(first)
+    monkeypatch.setattr(doubling, "RATIO", ratio)
+    rng = random.Random(gram + ratio)
 
     def some(n):
         return "".join(rng.choice("abcde ") for _ in range(n))
@@ -46,32 +46,33 @@ def test_rounds_against_plain_windows(spark, monkeypatch, first, rows):
     texts += ["ab cd ef " * 30, some(20) + "ab cd ef " * 12, passage[10:75], "x" * 130, texts[3], "", some(500)]
     data = list(enumerate(texts))
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    got = doubling.dedup(docs, window=40, gram=20, with_bytes=True, first=first)
+    got = doubling.dedup(docs, window=40, gram=gram, with_bytes=True)
     keyed = docs.select("doc_id", doubling.text_key(F.col("text")).alias("k")).join(got, "k")
     assert {r["doc_id"]: bytes(r["kept"]) for r in keyed.collect()} == plain(data, 40)
 
 
-def test_a_pair_that_goes_on_over_tasks_keeps_one_rank(spark):
-    """Equal pairs are more than half of the rows, so that the range sort must cut them."""
+def test_a_core_that_goes_on_over_tasks_keeps_one_rank(spark):
+    """One core has two thirds of the rows, so that the range sort must cut it; of its
+    contents, every one occurs twice but the last, which occurs once."""
     n = 4000
-    rows = spark.range(n).select((F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id"))).alias("x"),
-                                 F.lit(0).cast("long").alias("y"), F.col("id").alias("j"),
-                                 F.lit(3).cast("long").alias("at"))
+    core, i = F.col("id") % 3 > 0, F.col("id")
+    number = F.floor(i / 3)
+    w = F.when(core, F.when(number == n // 3, i + 9 * n).otherwise(number)).otherwise(0)
+    rows = spark.range(n).select(F.when(core, 7).otherwise(10 + i).alias("x"), F.lit(0).cast("long").alias("y"),
+                                 w.cast("long").alias("w"), i.alias("j"), F.lit(3).cast("long").alias("at"),
+                                 F.lit(1).cast("long").alias("n"), F.lit(3).cast("long").alias("a"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = doubling.reranked(rows).collect()
-        tasks = doubling.reranked(rows).inputFiles()
+        got = doubling.reranked(rows)
+        assert len(got.inputFiles()) > 1
+        got = got.where("whole or go").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    hot = {i for i in range(n) if i % 3 > 0}
-    assert len(tasks) > 1
-    assert {r["j"] for r in got} == hot and len({r["rank"] for r in got}) == 1
-
-
-def test_a_long_text_meets_in_stretches(spark):
-    """Ranks h bytes apart meet over the edges of stretches, each once."""
-    n = 3 * doubling.STRETCH // 2
-    ranks = spark.range(n).select(F.lit(1).cast("long").alias("j"), F.col("id").alias("at"), F.col("id").alias("rank"))
-    got = doubling.paired(ranks, 200)
-    assert got.count() == n - 200
-    assert got.where("y <> x + 200 or x <> at").isEmpty()
+    per = {}
+    for k in range(n):
+        if k % 3:
+            per.setdefault(k + 9 * n if k // 3 == n // 3 else k // 3, []).append(k)
+    assert {r["j"] for r in got if r["whole"]} == {k for v in per.values() if len(v) > 1 for k in v}
+    goes = {r["j"] for r in got if r["go"]}
+    assert all(goes & set(v) for v in per.values()) and goes <= {k for v in per.values() for k in v}
+    assert len({r["rank"] for r in got}) == 1
