@@ -102,6 +102,25 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_remo
   sha256(coalesce(k.t, '')) AS kept_sha256
 FROM w LEFT JOIN n ON w.r = n.r LEFT JOIN kept k ON w.r = k.r"""
 
+# bytes are counted from 1; windows are told apart by their MD5
+ORACLE["op9_suffix_array_dedup"] = """WITH
+b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+win AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS x FROM
+    (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM b WHERE octet_length(b) >= 400)),
+rep AS (SELECT x FROM win GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT win.r, win.i FROM win JOIN rep ON win.x = rep.x),
+edge AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT r, k, min(i) AS lo, max(i) + 399 AS hi FROM
+    (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM edge) GROUP BY r, k),
+n AS (SELECT r, sum(hi - lo + 1)::BIGINT AS n, count(*) AS spans, max(hi) AS last FROM run GROUP BY r),
+piece AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) + 1 AS lo, lo - 1 AS hi FROM run
+  UNION ALL SELECT b.r, coalesce(n.last, 0) + 1 AS lo, octet_length(b.b) AS hi FROM b LEFT JOIN n ON b.r = n.r),
+kept AS (SELECT p.r, string_agg(hex(array_slice(b.b, p.lo, p.hi)), '' ORDER BY p.lo) AS t
+  FROM piece p JOIN b ON p.r = b.r WHERE p.lo <= p.hi GROUP BY p.r)
+SELECT b.doc_id, octet_length(b.b)::BIGINT AS n_bytes, coalesce(n.n, 0)::BIGINT AS n_removed,
+  coalesce(n.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.t, ''))) AS kept_sha256
+FROM b LEFT JOIN n ON b.r = n.r LEFT JOIN kept k ON b.r = k.r"""
+
 ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
 
 # every order walked step by step, its removals summed order by order
