@@ -1,5 +1,6 @@
-"""Which windows of a corpus occur more than once: the frame that the two
-substring-dedup operators share.
+"""Which windows of a corpus occur more than once: the frame of op2's shards.  The
+byte dedup by prefix doubling shares the texts, the segments and `covered`, and
+makes its own rounds.
 
 A text is a row of units (words or bytes).  Every window of `window` units has
 an anchor, the smallest-hash gram of `gram` units in it (leftmost of equals),
