@@ -129,8 +129,8 @@ def mask_histogram(st: Stages, out_dir: str, p: Params) -> tuple[DataFrame, Data
 
 def twohop_job(st: Stages, out_dir: str) -> DataFrame:
     """Z3: 2-hop statistics of every pair, parquet plus the text layout (K4)."""
-    pairs = st.lists.select("p1", "p2", F.explode("common.friend_id").alias("friend_id"))
-    th = _save_pairs(TH.twohop_stats(pairs, TH.candidate_ratios(st.labelled)), f"{out_dir}/twohop")
+    lists = st.lists.select("p1", "p2", F.col("common.friend_id").alias("friends"))
+    th = _save_pairs(TH.twohop_of_lists(lists, TH.candidate_ratios(st.labelled)), f"{out_dir}/twohop")
     X.write_lines(X.render_twohop(th), f"{out_dir}/twohop_text")
     return th
 
