@@ -72,3 +72,19 @@ def test_a_counting_task_has_few_pairs(graph):
     """540 million pair rows (60 times sf0.1): some 2 million a task, not 20."""
     n = C.explosion_partitions(graph[1], 540_000_000)
     assert 540_000_000 / n <= 2_000_000
+
+
+def test_the_model_reads_a_written_sample_and_nothing_else(spark):
+    """No vector outside the sample is written, and the solver's passes do not remake them."""
+    from linkgraph.operators.sampling import train_valid
+    from linkgraph.plans.queries import ML_STAGES
+    from linkgraph.plans.views import Views
+    from tests.conftest import SF_SMALL
+    v = Views(spark, SF_SMALL, stages=ML_STAGES)
+    for part in v.ml_split:
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "linkgraph-stages/sample" in "".join(part.inputFiles())
+    key = lambda df: sorted((r.p1, r.p2, r.label, tuple(r.features.toArray())) for r in df.collect())
+    assert "linkgraph-stages/vectors" not in "".join(v.vectors.inputFiles())
+    for part, plain in zip(v.ml_split, train_valid(v.vectors, v.p), strict=True):
+        assert key(part) == key(plain)
