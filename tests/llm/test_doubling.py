@@ -76,3 +76,21 @@ def test_a_core_that_goes_on_over_tasks_keeps_one_rank(spark):
     goes = {r["j"] for r in got if r["go"]}
     assert all(goes & set(v) for v in per.values()) and goes <= {k for v in per.values() for k in v}
     assert len({r["rank"] for r in got}) == 1
+
+
+def test_places_are_looked_up_for_edge_rows_only(spark):
+    """Two rows of every content, so that some content goes on over tasks: the join by
+    place takes the rows at the tasks' edges, not every rank."""
+    n, i = 4000, F.col("id")
+    zero = F.lit(0).cast("long")
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("x"), zero.alias("y"), zero.alias("w"), i.alias("j"),
+                                 zero.alias("at"), (zero + 1).alias("n"), zero.alias("a"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = doubling.reranked(rows)
+        assert got.where("whole").count() == n
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_place = plan[plan.index("(j#"):]
+    assert "isnotnull(x#" in by_place and "isnull(x#" in by_place
