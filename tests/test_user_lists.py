@@ -88,3 +88,39 @@ def test_the_model_reads_a_written_sample_and_nothing_else(spark):
     assert "linkgraph-stages/vectors" not in "".join(v.vectors.inputFiles())
     for part, plain in zip(v.ml_split, train_valid(v.vectors, v.p), strict=True):
         assert key(part) == key(plain)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+@pytest.mark.parametrize("block", [2_000, 4])
+def test_counts_from_sorted_lists_are_those_of_the_pair_rows(graph, monkeypatch, least, block):
+    monkeypatch.setattr(C, "FRIEND_BLOCK", block)
+    _, kept = graph
+    odd = kept.unionByName(kept.sparkSession.createDataFrame(
+        [(None, 1, 0), (3, None, 0), (4, 2, 0), (4, 2, 0), (0, 2, 0), (-7, 2, 0), (-7, 3, 0)], kept.schema))
+    for df in (kept, odd, kept.limit(0)):
+        want = C.pair_counts(C.pair_rows(df, partitions=3)).where(F.col("common_cnt") >= least)
+        got = C.counts_by_user(df, least, 5)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_supported_pairs_reach_the_hash_table(graph):
+    """Rows of pairs with less support end in the sorted list: the exploded rows are the
+    supported pairs' counts above least - 1."""
+    _, kept = graph
+    counts = C.common_friends(kept)
+    rows = {"met": 0}
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "GenerateExec" and "met" in node.toString():
+            rows["met"] += node.metrics().apply("numOutputRows").value()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+    got = counts.collect()
+    walk(counts._jdf.queryExecution().executedPlan())
+    assert rows["met"] == sum(r.common_cnt - 8 for r in got)
