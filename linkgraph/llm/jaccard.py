@@ -19,13 +19,15 @@ pieces gives all it has and takes part again with another hash; after `LEVELS`
 hashes it gives every piece.
 
 Documents with one set are one node.  The keys are sorted by range, so a key
-with a third of all rows spreads over tasks.  In each of a few rounds every node
-meets, under each key, the node that shares most keys with others (the original
+with a third of all rows spreads over tasks.  Most shared keys hold a few nodes
+only (`WHOLE` at most, all seen in one task): these are compared once, whole, at
+the end.  Under the others, in each of a few rounds every node meets, under each
+key, the node that shares most keys with others (the original
 of a group of edited copies shares all it has, a copy loses some by each edit)
 and a few neighbours; the partners met under most keys are verified.  That joins
-groups of copies without all their pairs.  Only keys that still hold two
-components after that are searched further, for pairs of different components,
-in blocks of `BLOCK` nodes at most.  Every link between components is found that
+groups of copies without all their pairs.  Only those of these keys that still
+hold two components after that are searched further, for pairs of different
+components, in blocks of `BLOCK` nodes at most.  Every link between components is found that
 way, so components are exact; pairs inside a component need no check.  Rows under
 a key carry a brief whole-document sketch, and a pair leaves a task only if its
 sizes and the Hamming distance of these sketches allow a link.  It then passes
@@ -54,6 +56,7 @@ from linkgraph.sources.store import drop_stage, materialize, stages_freed
 PIECE_BITS = 512
 LEVELS = 8
 BLOCK = 1024
+WHOLE = 8
 SMALL_GROUP = 32
 BROADCAST_IDS = 500_000
 ROUNDS = 2
@@ -243,36 +246,37 @@ def described(docs: DataFrame, width: int, t: int) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The distinct (key, node) whose key more than one node holds.  Rows at a
-    partition's edge are kept in any case, as the next partition may go on with
-    their key."""
+    """The distinct (key, node, few) whose key more than one node holds; few: the key
+    holds `WHOLE` nodes at most.  Rows at a partition's edge are kept in any case, and
+    are not few, as the next partition may go on with their key."""
     dealt = rows.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, node):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
-        last = None  # last distinct row: key, node, whether the row before has its key, whether it began the partition
+        def out(key, node, few):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(few)], names=["key", "node", "few"])
+        wait = None  # rows of the last key that have not left: its last row at least
+        many = True  # whether that key is known to hold more (or began the partition)
         for batch in batches:
             key, node = (np.asarray(batch.column(c), np.int64) for c in ("key", "node"))
             if not len(key):
                 continue
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            new[0] = last is None or (key[0], node[0]) != last[:2]
+            if wait is not None:
+                key, node = np.append(wait[0], key), np.append(wait[1], node)
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
             key, node = key[new], node[new]
-            if last is None:
-                same, begins = np.append(False, key[1:] == key[:-1]), True
-            else:
-                key, node = np.append(last[0], key), np.append(last[1], node)
-                same, begins = np.append(last[2], key[1:] == key[:-1]), last[3]
-            keep = same[:-1] | same[1:]  # the last row waits for the next batch
-            keep[:1] |= begins
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            big = size > WHOLE
+            big[0] |= many
+            many = bool(big[-1])
+            stay = len(key) - 1 if many else int(first[-1])
+            keep = np.repeat(big | (size > 1), size)[:stay]
             if keep.any():
-                yield out(key[:-1][keep], node[:-1][keep])
-            last = (key[-1], node[-1], same[-1], begins and len(key) == 1)
-        if last is not None:
-            yield out(np.array([last[0]]), np.array([last[1]]))
-    return dealt.mapInArrow(run, "key long, node long")
+                yield out(key[:stay][keep], node[:stay][keep], ~np.repeat(big, size)[:stay][keep])
+            wait = key[stay:], node[stay:]
+        if wait is not None:
+            yield out(*wait, np.zeros(len(wait[0]), bool))
+    return dealt.mapInArrow(run, "key long, node long, few boolean")
 
 
 def placed(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -391,11 +395,13 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, width: int, t:
     return materialize(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
-def crossing(members: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> DataFrame:
-    """Distinct (a, b) of different components under one key that may link."""
+def crossing(members: DataFrame, few: DataFrame, comp: DataFrame, info: DataFrame, t: int) -> DataFrame:
+    """Distinct (a, b) of different components under one key that may link; the keys
+    of `few` hold `WHOLE` nodes at most and need no search for those still open."""
     m = materialize(placed(members, comp), "jaccard-placed")
     seen = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
-    open_ = m.join(seen.where("x <> y").select("key", "size"), "key").join(info.select("node", "n", "brief"), "node")
+    open_ = m.join(seen.where("x <> y").select("key", "size"), "key").unionByName(
+        placed(few, comp).withColumn("size", F.lit(WHOLE).cast("long"))).join(info.select("node", "n", "brief"), "node")
     # rows meet in pairs of blocks; a group of up to BLOCK nodes is one
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -485,8 +491,9 @@ def _labelled(docs: DataFrame, width: int, t: int) -> DataFrame:
     """(doc_id, n, c): every row with its component's least node (null: no words)."""
     all_ = materialize(described(docs, width, t), "jaccard-docs")
     pieces = all_.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
-    members = materialize(shared(pieces), "jaccard-members")
-    held = members.select("node").distinct()
+    met = materialize(shared(pieces), "jaccard-members")
+    few, members = met.where("few").select("key", "node"), met.where("not few").select("key", "node")
+    held = met.select("node").distinct()
     info = materialize(all_.where("doc_id is not null").select("node", "n", "sketch", "brief", "doc_id")
                        .join(held, "node", "left_semi").dropDuplicates(["node"]), "jaccard-info")
     own = materialize(all_.select("doc_id", "n", "node"), "jaccard-nodes")
@@ -494,15 +501,16 @@ def _labelled(docs: DataFrame, width: int, t: int) -> DataFrame:
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     comp = components(links)
     for turn in range(ROUNDS):
+        if turn:
+            left = materialize(still_open(members, comp), "jaccard-left")
+            drop_stage(members)
+            members = left
         found = verified(near(partners(members, comp, info, t, turn), info, t), info, docs, width, t)
         if found.isEmpty():
             break
         links = links.unionByName(found)
         comp = components(links)
-        left = materialize(still_open(members, comp), "jaccard-left")
-        drop_stage(members)
-        members = left
-    more = near(crossing(members, comp, info, t), info, t)
+    more = near(crossing(members, few, comp, info, t), info, t)
     links = links.unionByName(verified(more, info, docs, width, t))
     comp = components(links).withColumnRenamed("id", "node")
     node_comp = F.when(F.col("n") > 0, F.coalesce("component", "node"))
