@@ -103,13 +103,15 @@ def candidate_generation(edges: DataFrame, out_dir: str, p: Params) -> Stages:
     least = min(2, p.min_support + 1, p.hist_min_support + 1)
     supported = F.col("common_cnt") > p.min_support
     listed = F.when(F.col("common_cnt") > p.hist_min_support, F.col("common_cnt"))
-    lists, n = _save_counted(C.pair_lists(kept, least), f"{out_dir}/pair_lists",
+    size = C.pair_explosion_size(kept)
+    lists, n = _save_counted(C.pair_lists(kept, least, size), f"{out_dir}/pair_lists",
                              candidates=F.count(F.when(supported, 1)), listed=F.sum(listed))
     cands = lists.where(supported).select("p1", "p2", "common_cnt")
     TB.write_candidates(cands, f"{out_dir}/candidates", p.n_buckets, n["candidates"])
     cands = TB.read_candidates(edges.sparkSession, f"{out_dir}/candidates")
-    # candidates' ends are users, so the canonical edges label them (see views)
-    lab = C.with_degrees(C.label_candidates(cands, C.canonical_edges(edges)), degree)
+    # candidates' ends are banded users, so the canonical banded edges label them (see views)
+    parts, known = C.explosion_partitions(kept, size), C.canonical_edges(G.degree_band(edges, p, degree))
+    lab = C.with_degrees(C.label_candidates(cands, known, parts), degree, partitions=parts)
     lab = _save_pairs(lab.withColumn("score", C.jaccard_score()), f"{out_dir}/labelled")
     return Stages(edges, degree, kept, lists, cands, lab, n["listed"])
 
