@@ -29,8 +29,11 @@ groups of copies without all their pairs.  Only those of these keys that still
 hold two components after that are searched further, for pairs of different
 components, in blocks of `BLOCK` nodes at most.  Every link between components is found that
 way, so components are exact; pairs inside a component need no check.  Rows under
-a key carry a brief whole-document sketch, and a pair leaves a task only if its
-sizes and the Hamming distance of these sketches allow a link.  It then passes
+a key carry a brief whole-document sketch (in the block search the full one up to
+`BRIEF_BITS`), and a pair leaves a task only if its
+sizes and the Hamming distance of these sketches allow a link.  In the block search
+rows also name the node's `EARLIER` open keys before theirs, and a pair that has met
+under one of these does not leave again.  It then passes
 the Hamming bound of the full sketches and is verified on the sets.
 
 Defined results: a null, empty or wordless text has an empty set and is its
@@ -63,6 +66,7 @@ ROUNDS = 2
 TRIES = 4
 NEIGHBOURS = 4
 BRIEF_BITS = 4096
+EARLIER = 8
 FLUSH = 100_000
 
 
@@ -400,14 +404,21 @@ def crossing(members: DataFrame, few: DataFrame, comp: DataFrame, info: DataFram
     of `few` hold `WHOLE` nodes at most and need no search for those still open."""
     m = materialize(placed(members, comp), "jaccard-placed")
     seen = m.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
-    open_ = m.join(seen.where("x <> y").select("key", "size"), "key").unionByName(
-        placed(few, comp).withColumn("size", F.lit(WHOLE).cast("long"))).join(info.select("node", "n", "brief"), "node")
+    open_ = m.join(seen.where("x <> y").select("key", "size"), "key")
+    # a pair meets under many open keys: rows name the node's keys just before theirs
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+    open_ = open_.withColumn("before", F.collect_list("key").over(before))
+    brief = F.col("brief").alias("sketch")
+    wide = F.when(F.length("sketch") <= BRIEF_BITS // 8, F.col("sketch")).otherwise(F.col("brief")).alias("sketch")
+    open_ = open_.join(info.select("node", "n", wide), "node")
+    rest = (placed(few, comp).withColumn("size", F.lit(WHOLE).cast("long"))
+            .withColumn("before", F.array().cast("array<bigint>")).join(info.select("node", "n", brief), "node"))
     # rows meet in pairs of blocks; a group of up to BLOCK nodes is one
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = open_.unionByName(rest).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                     "node", "comp", "n", F.col("brief").alias("sketch"))
+                     "node", "comp", "n", "sketch", "before")
     order = ["key", "i", "j"]
     dealt = met.repartition(*order).sortWithinPartitions(*order)
 
@@ -428,7 +439,7 @@ def crossing(members: DataFrame, few: DataFrame, comp: DataFrame, info: DataFram
             size = np.diff(cut)
             few = np.flatnonzero(np.repeat(size <= SMALL_GROUP, size))
             if len(few):
-                yield from gather(compared_small(Rows(tab.take(few), t)))
+                yield from gather(compared_small(tab.take(few), t))
             for g in np.flatnonzero(size > SMALL_GROUP).tolist():
                 yield from gather(compared(tab.slice(int(cut[g]), int(size[g])), t))
         for batch in batches:
@@ -445,22 +456,44 @@ def crossing(members: DataFrame, few: DataFrame, comp: DataFrame, info: DataFram
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def compared_small(rows: Rows) -> np.ndarray:
+def first_met(rows: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of rows (a, b) as sorted nodes, without those known to have met under an
+    earlier key: the first key of a pair always gives it.  Rows that name no earlier
+    keys give all their pairs."""
+    node = np.asarray(rows.column("node"), np.int64)
+    if "before" in rows.column_names:
+        before = rows.column("before").combine_chunks()
+        there = np.arange(EARLIER) < np.asarray(before.value_lengths(), np.int64)[:, None]
+        keys = np.zeros(there.shape, np.int64)
+        keys[there] = np.asarray(before.flatten(), np.int64)
+        new = np.ones(len(a), bool)
+        both = np.flatnonzero(there[a, 0] & there[b, 0])
+        for lo in range(0, len(both), FLUSH):
+            p = both[lo: lo + FLUSH]
+            x, y = a[p], b[p]
+            for k in range(EARLIER):
+                new[p] &= ~(there[x, k] & ((keys[x, k][:, None] == keys[y]) & there[y]).any(1))
+        a, b = a[new], b[new]
+    return np.sort(np.stack([node[a], node[b]], 1), axis=1)
+
+
+def compared_small(tab: pa.Table, t: int) -> np.ndarray:
     """Pairs of rows with one key, at most SMALL_GROUP rows apart, that pass the bounds."""
+    rows = Rows(tab, t)
     out = []
     for step in range(1, SMALL_GROUP):
         a = np.flatnonzero(rows.key[step:] == rows.key[:-step])
         if not len(a):
             break
         a, b = rows.may_link(a, a + step)
-        out.append(np.stack([rows.node[a], rows.node[b]], 1))
-    return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+        out.append(np.stack([a, b]))
+    return first_met(tab, *np.concatenate(out, axis=1)) if out else np.zeros((0, 2), np.int64)
 
 
 def compared(rows: pa.Table, t: int) -> np.ndarray:
     """Pairs of one pair of blocks (i, j) that pass the size and Hamming bounds."""
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    own, node, comp, n = (np.asarray(rows.column(c)) for c in ("own", "node", "comp", "n"))
+    own, comp, n = (np.asarray(rows.column(c)) for c in ("own", "comp", "n"))
     raw = rows.column("sketch").to_pylist()
     out = []
     # sketches of one size class are compared at their full width, others folded
@@ -483,8 +516,8 @@ def compared(rows: pa.Table, t: int) -> np.ndarray:
             if len(q):
                 far = np.bitwise_count(x[q] ^ x[p]).sum(1)
                 q = q[far <= hamming_bound(n[at[q]], n[at[p]], t)]
-                out.append(np.stack([np.full(len(q), node[at[p]]), node[at[q]]], 1))
-    return np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
+                out.append(np.stack([np.full(len(q), at[p]), at[q]]))
+    return first_met(rows, *np.concatenate(out, axis=1)) if out else np.zeros((0, 2), np.int64)
 
 
 def _labelled(docs: DataFrame, width: int, t: int) -> DataFrame:
