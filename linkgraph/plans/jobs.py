@@ -28,7 +28,7 @@ from linkgraph.operators import twohop as TH
 from linkgraph.operators.explore import column_summary, log_degree_hist
 from linkgraph.sources import tables as TB
 from linkgraph.sources import text as X
-from linkgraph.sources.store import write_bucketed
+from linkgraph.sources.store import drop_stage, without_files, write_bucketed, write_columns
 
 
 # When True, a stage whose output folder is complete (_SUCCESS present) is
@@ -56,10 +56,16 @@ PAIR = ["p1", "p2"]
 
 def _save_pairs(df: DataFrame, path: str) -> DataFrame:
     """`_save` bucketed by the pair, for the tables that meet in a feature vector.
-    A stage that is reused is read as plain files and exchanged again."""
+    A stage that is reused is read as plain files and exchanged again; one without
+    rows (no pair may have 2-hop statistics) is written as a plain one."""
     if REUSE_STAGES and stage_exists(df.sparkSession, path):
         return df.sparkSession.read.parquet(path)
-    return write_bucketed(df, path, PAIR)
+    out = write_bucketed(df, path, PAIR)
+    if without_files(df.sparkSession, path):
+        drop_stage(out)
+        write_columns(df, path)
+        return df.sparkSession.read.parquet(path)
+    return out
 
 
 def _save_counted(df: DataFrame, path: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgraph.sources.store import without_files, write_columns
+
 
 def with_bucket(pairs: DataFrame, n_buckets: int = 107) -> DataFrame:
     """The reference computed pairs in `n_buckets` passes keyed by
@@ -21,13 +23,16 @@ def write_candidates(pairs: DataFrame, path: str, n_buckets: int = 107, rows: in
     """K2: candidates (or histograms) partitioned by bucket.  The rebalance
     hint lets AQE split an oversized bucket over several writers instead of
     sending a whole bucket to one task; of a table known to be small it would
-    make one task that writes all buckets, so that one is dealt out by bucket."""
+    make one task that writes all buckets, so that one is dealt out by bucket.  A
+    table without rows has no bucket to write and leaves its columns only."""
     out = with_bucket(pairs, n_buckets)
     if rows is not None and rows <= SMALL_TABLE:
         out = out.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "bucket")
     else:
         out = out.hint("rebalance", "bucket")
     out.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    if without_files(out.sparkSession, path):
+        write_columns(out, path)
 
 
 def read_candidates(spark: SparkSession, path: str, bucket: int | None = None) -> DataFrame:
